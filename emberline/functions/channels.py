@@ -21,8 +21,8 @@ def elements(x: Column, n: int) -> list[Column]:
 
 def clean(value: Column) -> Column:
     """NaN and both infinities become 0; NULL stays NULL."""
-    inf = float("inf")
-    return F.when(F.isnan(value) | (value == inf) | (value == -inf), F.lit(0.0)).otherwise(value)
+    # NaN sorts above infinity, so one comparison finds every finite value.
+    return F.when(F.abs(value) < float("inf"), value).when(value.isNotNull(), F.lit(0.0))
 
 
 def clean_vector(x: Column, n: int) -> Column:
@@ -82,16 +82,20 @@ def splice_landcover(x: Column, n: int = K.PRED_CHANNELS, mode: str = "reference
 
 
 def encode_pred(x: Column, mode: str = "reference") -> Column:
-    """27 raw channels to the 43 model inputs: clean, z-score, sine, one-hot, clean."""
+    """27 raw channels to the 43 model inputs: clean, z-score, sine, one-hot.
+
+    Scaling a finite FLOAT in double precision cannot overflow, so a second
+    cleaning of the result would find nothing.
+    """
     vals = [clean(v.cast("double")) for v in elements(x, K.PRED_CHANNELS)]
     out: list[Column] = []
     for i, v in enumerate(vals):
         if i in K.DEGREE_CHANNELS:
-            out.append(clean(F.sin(F.radians(v))))
+            out.append(F.sin(F.radians(v)))
         elif i == K.LANDCOVER_CHANNEL:
             out.extend(landcover_one_hot(v, mode))
         else:
-            out.append(clean((v - K.PRED_MEAN[i]) / K.PRED_STD[i]))
+            out.append((v - K.PRED_MEAN[i]) / K.PRED_STD[i])
     return F.array(*out)
 
 

@@ -141,21 +141,21 @@ def blank_unlabelled(pixels: DataFrame, label: str = "label", pred: str = "pred"
 
 
 def clip_to_bounds(
-    pixels: DataFrame, fires: DataFrame, *, cell: float, x: str = "x", y: str = "y", day: str = "day",
+    pixels: DataFrame, fires: DataFrame, *, cell: tuple[float, float], x: str = "x", y: str = "y", day: str = "day",
     x_bounds: tuple[str, str] = ("x_min", "x_max"), y_bounds: tuple[str, str] = ("y_min", "y_max"),
 ) -> DataFrame:
     """Pixels inside each fire's bounds (inclusive) on the fire's days.
 
-    Both sides are put on a coarse grid of ``cell``-sized squares per day; a fire
-    lists the few squares its box touches, which turns a range join into an
-    equi-join on (day, square). Hot days spread over their squares, and skewed
-    squares are left to adaptive skew handling. Empty boxes never match.
+    Both sides are put on a coarse grid of ``cell`` = (width, height) squares per
+    day; a fire lists the few squares its box touches, which turns a range join
+    into an equi-join on (day, square). Hot days spread over their squares, and
+    skewed squares are left to adaptive skew handling. Empty boxes never match.
     """
-    def square(v: Column) -> Column:
-        return F.floor(v / cell).cast("long")
+    def square(v: Column, size: float) -> Column:
+        return F.floor(v / size).cast("long")
 
-    def span(low: str, high: str) -> Column:
-        a, b = square(F.col(low)), square(F.col(high))
+    def span(low: str, high: str, size: float) -> Column:
+        a, b = square(F.col(low), size), square(F.col(high), size)
         return F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<bigint>"))
 
     boxes = (
@@ -163,10 +163,10 @@ def clip_to_bounds(
             "fire_id", *x_bounds, *y_bounds,
             F.explode(date_range(F.col("start_date"), F.col("end_date"))).alias(day),
         )
-        .withColumn("__cx", F.explode(span(*x_bounds)))
-        .withColumn("__cy", F.explode(span(*y_bounds)))
+        .withColumn("__cx", F.explode(span(*x_bounds, cell[0])))
+        .withColumn("__cy", F.explode(span(*y_bounds, cell[1])))
     )
-    placed = pixels.withColumns({"__cx": square(F.col(x)), "__cy": square(F.col(y))})
+    placed = pixels.withColumns({"__cx": square(F.col(x), cell[0]), "__cy": square(F.col(y), cell[1])})
     inside = F.col(x).between(F.col(x_bounds[0]), F.col(x_bounds[1])) & F.col(y).between(
         F.col(y_bounds[0]), F.col(y_bounds[1])
     )
