@@ -24,46 +24,66 @@ def valid_metrics(metrics: Column) -> Column:
     return F.map_filter(metrics, lambda k, v: ~k.isin(*K.BOUNDED_METRICS) | v.between(0.0, 1.0))
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def log_metrics(text: Column) -> Column:
     """Metrics named in a log, lower-cased; out-of-range readings drop, the last reading of a name wins."""
-    names = F.regexp_extract_all(text, F.lit(K.METRIC_RE), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(K.METRIC_RE), F.lit(2))
-    pairs = F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("n"), v.cast("double").alias("v")))
-    usable = F.filter(pairs, lambda p: p["v"].between(0.0, 1.0))
-    entries = []
-    for name in K.BOUNDED_METRICS:
-        last = F.try_element_at(F.filter(usable, lambda p, name=name: p["n"] == name), F.lit(-1))
-        entries += [F.lit(name), last["v"]]
-    return F.map_filter(F.create_map(*entries), lambda k, v: v.isNotNull())
+    hits = F.regexp_extract_all(text, F.lit(K.METRIC_RE), F.lit(0))
+    pairs = F.transform(
+        hits,
+        lambda h: F.struct(
+            F.lower(F.regexp_extract(h, K.METRIC_RE, 1)).alias("n"),
+            F.regexp_extract(h, K.METRIC_RE, 2).cast("double").alias("v"),
+        ),
+    )
+    none = F.struct(*[F.lit(None).cast("double").alias(n) for n in K.BOUNDED_METRICS])
+
+    def read(acc: Column, p: Column) -> Column:
+        ok = p["v"].between(0.0, 1.0)
+        return F.struct(*[F.when(ok & (p["n"] == n), p["v"]).otherwise(acc[n]).alias(n) for n in K.BOUNDED_METRICS])
+
+    def as_map(acc: Column) -> Column:
+        entries = [c for n in K.BOUNDED_METRICS for c in (F.lit(n), acc[n])]
+        return F.map_filter(F.create_map(*entries), lambda k, v: v.isNotNull())
+
+    return F.aggregate(pairs, none, read, as_map)
 
 
 def test_summary(text: Column) -> Column:
     """(f1, iou) of a held-out test summary line; NULL when none or when a value is out of range."""
-    first = None
-    for pattern in K.TEST_SUMMARY_RES:
-        f1 = F.regexp_extract(text, pattern, 1)
-        iou = F.regexp_extract(text, pattern, 2)
-        found = F.when(F.length(f1) > 0, F.struct(f1.cast("double").alias("f1"), iou.cast("double").alias("iou")))
-        first = found if first is None else F.coalesce(first, found)
-    ok = first["f1"].between(0.0, 1.0) & first["iou"].between(0.0, 1.0)
-    return F.when(ok, first)
+    def scores(pattern: str) -> Column:
+        def parse(line: Column) -> Column:
+            return F.when(
+                F.length(line) > 0,
+                F.struct(
+                    F.regexp_extract(line, pattern, 1).cast("double").alias("f1"),
+                    F.regexp_extract(line, pattern, 2).cast("double").alias("iou"),
+                ),
+            )
+        return _bind(F.regexp_extract(text, pattern, 0), parse)
+
+    def in_range(s: Column) -> Column:
+        return F.when(s["f1"].between(0.0, 1.0) & s["iou"].between(0.0, 1.0), s)
+
+    return _bind(F.coalesce(*[scores(p) for p in K.TEST_SUMMARY_RES]), in_range)
 
 
 def primary_metric(metrics: Column) -> Column:
     """(name, value) of the first bounded metric present, else of the largest metric left."""
-    ok = valid_metrics(metrics)
-    ladder = [
-        F.when(ok[name].isNotNull(), F.struct(F.lit(name).alias("name"), ok[name].alias("value")))
-        for name in K.BOUNDED_METRICS
-    ]
-    largest = F.aggregate(
-        F.map_entries(ok),
-        F.lit(None).cast("struct<name:string,value:double>"),
-        lambda acc, e: F.when(
-            acc.isNull() | (e["value"] > acc["value"]), F.struct(e["key"].alias("name"), e["value"].alias("value"))
-        ).otherwise(acc),
-    )
-    return F.coalesce(*ladder, largest)
+    def usable(e: Column) -> Column:
+        return ~e["key"].isin(*K.BOUNDED_METRICS) | e["value"].between(0.0, 1.0)
+
+    def ranked(e: Column) -> Column:
+        rank = F.lit(0)
+        for i, name in enumerate(K.BOUNDED_METRICS):
+            rank = F.when(e["key"] == name, F.lit(len(K.BOUNDED_METRICS) - i)).otherwise(rank)
+        return F.struct(rank.alias("rank"), e["value"].alias("value"), e["key"].alias("name"))
+
+    best = F.array_max(F.transform(F.filter(F.map_entries(metrics), usable), ranked))
+    return _bind(best, lambda b: F.when(b.isNotNull(), F.struct(b["name"].alias("name"), b["value"].alias("value"))))
 
 
 def log_tail(text: Column) -> Column:
@@ -105,15 +125,16 @@ def failure_reason(return_code: Column, text: Column) -> Column:
 
 def with_run_metrics(runs: DataFrame, text: str = "log") -> DataFrame:
     """Metrics read from each finished run's log: the test summary for growth runs, all metrics otherwise."""
-    summary = test_summary(F.col(text))
-    from_summary = F.when(
-        summary.isNotNull(), F.create_map(F.lit("f1"), summary["f1"], F.lit("iou"), summary["iou"])
-    ).otherwise(F.create_map().cast("map<string,double>"))
+    empty = F.create_map().cast("map<string,double>")
+    from_summary = _bind(
+        test_summary(F.col(text)),
+        lambda s: F.when(s.isNotNull(), F.create_map(F.lit("f1"), s["f1"], F.lit("iou"), s["iou"])).otherwise(empty),
+    )
     is_growth = F.col("tool_name") == K.PREDICTION_TOOL
     scored = (F.col("return_code") == 0) & ~F.col("tool_name").startswith(K.DATASET_TOOL_PREFIX)
-    metrics = F.when(
-        scored, F.when(is_growth, from_summary).otherwise(log_metrics(F.col(text)))
-    ).otherwise(F.create_map().cast("map<string,double>"))
+    metrics = (
+        F.when(~scored, empty).when(is_growth, from_summary).otherwise(log_metrics(F.col(text)))
+    )
     return runs.withColumn("metrics", metrics)
 
 

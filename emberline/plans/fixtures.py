@@ -211,7 +211,6 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("model"), F.col("o_orderpriority"),
             F.lit("batch_size"), F.when(key % 3 == 0, "2").otherwise("4"),
         ).alias("params"),
-        (F.col("o_totalprice") / 600000.0).alias("price_score"),
     )
     step = frame_index(base, keys=["task"], order=["key"], segment=block_segment("key", 4096), total=None)
     return step.withColumn("step", F.col("frame") + 1).drop("frame")
@@ -239,6 +238,5 @@ runs AS (
          CASE WHEN o_orderkey % 12 IN (4, 5, 6, 7, 8, 10) THEN CASE WHEN o_orderkey % 24 = 10 THEN -9 ELSE 1 END ELSE 0 END AS return_code,
          CAST(o_orderkey % 5 + 4 AS VARCHAR) AS ts_length, o_orderpriority AS model,
          CASE WHEN o_orderkey % 3 = 0 THEN '2' ELSE '4' END AS batch_size,
-         o_totalprice / 600000.0 AS price_score,
          row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS step
   FROM keyed)"""
