@@ -143,13 +143,20 @@ def blank_unlabelled(pixels: DataFrame, label: str = "label", pred: str = "pred"
 def clip_to_bounds(
     pixels: DataFrame, fires: DataFrame, *, cell: tuple[float, float], x: str = "x", y: str = "y", day: str = "day",
     x_bounds: tuple[str, str] = ("x_min", "x_max"), y_bounds: tuple[str, str] = ("y_min", "y_max"),
+    max_broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """Pixels inside each fire's bounds (inclusive) on the fire's days.
 
     Both sides are put on a coarse grid of ``cell`` = (width, height) squares per
     day; a fire lists the few squares its box touches, which turns a range join
-    into an equi-join on (day, square). Hot days spread over their squares, and
-    skewed squares are left to adaptive skew handling. Empty boxes never match.
+    into an equi-join on (day, square). Squares about as large as a box keep both
+    the listing and the false matches short. Empty boxes never match.
+
+    How many squares the fires list is counted first, by an aggregate over the
+    fire table alone. Up to ``max_broadcast_rows`` they are broadcast and pixels
+    stay where they are; beyond that both sides are shuffled and sorted, hot
+    squares being split by adaptive skew handling. Catalyst itself cannot decide
+    this, since its size estimate ignores the listing.
     """
     def square(v: Column, size: float) -> Column:
         return F.floor(v / size).cast("long")
@@ -166,6 +173,11 @@ def clip_to_bounds(
         .withColumn("__cx", F.explode(span(*x_bounds, cell[0])))
         .withColumn("__cy", F.explode(span(*y_bounds, cell[1])))
     )
+    listed = F.size(date_range(F.col("start_date"), F.col("end_date"))) * F.size(span(*x_bounds, cell[0])) * F.size(
+        span(*y_bounds, cell[1])
+    )
+    total = fires.agg(F.coalesce(F.sum(listed), F.lit(0)).alias("n")).first()["n"]
+    boxes = F.broadcast(boxes) if total <= max_broadcast_rows else boxes.hint("merge")
     placed = pixels.withColumns({"__cx": square(F.col(x), cell[0]), "__cy": square(F.col(y), cell[1])})
     inside = F.col(x).between(F.col(x_bounds[0]), F.col(x_bounds[1])) & F.col(y).between(
         F.col(y_bounds[0]), F.col(y_bounds[1])

@@ -101,7 +101,7 @@ FROM scenes WHERE source <> 'rejected' GROUP BY ALL
 """)
 def hourly_source_counts(spark, sf_dir):
     """Scene counts of every sensor side by side in 3-hour bins."""
-    out = align.hourly_counts(X.scenes(spark, sf_dir), _COUNTED, hours=3)
+    out = align.hourly_counts(X.scenes(spark, sf_dir, *_COUNTED), _COUNTED, hours=3)
     return out.withColumn("bin_start", F.date_format("bin_start", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -120,7 +120,7 @@ SELECT fire_id, file_name, CAST(row_number() OVER (PARTITION BY fire_id ORDER BY
 FROM scenes WHERE source = 'viirs_day'
 """)
 def frame_index(spark, sf_dir):
-    day = X.scenes(spark, sf_dir).where("source = 'viirs_day'")
+    day = X.scenes(spark, sf_dir, "viirs_day")
     return S.frame_index(day).select("fire_id", "file_name", "frame", "n_frames")
 
 
@@ -132,7 +132,7 @@ SELECT fire_id, file_name,
 FROM scenes WHERE source = 'viirs_day' WINDOW w AS (PARTITION BY fire_id ORDER BY ts, file_name)
 """)
 def scene_gap(spark, sf_dir):
-    day = X.scenes(spark, sf_dir).where("source = 'viirs_day'")
+    day = X.scenes(spark, sf_dir, "viirs_day")
     return S.scene_gaps(day).select("fire_id", "file_name", _text("next_ts"), "gap_hours")
 
 
@@ -169,7 +169,7 @@ FROM rows
 """)
 def interval_alignment(spark, sf_dir):
     """GOES scenes inside each VIIRS interval (t, t+1]."""
-    out = align.interval_alignment(X.scenes(spark, sf_dir), ["mask", "frp"])
+    out = align.interval_alignment(X.scenes(spark, sf_dir, "viirs_day", "mask", "frp"), ["mask", "frp"])
     return out.select(
         "fire_id", "interval_index", _text("viirs_t"), _text("viirs_t_plus_1"), "viirs_gap_hours",
         "mask_count", _text("mask_first"), _text("mask_last"), "frp_count", _text("frp_first"), _text("frp_last"),
@@ -190,7 +190,7 @@ SELECT fire_id, n AS viirs_count, greatest(n - 1, 0) AS interval_count, coalesce
 FROM b LEFT JOIN c USING (fire_id) WHERE n > 0
 """)
 def alignment_summary(spark, sf_dir):
-    out = align.alignment_summary(X.scenes(spark, sf_dir), ["mask", "frp"])
+    out = align.alignment_summary(X.scenes(spark, sf_dir, "viirs_day", "mask", "frp"), ["mask", "frp"])
     return out.select(
         "fire_id", "viirs_count", "interval_count", F.array_join("sources", ",").alias("sources"),
         "covered_intervals", "coverage_ratio", _text("first_viirs_time"), _text("last_viirs_time"),
@@ -206,7 +206,7 @@ FROM g ASOF LEFT JOIN v ON g.fire_id = v.fire_id AND g.ts > v.ts
 """)
 def asof_latest(spark, sf_dir):
     """Latest VIIRS scene strictly before each GOES scene."""
-    used = X.scenes(spark, sf_dir).where(F.col("source").isin("viirs_day", "mask", "frp"))
+    used = X.scenes(spark, sf_dir, "viirs_day", "mask", "frp")
     return align.asof_latest(used).select("fire_id", "file_name", _text("anchor_ts"), "anchor_file")
 
 
@@ -269,7 +269,7 @@ FROM scenes s LEFT JOIN daily d ON d.fire_id = s.fire_id AND d.day = CAST(s.ts A
 """)
 def daily_features_zero_filled(spark, sf_dir):
     """Every VIIRS scene with its day's GOES features, zeros on days without GOES."""
-    steps = X.scenes(spark, sf_dir).where("source = 'viirs_day'").select("fire_id", "file_name", F.to_date("ts").alias("day"))
+    steps = X.scenes(spark, sf_dir, "viirs_day").select("fire_id", "file_name", F.to_date("ts").alias("day"))
     out = align.attach_daily(steps, align.daily_rollup(X.measures(spark, sf_dir)))
     return out.select("fire_id", "file_name", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith("goes_")])
 
@@ -285,7 +285,7 @@ FROM d CROSS JOIN range(0, 24) AS g(bin) LEFT JOIN b ON b.fire_id = d.fire_id AN
 """)
 def dense_day_bins(spark, sf_dir):
     """All 24 hourly bins of every observed day, zero-filled."""
-    days = X.scenes(spark, sf_dir).where("source = 'viirs_day'").select("fire_id", F.to_date("ts").alias("day")).distinct()
+    days = X.scenes(spark, sf_dir, "viirs_day").select("fire_id", F.to_date("ts").alias("day")).distinct()
     dense = align.dense_bins(days, align.subdaily_rollup(X.measures(spark, sf_dir), 60), 60)
     return dense.select(
         "fire_id", F.col("day").cast("string").alias("day"), "bin",
@@ -304,7 +304,7 @@ SELECT fire_id, source, file_name FROM e JOIN f USING (fire_id) WHERE source = C
 def prefer_source(spark, sf_dir):
     """First existing directory wins per event (here a fire's day)."""
     event = F.concat_ws("_", "fire_id", F.to_date("ts").cast("string"))
-    events = X.scenes(spark, sf_dir).withColumn("fire_id", event)
+    events = X.scenes(spark, sf_dir, "mask", "frp").withColumn("fire_id", event)
     return S.prefer_source(events, ["frp", "mask"]).select("fire_id", "source", "file_name")
 
 

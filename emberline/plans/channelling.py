@@ -177,7 +177,7 @@ WITH {X.MEASURES}
 SELECT fire_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, round(ln(1 + greatest(value - 50, 0.0)), 6) AS squashed FROM measures WHERE kind = 'frp'
 """)
 def goes_squash(spark, sf_dir):
-    frp = X.scenes(spark, sf_dir).where("source = 'frp'")
+    frp = X.scenes(spark, sf_dir, "frp")
     return frp.select("fire_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.round(C.squash(F.col("value") - 50), 6).alias("squashed"))
 
 
@@ -435,5 +435,5 @@ def bbox_clip(spark, sf_dir):
     px = X.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")
     )
-    out = P.clip_to_bounds(px, fires, cell=(50.0, 10000.0))
+    out = P.clip_to_bounds(px, fires, cell=(5.0, 9000.0))
     return out.select("fire_id", "l_orderkey", "l_linenumber", F.col("day").cast("string").alias("day"))

@@ -18,8 +18,26 @@ TILE_SIDE = 8
 VEC_BLOCK = 256
 
 
+_SCHEMAS = {
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+              "o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+                "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "benchmark": "item_id BIGINT, text STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; the known schema spares a job that would read file footers."""
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- scenes over events -----------------------------------------------------------
@@ -27,12 +45,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SOURCES = {"view": "viirs_day", "click": "mask", "purchase": "frp", "signup": "viirs_night"}
 
 
-def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scene per event: user = fire, event type = sensor."""
+def scenes(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
+    """One scene per event: user = fire, event type = sensor. Named sources filter at the scan."""
     source = F.lit("rejected")
     for kind, name in _SOURCES.items():
         source = F.when(F.col("event_type") == kind, name).otherwise(source)
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    if sources:
+        events = events.where(F.col("event_type").isin(*[k for k, v in _SOURCES.items() if v in sources]))
+    return events.select(
         F.col("user_id").cast("string").alias("fire_id"),
         source.alias("source"),
         "ts",
@@ -57,7 +78,7 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.col("code")
     fire = code.between(10, 15) | code.between(20, 25) | code.between(30, 35)
     is_mask, is_frp = F.col("source") == "mask", F.col("source") == "frp"
-    return scenes(spark, sf_dir).where(is_mask | is_frp).select(
+    return scenes(spark, sf_dir, "mask", "frp").select(
         "fire_id", "ts", F.col("source").alias("kind"),
         F.when(is_mask, (code > 0).cast("double")).alias("coverage"),
         F.when(is_mask, fire.cast("double")).alias("active_pixel_count"),

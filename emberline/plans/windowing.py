@@ -36,7 +36,7 @@ tiles AS (SELECT fire_id, file_name, row_number() OVER (PARTITION BY fire_id ORD
 def _day_frames(spark, sf_dir):
     from ..operators.scenes import frame_index
 
-    return frame_index(X.scenes(spark, sf_dir).where("source = 'viirs_day'").select("fire_id", "ts", "file_name"))
+    return frame_index(X.scenes(spark, sf_dir, "viirs_day").select("fire_id", "ts", "file_name"))
 
 
 def _window_sql(tail: str, extra: int) -> str:

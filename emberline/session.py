@@ -10,6 +10,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture on every column expression costs more than planning small queries does.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

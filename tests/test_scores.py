@@ -123,3 +123,21 @@ def test_batch_scoring(spark):
         return out
 
     assert M.score_batches(df, predict).first().prob == 0.5
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_clip_both_ways(spark, limit):
+    import datetime as dt
+
+    day = dt.date(2021, 1, 1)
+    fires = spark.createDataFrame(
+        [("a", day, day + dt.timedelta(days=1), 0.0, 4.0, -2.0, 3.0), ("none", day, day, 4.0, 1.0, 0.0, 1.0)],
+        "fire_id string, start_date date, end_date date, x_min double, x_max double, y_min double, y_max double")
+    rows = [(day + dt.timedelta(days=d), float(x), float(y)) for d in range(3) for x in range(-1, 7) for y in range(-4, 5)]
+    px = spark.createDataFrame(rows, "day date, x double, y double")
+    out = P.clip_to_bounds(px, fires, cell=(1.5, 2.0), max_broadcast_rows=limit)
+    want = {(d, x, y) for d, x, y in rows if d < day + dt.timedelta(days=2) and 0 <= x <= 4 and -2 <= y <= 3}
+    got = [(r.day, r.x, r.y) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().toString()
+    assert ("BroadcastHashJoin" in plan) == (limit > 0)
