@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.timeparse import bins_per_day, date_range, floor_hours, minute_bin
-from .ordered import Scan, hour_segment, neighbour, segmented_scan
+from .ordered import Scan, neighbour, segmented_scan, time_segment
 from .scenes import hours_between
 
 
 # --- interval alignment ---------------------------------------------------------
 
-def interval_members(scenes: DataFrame, anchor: str = "viirs_day", **kw) -> DataFrame:
+def interval_members(scenes: DataFrame, anchor: str = "viirs_day", segment_seconds: int = 3600, **kw) -> DataFrame:
     """Number every scene by the anchor interval ``(t, t+1]`` it falls in.
 
     The intervals tile the time line, so the interval of a scene is the number
@@ -26,7 +26,7 @@ def interval_members(scenes: DataFrame, anchor: str = "viirs_day", **kw) -> Data
     is_anchor = F.col("source") == anchor
     marked = scenes.withColumn("__late", is_anchor.cast("int"))
     out = segmented_scan(
-        marked, ["fire_id"], hour_segment("ts"), ["ts", "__late", "file_name"],
+        marked, ["fire_id"], time_segment("ts", segment_seconds), ["ts", "__late", "file_name"],
         {"__n": Scan("sum", F.col("__late"))}, **kw,
     )
     return out.withColumn("interval_index", (F.col("__n") - 1).cast("int")).drop("__n", "__late")
@@ -100,12 +100,12 @@ def alignment_summary(scenes: DataFrame, sources: Sequence[str], anchor: str = "
     )
 
 
-def asof_latest(scenes: DataFrame, anchor: str = "viirs_day", **kw) -> DataFrame:
+def asof_latest(scenes: DataFrame, anchor: str = "viirs_day", segment_seconds: int = 3600, **kw) -> DataFrame:
     """Each non-anchor scene with the latest strictly earlier anchor scene of its fire (NULL when none)."""
     is_anchor = F.col("source") == anchor
     marked = scenes.withColumn("__late", is_anchor.cast("int"))
     out = neighbour(
-        marked, ["fire_id"], hour_segment("ts"), ["ts", "__late", "file_name"],
+        marked, ["fire_id"], time_segment("ts", segment_seconds), ["ts", "__late", "file_name"],
         {"anchor_ts": F.col("ts"), "anchor_file": F.col("file_name")},
         following=False, where=is_anchor, **kw,
     )
@@ -240,6 +240,23 @@ def clip_outcomes(results: DataFrame, keys: Sequence[str] = ("fire_id",)) -> Dat
     )
 
 
+def clip_status(pairs: DataFrame, clipped: DataFrame, done: DataFrame, keys: Sequence[str], overwrite: bool = False) -> DataFrame:
+    """Status of every (fire, file) pair: exists, saved, or empty when the clip holds no pixel.
+
+    ``clipped`` holds the pixels inside the boxes; its pairs are counted before
+    the join, so a large clip is one row there. A pair with no pixel is empty
+    whether or not an output exists, for the clip is looked at first.
+    """
+    found = clipped.groupBy(*keys).agg(F.lit(True).alias("__found"))
+    there = done.select(*keys).distinct().withColumn("__done", F.lit(not overwrite))
+    status = (
+        F.when(F.col("__found").isNull(), "empty")
+        .when(F.coalesce(F.col("__done"), F.lit(False)), "exists")
+        .otherwise("saved")
+    )
+    return pairs.join(found, list(keys), "left").join(there, list(keys), "left").withColumn("status", status).drop("__found", "__done")
+
+
 def not_yet_done(todo: DataFrame, done: DataFrame, keys: Sequence[str], overwrite: bool = False) -> DataFrame:
     """Work that still has no output; with ``overwrite`` everything."""
     return todo if overwrite else todo.join(done.select(*keys), list(keys), "left_anti")

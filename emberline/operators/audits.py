@@ -37,11 +37,12 @@ def pair_status(files: DataFrame, kinds: Sequence[str] = ("img", "label"), sampl
 
 def orphans(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str] = ("img", "label")) -> DataFrame:
     """Halves without their counterpart, on either side. Reported only; nothing is deleted."""
-    a = left.select(key).distinct()
-    b = right.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("kind", F.lit(names[0])).unionByName(
-        b.join(a, key, "left_anti").withColumn("kind", F.lit(names[1]))
+    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
+    seen = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    kind = F.when(F.col("l") == 1, names[0]).otherwise(names[1])
+    return seen.where(F.col("l") != F.col("r")).select(key, kind.alias("kind"))
 
 
 def with_artifacts(cases: DataFrame, artifacts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -34,28 +34,41 @@ def conformal_quantile(scores: DataFrame, alpha: float, *, by: Sequence[str] = (
     one whose span holds the rank, so no group is sorted in one task. An empty
     input gives no row.
     """
+    _check_alpha(alpha)
+    keys = list(by)
+    return _rank(scores.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__n")), keys, alpha, score)
+
+
+def _check_alpha(alpha: float) -> None:
     if not 0.0 < alpha < 1.0:
         raise ValueError(f"alpha must be in (0, 1), got {alpha}")
-    keys = list(by)
-    counts = scores.groupBy(*keys, F.col(score).alias("__score")).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def _rank(counts: DataFrame, keys: list[str], alpha: float, score: str) -> DataFrame:
+    """Quantile per group from counts ``__n`` of distinct scores."""
     ranked = segmented_scan(
-        counts, keys, _score_segment(F.col("__score")), ["__score"],
+        counts, keys, _score_segment(F.col(score)), [score],
         {"__upto": Scan("sum", F.col("__n")), "n": Scan("total", F.col("__n"))},
     )
     rank = F.least(F.ceil((F.col("n") + 1) * (1.0 - alpha)), F.col("n") - 1)
     inside = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)
-    return ranked.where(inside).select(*keys, F.col("__score").alias("qhat"), "n")
+    return ranked.where(inside).select(*keys, F.col(score).alias("qhat"), "n")
 
 
 def class_quantiles(calibration: DataFrame, alpha: float, prob: str = "prob", label: str = "label") -> DataFrame:
     """q0 and q1 by class, both the global quantile when a class is absent; one row (none for empty input)."""
+    _check_alpha(alpha)
     positive = F.col(label) > 0
-    scored = calibration.select(
-        positive.cast("int").alias("__class"), nonconformity(F.col(prob), positive).alias("score")
+    by_class = (
+        calibration.select(positive.cast("int").alias("__class"), nonconformity(F.col(prob), positive).alias("score"))
+        .groupBy("__class", "score").agg(F.count(F.lit(1)).alias("__c"))
+    )
+    # Both classes and the whole set are ranked in one scan: group 2 holds every score.
+    counts = (
+        by_class.select("score", "__c", F.explode(F.array(F.col("__class"), F.lit(2))).alias("__group"))
+        .groupBy("__group", "score").agg(F.sum("__c").alias("__n"))
     )
-    # Both classes and the whole set ranked in one scan: group 2 holds every score.
-    both = scored.withColumn("__group", F.explode(F.array(F.col("__class"), F.lit(2))))
-    q = conformal_quantile(both, alpha, by=["__group"])
+    q = _rank(counts, ["__group"], alpha, "score")
 
     def of(group: int, c: str) -> Column:
         return F.max(F.when(F.col("__group") == group, F.col(c)))

@@ -10,6 +10,7 @@ per whole key, and it is itself split once more when ``levels`` is above zero.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,31 +131,75 @@ def row_index(
     return out.withColumns(casts)
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """The nearest earlier (or later) row's payload; with ``where``, the nearest row for which it holds."""
+
+    payload: dict[str, Column]
+    where: Column | None = None
+    following: bool = False
+
+
+def neighbours(
+    df: DataFrame, keys: list[str], segment: Column, order: list[str], lookups: list[Lookup], **kw
+) -> DataFrame:
+    """Lag, lead and last-not-null in one scan, however many lookups there are.
+
+    A running maximum of ``struct(order, payload)`` over earlier rows *is* the
+    latest earlier row. Ties on ``order`` are broken by the payload, so ``order``
+    should be unique per key.
+    """
+    scans = {}
+    for n, look in enumerate(lookups):
+        packed = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
+                          *[v.alias(f"p{i}") for i, v in enumerate(look.payload.values())])
+        if look.where is not None:
+            packed = F.when(look.where, packed)
+        how = "min" if look.following else "max"
+        scans[f"__near{n}"] = Scan(how, packed, following=look.following, inclusive=False)
+    out = segmented_scan(df, keys, segment, order, scans, **kw)
+    return out.withColumns(
+        {
+            name: F.col(f"__near{n}").getField(f"p{i}")
+            for n, look in enumerate(lookups)
+            for i, name in enumerate(look.payload)
+        }
+    ).drop(*scans)
+
+
 def neighbour(
     df: DataFrame, keys: list[str], segment: Column, order: list[str], payload: dict[str, Column],
     *, following: bool, where: Column | None = None, **kw,
 ) -> DataFrame:
-    """Previous (or next) row's payload, optionally the nearest row for which ``where`` holds.
+    """One lookup of ``neighbours``."""
+    return neighbours(df, keys, segment, order, [Lookup(payload, where, following)], **kw)
 
-    A running maximum of ``struct(order, payload)`` over earlier rows *is* the
-    latest earlier row, so one scan gives lag, lead and last-not-null. Ties on
-    ``order`` are broken by the payload, so ``order`` should be unique per key.
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from there.
+
+    A scan reads its input twice, so a chain of scans doubles the work of its
+    first link each time; a checkpoint between links stops that and outlives lost
+    executors. The folder is the session's ``spark.checkpoint.dir``; only where
+    that is unset, as in a local test, is a temporary one made.
     """
-    packed = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
-                      *[v.alias(f"p{i}") for i, v in enumerate(payload.values())])
-    if where is not None:
-        packed = F.when(where, packed)
-    scan = Scan("min" if following else "max", packed, following=following, inclusive=False)
-    out = segmented_scan(df, keys, segment, order, {"__near": scan}, **kw)
-    return out.withColumns(
-        {name: F.col("__near").getField(f"p{i}") for i, name in enumerate(payload)}
-    ).drop("__near")
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
+    return df.checkpoint(eager=True)
 
 
-def hour_segment(ts: str | Column) -> Column:
-    """Hours since the epoch: the usual segment for time-ordered scenes."""
+def time_segment(ts: str | Column, seconds: int = 3600) -> Column:
+    """``seconds``-long stretches of time: the usual segment for scenes.
+
+    An hour holds few scenes of one fire; for denser streams take shorter
+    segments together with ``levels=1``, which splits the carry table as well.
+    """
     col = F.col(ts) if isinstance(ts, str) else ts
-    return F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")) * 24 + F.hour(col)
+    days = F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")).cast("long")
+    of_day = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+    return F.floor((days * 86400 + of_day) / seconds)
 
 
 def block_segment(col: str | Column, size: int) -> Column:

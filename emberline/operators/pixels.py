@@ -63,36 +63,25 @@ def minmax_scene(pixels: DataFrame, value: str, keys: Sequence[str], out: str |
 def zero_pad(fine: DataFrame, keys: Sequence[str], coarse_rows: int, coarse_cols: int, value: str = "v") -> DataFrame:
     """Grow each raster with zeros to twice the coarse raster's size.
 
-    Only cells past the raster's own last row or column are made, so no grid is
-    joined: the last pixel of each row emits its row's tail, and the very last
-    pixel also emits the missing rows.
+    A pixel of an h × w raster also makes the target cells at whole multiples of
+    h below it and of w beside it. Every target cell has exactly one such pixel,
+    so the padding is spread evenly and no grid is joined.
     """
-    height, width = 2 * coarse_rows, 2 * coarse_cols
-    size = fine.groupBy(*keys).agg(F.max("row").alias("__r"), F.max("col").alias("__c"))
-    rows = fine.join(size, list(keys))
-    empty = F.array().cast("array<struct<row:int,col:int,v:double>>")
-
-    def cells(r: Column, low: Column) -> Column:
-        return F.when(
-            low < width,
-            F.transform(
-                F.sequence(low, F.greatest(low, F.lit(width - 1))),
-                lambda c: F.struct(r.cast("int").alias("row"), c.cast("int").alias("col"), F.lit(0.0).alias("v")),
-            ),
-        ).otherwise(empty)
-
-    own = F.array(F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
-                           F.col(value).cast("double").alias("v")))
-    tail = F.when(F.col("col") == F.col("__c"), cells(F.col("row"), F.col("__c") + 1)).otherwise(empty)
-    is_last = (F.col("row") == F.col("__r")) & (F.col("col") == F.col("__c"))
-    below = F.when(
-        is_last & (F.col("__r") + 1 < height),
-        F.flatten(F.transform(
-            F.sequence(F.col("__r") + 1, F.greatest(F.col("__r") + 1, F.lit(height - 1))),
-            lambda r: cells(r, F.lit(0)),
-        )),
-    ).otherwise(empty)
-    return rows.select(*keys, F.inline(F.concat(own, tail, below))).withColumnRenamed("v", value)
+    size = fine.groupBy(*keys).agg((F.max("row") + 1).alias("__h"), (F.max("col") + 1).alias("__w"))
+
+    def steps(at: str, length: int, stride: str) -> Column:
+        return F.sequence(F.col(at), F.greatest(F.col(at), F.lit(length - 1)), F.col(stride))
+
+    spread = (
+        fine.join(size, list(keys))
+        .withColumn("__row", F.explode(steps("row", 2 * coarse_rows, "__h")))
+        .withColumn("__col", F.explode(steps("col", 2 * coarse_cols, "__w")))
+    )
+    own = (F.col("__row") == F.col("row")) & (F.col("__col") == F.col("col"))
+    return spread.select(
+        *keys, F.col("__row").alias("row"), F.col("__col").alias("col"),
+        F.when(own, F.col(value).cast("double")).otherwise(F.lit(0.0)).alias(value),
+    )
 
 
 def block_mean(pixels: DataFrame, keys: Sequence[str], k: int, value: str = "v") -> DataFrame:

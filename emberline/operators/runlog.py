@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .ordered import Scan, block_segment, neighbour, segmented_scan
+from .ordered import Lookup, Scan, block_segment, neighbour, neighbours, segmented_scan
 
 STEP_BLOCK = 65536
 
@@ -172,19 +172,26 @@ def decide(runs: DataFrame, text: str = "log") -> DataFrame:
 
 # --- looking back over steps ---------------------------------------------------------
 
+def _metric_lookup(runs: DataFrame, metric: Column, *others: Lookup) -> DataFrame:
+    """Current and previous primary metric of each step, with further lookups in the same scan."""
+    marked = runs.withColumn("__metric", metric).withColumns(
+        {"metric_name": F.col("__metric.name"), "metric_value": F.col("__metric.value")}
+    ).drop("__metric")
+    previous = Lookup(
+        {"prev_metric_name": F.col("metric_name"), "prev_metric_value": F.col("metric_value")},
+        where=F.col("metric_value").isNotNull(),
+    )
+    out = neighbours(marked, ["task"], block_segment("step", STEP_BLOCK), ["step"], [previous, *others])
+    same = F.col("metric_name") == F.col("prev_metric_name")
+    return out.withColumn("delta", F.when(same, F.col("metric_value") - F.col("prev_metric_value")))
+
+
 def metric_delta(runs: DataFrame, metric: Column) -> DataFrame:
     """Change of the primary metric since the last step that had one, when its name is unchanged.
 
     ``metric`` is a (name, value) struct, NULL on steps without one.
     """
-    marked = runs.withColumns({"metric_name": metric["name"], "metric_value": metric["value"]})
-    out = neighbour(
-        marked, ["task"], block_segment("step", STEP_BLOCK), ["step"],
-        {"prev_metric_name": F.col("metric_name"), "prev_metric_value": F.col("metric_value")},
-        following=False, where=F.col("metric_value").isNotNull(),
-    )
-    same = F.col("metric_name") == F.col("prev_metric_name")
-    return out.withColumn("delta", F.when(same, F.col("metric_value") - F.col("prev_metric_value")))
+    return _metric_lookup(runs, metric)
 
 
 def changed_params(runs: DataFrame) -> DataFrame:
@@ -219,6 +226,11 @@ def best_by_tool(runs: DataFrame, score: Column) -> DataFrame:
     return runs.where(score.isNotNull()).groupBy("task", "tool_name").agg(F.max(score).alias("best_score"))
 
 
+def latest_by_tool(runs: DataFrame, score: Column) -> DataFrame:
+    """Score of each tool's most recent run, NULL when that run has none."""
+    return runs.groupBy("task", "tool_name").agg(F.max_by(score, "step").alias("latest_score"))
+
+
 def history_length(runs: DataFrame) -> DataFrame:
     return runs.groupBy("task").agg(F.count(F.lit(1)).alias("history_length"))
 
@@ -346,14 +358,25 @@ def comparison_table(runs: DataFrame) -> DataFrame:
     )
 
 
-def reasoning_table(runs: DataFrame) -> DataFrame:
-    """What each step did to the primary metric: first, improved, reduced, same, renamed, recovered or none."""
+def summary_table(runs: DataFrame) -> DataFrame:
+    """Report head per task: steps, best run with its metric, rationale and decision, total runtime."""
     metric = primary_metric(F.col("metrics"))
-    marked = metric_delta(runs, metric)
-    with_prev = neighbour(
-        marked, ["task"], block_segment("step", STEP_BLOCK), ["step"],
-        {"prev_decision": F.col("decision"), "prev_step_tool": F.col("tool_name")}, following=False,
+    scored = runs.select(
+        "task", "step", "tool_name", "rationale", "decision",
+        metric["name"].alias("metric_name"), metric["value"].alias("metric_value"),
+    )
+    best = best_run(scored, F.col("metric_value")).withColumnRenamed("step", "best_step")
+    return (
+        history_length(runs).join(total_runtime(runs), "task").join(best, "task", "left")
+        .withColumn("best_metric", F.concat(F.col("metric_name"), F.lit("="), F.printf(F.lit("%.4f"), F.col("metric_value"))))
+        .drop("metric_name", "metric_value")
     )
+
+
+def reasoning_table(runs: DataFrame) -> DataFrame:
+    """What each step did to the primary metric: first, improved, reduced, same, renamed, recovered or none."""
+    before = Lookup({"prev_decision": F.col("decision"), "prev_step_tool": F.col("tool_name")})
+    with_prev = _metric_lookup(runs, primary_metric(F.col("metrics")), before)
     recovered = (F.col("prev_decision") == "needs_debug") & (F.col("prev_step_tool") == F.col("tool_name"))
     outcome = (
         F.when(F.col("metric_value").isNull(), "no_metric")
@@ -369,7 +392,7 @@ def reasoning_table(runs: DataFrame) -> DataFrame:
 
 # --- batches -----------------------------------------------------------------------------
 
-def epoch_batches(samples: DataFrame, key: str, batch_size: int, seed: int, *, buckets: int = 4096) -> DataFrame:
+def epoch_batches(samples: DataFrame, key: str, batch_size: int, seed: int, *, buckets: int = 65536) -> DataFrame:
     """Shuffle samples for an epoch and cut whole batches; the remainder is dropped, as the reader of batches expects.
 
     The order is that of a hash of (key, seed), hence reproducible. Positions

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import channels as C
-from .ordered import hour_segment, neighbour, row_index
+from .ordered import neighbour, row_index, time_segment
 
 
 def dedupe_scenes(scenes: DataFrame) -> DataFrame:
@@ -20,14 +20,14 @@ def dedupe_scenes(scenes: DataFrame) -> DataFrame:
 def frame_index(scenes: DataFrame, *, order: Sequence[str] = ("ts", "file_name"), keys: Sequence[str] = ("fire_id",),
                 segment: Column | None = None, total: str | None = "n_frames", **kw) -> DataFrame:
     """0-based frame number of each scene within its fire, and the fire's frame count."""
-    seg = segment if segment is not None else hour_segment("ts")
+    seg = segment if segment is not None else time_segment("ts")
     return row_index(scenes, list(keys), seg, list(order), "frame", total, **kw)
 
 
-def scene_gaps(scenes: DataFrame, **kw) -> DataFrame:
+def scene_gaps(scenes: DataFrame, segment_seconds: int = 3600, **kw) -> DataFrame:
     """Hours from each scene to the next of the same fire, to 3 decimals; NULL on the last."""
     out = neighbour(
-        scenes, ["fire_id"], hour_segment("ts"), ["ts", "file_name"], {"next_ts": F.col("ts")},
+        scenes, ["fire_id"], time_segment("ts", segment_seconds), ["ts", "file_name"], {"next_ts": F.col("ts")},
         following=True, **kw,
     )
     return out.withColumn("gap_hours", F.round(hours_between(F.col("ts"), F.col("next_ts")), 3))
@@ -92,9 +92,18 @@ def prefer_source(scenes: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def page_fires(fires: DataFrame, *, start: int = 0, limit: int | None = None, key: str = "fire_id") -> DataFrame:
-    """``limit`` fires from position ``start`` in id order; a global top-k, not a full sort to one task."""
-    page = fires.orderBy(key).offset(max(start, 0))
-    return page if limit is None else page.limit(limit)
+    """``limit`` fires from position ``start`` in id order.
+
+    A bounded page is a top-k. An open-ended one looks up the last id to skip,
+    again a top-k, and filters; the table is never sorted as a whole.
+    """
+    skip = max(start, 0)
+    if limit is not None:
+        return fires.orderBy(key).offset(skip).limit(limit)
+    if skip == 0:
+        return fires
+    last = fires.select(key).orderBy(key).limit(skip).agg(F.max(key).alias("__last"))
+    return fires.join(F.broadcast(last), F.col(key) > F.col("__last")).drop("__last")
 
 
 def assign_split(fires: DataFrame, *, is_test: Column, validation: DataFrame | Sequence[str], key: str = "fire_id") -> DataFrame:

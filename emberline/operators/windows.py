@@ -100,13 +100,13 @@ def carried_max(
     _check(ts, interval, tail)
     length = ts + 1 if tail == "drop" else ts
     members = windows_of_frame(F.col("frame"), F.col("n_frames"), ts, interval, tail, length, False)
-    seen = pixels.withColumn("__windows", members)
-    used = F.size("__windows") > 0
-    scans = {v: Scan("max", F.when(used, F.col(v).cast("double"))) for v in values}
-    peaks = segmented_scan(seen, list(keys), block_segment("frame", block), ["frame"], scans, **kw)
+    # Only an interval longer than the window leaves frames that no window passes.
+    seen = F.size(members) > 0 if interval > length else F.lit(True)
+    scans = {v: Scan("max", F.when(seen, F.col(v).cast("double"))) for v in values}
+    needed = pixels.select(*keys, "frame", "n_frames", *keep, *values)
+    peaks = segmented_scan(needed, list(keys), block_segment("frame", block), ["frame"], scans, **kw)
     rows = (
-        peaks.where(used)
-        .withColumn("window_idx", F.explode("__windows"))
+        peaks.withColumn("window_idx", F.explode(members))
         .withColumn("start_idx", window_start(F.col("window_idx"), F.col("n_frames"), ts, interval, tail).cast("int"))
     )
     offset = (F.col("frame") - F.col("start_idx")).cast("int")

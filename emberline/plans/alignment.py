@@ -636,6 +636,41 @@ def clip_outcomes(spark, sf_dir):
     return align.clip_outcomes(results)
 
 
+@query("""
+WITH f AS (SELECT CAST(c_custkey AS VARCHAR) AS fire_id, DATE '2024-01-01' + CAST(c_custkey % 28 AS INTEGER) AS day, CAST(c_custkey % 45 AS DOUBLE) * 2 AS lo FROM customer),
+px AS (SELECT CAST(ts AS DATE) AS day, event_type AS file, value AS x, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) AS y FROM events),
+pairs AS (SELECT DISTINCT f.fire_id, px.file, f.day, f.lo FROM f JOIN px USING (day)),
+hit AS (SELECT DISTINCT p.fire_id, p.file FROM pairs p JOIN px ON px.day = p.day AND px.file = p.file AND px.x BETWEEN p.lo AND p.lo + 12 AND px.y BETWEEN p.lo AND p.lo + 9),
+done AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS fire_id FROM orders WHERE o_orderstatus = 'P')
+SELECT fire_id, count(*) AS input_files, count(*) FILTER (h AND NOT d) AS saved_files, count(*) FILTER (NOT h) AS empty_files, count(*) FILTER (h AND d) AS existing_files, CAST(0 AS BIGINT) AS error_files
+FROM (SELECT p.fire_id, (p.fire_id, p.file) IN (SELECT (fire_id, file) FROM hit) AS h, p.fire_id IN (SELECT fire_id FROM done) AS d FROM pairs p) GROUP BY fire_id
+""")
+def clip_run(spark, sf_dir):
+    """A whole clip run: each fire's day of files clipped to its box, outputs already there skipped, outcomes counted."""
+    from ..operators.pixels import clip_to_bounds
+
+    k, lo = F.col("key"), (F.col("key") % 45).cast("double") * 2
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 28).cast("int"))
+    fires = X.fires(spark, sf_dir, "customer").select(
+        "fire_id", day.alias("start_date"), day.alias("end_date"), lo.alias("x_min"), (lo + 12).alias("x_max"), lo.alias("y_min"), (lo + 9).alias("y_max"),
+    )
+    px = X.table(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("day"), F.col("event_type").alias("file"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"),
+    )
+    files = px.select("day", "file").distinct()
+    pairs = fires.select("fire_id", F.col("start_date").alias("day")).join(files, "day").select("fire_id", "file")
+    done = X.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("fire_id"))
+    done = pairs.join(done.distinct(), "fire_id", "left_semi")
+    clipped = clip_to_bounds(px, fires, cell=(12.0, 9.0))
+    return align.clip_outcomes(align.clip_status(pairs, clipped, done, ["fire_id", "file"]))
+
+
+@query(_COVERAGE + "SELECT * FROM report ORDER BY fire_id LIMIT 10")
+def coverage_preview(spark, sf_dir):
+    """First ten rows of the coverage report."""
+    return date_coverage(spark, sf_dir).orderBy("fire_id").limit(10)
+
+
 @query("""
 SELECT event_id FROM events WHERE event_type = 'click' AND event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
 """)

@@ -8,6 +8,7 @@ from .. import constants as K
 from ..functions import channels as C
 from ..operators import audits as A
 from ..operators import runlog as R
+from ..operators.ordered import cut_lineage
 from ..sources import manifest as MF
 from . import fixtures as X
 from .registry import query
@@ -176,7 +177,8 @@ SELECT key, CASE WHEN score IS NULL THEN 'no_metric' WHEN pd = 'needs_debug' AND
 """)
 def run_reasoning(spark, sf_dir):
     """What each step did to the primary metric."""
-    return R.reasoning_table(_decided(spark, sf_dir)).select("key", "outcome")
+    decided = cut_lineage(_decided(spark, sf_dir).select("task", "step", "key", "tool_name", "decision", "metrics"))
+    return R.reasoning_table(decided).select("key", "outcome")
 
 
 _RATIONALE = "CASE key % 5 WHEN 0 THEN 'Retry with a Smaller Batch' WHEN 1 THEN 'upgrade the model' WHEN 2 THEN 'probe first' WHEN 3 THEN 'longer temporal window' ELSE 'resource limits hit' END"
@@ -218,6 +220,26 @@ def total_runtime(spark, sf_dir):
     return R.total_runtime(_reported(spark, sf_dir))
 
 
+@query(f"""
+WITH {_FULL}, e AS (SELECT task, count(*) AS history_length, arg_min(o_orderdate, step) AS a, arg_max(o_orderdate + to_seconds(key * 97 % 9000), step) AS z FROM runs GROUP BY task),
+r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY score DESC, step) AS i FROM d WHERE score IS NOT NULL),
+u AS (SELECT *, greatest(0, epoch(z)::BIGINT - epoch(a)::BIGINT) AS s FROM e)
+SELECT u.task, history_length, {_DURATION} AS total_runtime, CAST(step AS INTEGER) AS best_step, tool_name, {_RATIONALE} AS rationale, decision,
+       metric || '=' || printf('%.4f', score) AS best_metric FROM u JOIN r ON r.task = u.task AND i = 1
+""")
+def report_summary(spark, sf_dir):
+    """Head of the report: steps, best run, total runtime."""
+    return R.summary_table(_reported(spark, sf_dir))
+
+
+@query(f"WITH {_FULL} SELECT task, tool_name, round(arg_max_null(score, step), 6) AS latest_score FROM d GROUP BY ALL")
+def latest_score_by_tool(spark, sf_dir):
+    """Score of each tool's last run."""
+    scored = R.with_run_metrics(X.runs(spark, sf_dir))
+    out = R.latest_by_tool(scored, R.primary_metric(F.col("metrics"))["value"])
+    return out.withColumn("latest_score", F.round("latest_score", 6))
+
+
 @query("""
 SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderkey % 9 AS VARCHAR) END AS ts FROM orders
 """)
