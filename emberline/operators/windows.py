@@ -84,6 +84,12 @@ def _previous_start(ts: int, interval: int, tail: str) -> Column:
     return window_start(F.col("window_idx") - 1, F.col("n_frames"), ts, interval, tail)
 
 
+def state_edge(ts: int, interval: int, tail: str, length: int) -> Column:
+    """Last frame passed by earlier windows, relative to this window's start; −1 for the first window."""
+    edge = F.when(F.col("window_idx") > 0, _previous_start(ts, interval, tail) - F.col("start_idx") + length - 1)
+    return F.coalesce(edge, F.lit(-1)).cast("int")
+
+
 def carried_max(
     pixels: DataFrame, values: Sequence[str], ts: int, interval: int, tail: str = "drop", *,
     leakage: str = "reference", keys: Sequence[str] = PIXEL, block: int = 256, keep: Sequence[str] = (), **kw,
@@ -113,9 +119,7 @@ def carried_max(
     if leakage == "causal":
         steps = F.array(offset)
     else:
-        # Last frame passed by earlier windows, relative to this window's start.
-        edge = F.when(F.col("window_idx") > 0, _previous_start(ts, interval, tail) - F.col("start_idx") + length - 1)
-        edge = F.coalesce(edge, F.lit(-1)).cast("int")
+        edge = state_edge(ts, interval, tail, length)
         steps = (
             F.when(offset > edge, F.array(offset))
             .when(offset == edge, F.sequence(F.lit(0), F.greatest(offset, F.lit(0))))
