@@ -24,22 +24,28 @@ PIXEL_KEYS = ("fire_id", "ts", "row", "col")
 
 
 def stack_pixels(
-    day: DataFrame, night: DataFrame, aux: DataFrame | None = None, *,
-    offset: int | None = K.CROP_OFFSET, size: int = K.TILE,
+    scenes: DataFrame, day: DataFrame, night: DataFrame, aux: DataFrame | None = None, *,
+    offset: int | None = K.CROP_OFFSET, size: int = K.TILE, max_broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """Cropped pixels with stacked channels and labels: fire_id, frame, n_frames, row, col, x, af, perimeter.
 
+    ``scenes`` is the day manifest (fire_id, ts, file_name), so frames are numbered
+    without reading a pixel; scenes left out of it drop out with their pixels. It
+    is counted, and broadcast up to ``max_broadcast_rows``: pixels then keep their
+    place until the one shuffle on pixel keys.
+
     Day rows hold six bands, the active-fire band and, when eight, the perimeter
-    band; night rows are joined where present, auxiliary rows must be. Frames are
-    numbered over day scenes before any pixel is joined, and the crop comes before
-    the joins, so rows outside it are never shuffled.
+    band; night rows are joined where present, auxiliary rows must be. The crop
+    comes before the joins, so rows outside it are never shuffled.
     """
     def cut(pixels: DataFrame) -> DataFrame:
         return crop(pixels, offset=offset, size=size)
 
-    scenes = frame_index(day.select(*SCENE_KEYS).distinct(), order=["ts"])
+    frames = frame_index(scenes.select(*SCENE_KEYS, "file_name")).drop("file_name")
+    if scenes.count() <= max_broadcast_rows:
+        frames = F.broadcast(frames)
     bands = F.col("bands")
-    rows = cut(day).join(scenes, list(SCENE_KEYS)).join(
+    rows = cut(day).join(frames, list(SCENE_KEYS)).join(
         cut(night).select(*PIXEL_KEYS, F.col("bands").alias("__night")), list(PIXEL_KEYS), "left"
     )
     x = C.stack_day_night(bands, F.col("__night"))

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from emberline.operators import datasets as D
 
 DAY = "fire_id string, ts timestamp_ntz, row int, col int, bands array<float>"
@@ -24,7 +26,8 @@ def _tables(spark):
 
 def _stack(spark, with_aux):
     day, night, aux = _tables(spark)
-    return D.stack_pixels(day, night, aux if with_aux else None, offset=1, size=4)
+    scenes = day.select("fire_id", "ts", F.lit("x").alias("file_name")).distinct()
+    return D.stack_pixels(scenes, day, night, aux if with_aux else None, offset=1, size=4)
 
 
 def test_stack(spark):
