@@ -34,8 +34,15 @@ def scene_gaps(scenes: DataFrame, segment_seconds: int = 3600, **kw) -> DataFram
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    """Elapsed hours; microseconds keep sub-second stamps exact."""
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 3.6e9
+    """Elapsed hours, exact to the microsecond. Zone-free stamps are subtracted as they are, whatever the session's zone."""
+    gap = end - start
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), gap)
+
+    minutes = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    micros = minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
+    return micros / 3.6e9
 
 
 def usable_scenes(scenes: DataFrame, task: str = "pred") -> DataFrame:
@@ -106,7 +113,14 @@ def page_fires(fires: DataFrame, *, start: int = 0, limit: int | None = None, ke
     return fires.join(F.broadcast(last), F.col(key) > F.col("__last")).drop("__last")
 
 
-def assign_split(fires: DataFrame, *, is_test: Column, validation: DataFrame | Sequence[str], key: str = "fire_id") -> DataFrame:
+def exclude_fires(fires: DataFrame, ids: Sequence[str] = K.TEST_EXCLUDED_FIRES, key: str = "fire_id") -> DataFrame:
+    """All fires but the named ones."""
+    return fires.where(~F.col(key).isin(*ids))
+
+
+def assign_split(
+    fires: DataFrame, *, is_test: Column, validation: DataFrame | Sequence[str] = K.VALIDATION_FIRES, key: str = "fire_id",
+) -> DataFrame:
     """train, val or test for every fire. ``validation`` is an id list or a one-column DataFrame of ids."""
     if isinstance(validation, DataFrame):
         marked = fires.join(

@@ -124,3 +124,30 @@ def test_overwrite_redoes_everything(spark):
     a = spark.range(3)
     assert align.not_yet_done(a, a.where("id < 2"), ["id"]).count() == 1
     assert align.not_yet_done(a, a.where("id < 2"), ["id"], overwrite=True).count() == 3
+
+
+def test_gaps_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    rows = [("f", "viirs_day", "2021-03-13T12:00:00.25", "a"), ("f", "viirs_day", "2021-03-15T13:30", "b")]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # the clock changes in between
+        gaps = [r.gap_hours for r in S.scene_gaps(_scenes(spark, rows)).orderBy("ts").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert gaps == [49.5, None]
+
+
+def test_fine_segments_change_nothing(spark):
+    rows = [("f", "viirs_day", f"2021-03-13T{h:02d}:{m:02d}", f"{h}-{m}") for h in range(6) for m in (0, 7, 31)]
+    df = _scenes(spark, rows)
+    coarse = sorted((str(r) for r in S.scene_gaps(df).collect()))
+    assert len(coarse) == 18
+    assert sorted(str(r) for r in S.scene_gaps(df, segment_seconds=300, levels=1, fan_in=12).collect()) == coarse
+
+
+def test_named_fires_are_left_out(spark):
+    df = spark.createDataFrame([("a",), ("US_2021_NV3700011641620210517",)], "fire_id string")
+    assert [r.fire_id for r in S.exclude_fires(df).collect()] == ["a"]
+    paged = spark.createDataFrame([(f"f{i}",) for i in range(9)], "fire_id string")
+    assert [r.fire_id for r in S.page_fires(paged, start=6).orderBy("fire_id").collect()] == ["f6", "f7", "f8"]
+    assert S.page_fires(paged).count() == 9
