@@ -15,7 +15,7 @@ from .scenes import hours_between
 
 # --- interval alignment ---------------------------------------------------------
 
-def interval_members(scenes: DataFrame, anchor: str = "viirs_day", segment_seconds: int = 3600, **kw) -> DataFrame:
+def interval_members(scenes: DataFrame, anchor: str = "viirs_day", segment_seconds: int = 86400, **kw) -> DataFrame:
     """Number every scene by the anchor interval ``(t, t+1]`` it falls in.
 
     The intervals tile the time line, so the interval of a scene is the number
@@ -100,7 +100,7 @@ def alignment_summary(scenes: DataFrame, sources: Sequence[str], anchor: str = "
     )
 
 
-def asof_latest(scenes: DataFrame, anchor: str = "viirs_day", segment_seconds: int = 3600, **kw) -> DataFrame:
+def asof_latest(scenes: DataFrame, anchor: str = "viirs_day", segment_seconds: int = 86400, **kw) -> DataFrame:
     """Each non-anchor scene with the latest strictly earlier anchor scene of its fire (NULL when none)."""
     is_anchor = F.col("source") == anchor
     marked = scenes.withColumn("__late", is_anchor.cast("int"))

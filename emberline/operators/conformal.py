@@ -93,7 +93,7 @@ def prediction_sets(predictions: DataFrame, quantiles: DataFrame, prob: str = "p
     ``quantiles`` is the one-row result of ``class_quantiles``; a single row is
     its size bound, so it is broadcast.
     """
-    q = F.broadcast(quantiles.agg(F.first("q0").alias("q0"), F.first("q1").alias("q1")))
+    q = F.broadcast(quantiles.agg(F.max("q0").alias("q0"), F.max("q1").alias("q1")))
     joined = predictions.join(q, F.lit(True))
     fire = (1.0 - F.col(prob)) <= F.col("q1")
     none = F.col(prob) <= F.col("q0")

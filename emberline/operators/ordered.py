@@ -2,7 +2,7 @@
 
 A plain ``Window.partitionBy(key)`` puts one key in one task. A single fire (or
 task name) may hold a third of all rows, so the scans here split every key into
-ordered *segments* (an hour of scenes, a block of frames). Rows are scanned
+ordered *segments* (a day of scenes, a block of frames). Rows are scanned
 inside ``(key, segment)``; a pre-aggregated table with one row per segment
 carries the state across segment borders. Only that small table is ever ordered
 per whole key, and it is itself split once more when ``levels`` is above zero.
@@ -190,18 +190,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def time_segment(ts: str | Column, seconds: int = 3600) -> Column:
+def time_segment(ts: str | Column, seconds: int = 86400) -> Column:
     """``seconds``-long stretches of time: the usual segment for scenes.
 
-    An hour holds few scenes of one fire; for denser streams take shorter
-    segments together with ``levels=1``, which splits the carry table as well.
+    A day holds a few hundred scenes of one fire, so the carry table is that much
+    smaller than the scenes. For denser streams let ``fit_segment_seconds``
+    measure a shorter stretch, together with ``levels=1``.
     """
     col = F.col(ts) if isinstance(ts, str) else ts
     days = F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")).cast("long")
+    if seconds % 86400 == 0:
+        return F.floor(days / (seconds // 86400))
     of_day = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
     return F.floor((days * 86400 + of_day) / seconds)
 
 
+def fit_segment_seconds(df: DataFrame, keys: list[str], ts: str = "ts", *, rows: int = 1_000_000) -> int:
+    """Segment length that leaves about ``rows`` rows of the busiest key's busiest day in a segment, at most a day.
+
+    One map-side aggregate over keys and days; only a single number returns.
+    """
+    busiest = df.groupBy(*keys, F.to_date(ts)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    return 86400 if not busiest or busiest <= rows else max(1, 86400 * rows // busiest)
+
+
 def block_segment(col: str | Column, size: int) -> Column:
     """Consecutive blocks of an integral order column."""
     value = F.col(col) if isinstance(col, str) else col

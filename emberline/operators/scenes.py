@@ -24,7 +24,7 @@ def frame_index(scenes: DataFrame, *, order: Sequence[str] = ("ts", "file_name")
     return row_index(scenes, list(keys), seg, list(order), "frame", total, **kw)
 
 
-def scene_gaps(scenes: DataFrame, segment_seconds: int = 3600, **kw) -> DataFrame:
+def scene_gaps(scenes: DataFrame, segment_seconds: int = 86400, **kw) -> DataFrame:
     """Hours from each scene to the next of the same fire, to 3 decimals; NULL on the last."""
     out = neighbour(
         scenes, ["fire_id"], time_segment("ts", segment_seconds), ["ts", "file_name"], {"next_ts": F.col("ts")},

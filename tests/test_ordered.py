@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators.ordered import Scan, block_segment, neighbour, row_index, segmented_scan
+from emberline.operators.ordered import Scan, block_segment, fit_segment_seconds, neighbour, row_index, segmented_scan
 
 
 def _rows(seed, n=400):
@@ -61,3 +61,11 @@ def test_null_order_values_come_first(spark):
     df = spark.createDataFrame([("a", None), ("a", 5), ("a", 1)], "k string, i int")
     got = {r.i: r.pos for r in row_index(df, ["k"], block_segment("i", 2), ["i"], "pos").collect()}
     assert got == {None: 0, 1: 1, 5: 2}
+
+
+def test_busy_days_get_shorter_segments(spark):
+    stamp = F.expr("timestamp_ntz'2021-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)")
+    df = spark.range(1000).select(F.lit("a").alias("k"), stamp.alias("ts"))
+    assert fit_segment_seconds(df, ["k"]) == 86400
+    assert fit_segment_seconds(df, ["k"], rows=100) == 8640
+    assert fit_segment_seconds(df.where("k = 'b'"), ["k"]) == 86400
