@@ -64,7 +64,7 @@ def _search(k: int):
         found = []
         if not len(queries) or not len(shard):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in _KINDS.items()})
-        shard = shard.sort_values("vec_id", kind="stable")
+        shard = shard.rename(columns={"c_id": "vec_id", "c_v": "v"}).sort_values("vec_id", kind="stable")
         for size, part in shard.groupby(shard["v"].map(len), sort=False):
             asked = queries[queries["v"].map(len) == size]
             if not len(asked):
@@ -108,9 +108,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n = {r["s"]: r["count"] for r in sizes}
     shards, blocks = max(1, -(-n.get(0, 0) // SHARD_ROWS)), max(1, -(-n.get(1, 0) // BLOCK_ROWS))
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    dealt = candidates.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), spread(blocks).alias("block"))
+    # Both sides may come from one table; names of their own keep the columns apart.
+    dealt = candidates.select(F.col("vec_id").alias("c_id"), F.col("v").alias("c_v"), spread(blocks).alias("c_block"),
+                              F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("c_shard"))
     posed = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), spread(shards).alias("shard"))
-    found = posed.groupBy("block", "shard").cogroup(dealt.groupBy("block", "shard")).applyInPandas(_search(k), _FOUND)
+    found = posed.groupBy("block", "shard").cogroup(dealt.groupBy("c_block", "c_shard")).applyInPandas(_search(k), _FOUND)
     best = [F.desc("score"), F.asc("vec_id")]
     while shards > 1:
         shards = -(-shards // FAN_IN)
