@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import ship
-from .textarrays import LETTERS_DIGITS, mixed, slices, utf8, words
+from .textarrays import LETTERS_DIGITS, mixed, ragged, slices, utf8, words
 
 DISTANCE = 0.2
 RECALL = 0.99
 STEPS = 12
-SAMPLE = 3
+SAMPLE = 4
 MIN_WORDS = 5
 BLOCK_BYTES = 8 << 20
 SCHEMA = "doc_id bigint, item_id bigint, first_word bigint, last_word bigint, distance int, item_words int"
@@ -72,6 +72,12 @@ class Index:
         # First look: 20 bits of the hash; a set bit is then confirmed by search.
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+        self.members = np.zeros((len(self.items), len(self.vocabulary) + 1), bool)
+        for i, x in enumerate(self.items):
+            self.members[i, self.codes(x)] = True
+        self.least = np.array([len(np.unique(x)) - int(distance * len(x)) for x in self.items], np.int64)
+        self.size = np.array([len(x) for x in self.items], np.int64)
+        often = np.bincount(self.codes(np.concatenate(self.items)), minlength=len(self.vocabulary) + 1) if use else np.zeros(1)
         rng = np.random.default_rng(seed)
         self.walks: list[Walk] = []
         sizes = np.minimum([len(x) for x in self.items], STEPS)
@@ -79,9 +85,14 @@ class Index:
             for size in np.unique(sizes).tolist():
                 group = np.flatnonzero(sizes == size)
                 sampled = [0, *sorted(rng.choice(np.arange(1, size), min(SAMPLE, size) - 1, replace=False).tolist())]
-                start = [int(rng.integers(0, len(self.items[i]) - size + 1)) for i in group]
+                start = [self._start(rng, often[self.codes(self.items[i])[:len(self.items[i]) - size + 1]]) for i in group]
                 self.walks.append(self._table(r, sampled, group, np.array(start)))
 
+    @staticmethod
+    def _start(rng: np.random.Generator, often: np.ndarray) -> int:
+        """A random start among the half of an item's words that are rarest in the benchmark: fewer windows begin with them."""
+        return int(rng.choice(np.flatnonzero(often <= np.median(often))))
+
     def codes(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int32)
         at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
@@ -138,6 +149,23 @@ class Index:
                 yield x.item[which], np.repeat(start, n) - x.offset[which]
 
 
+    def plausible(self, h: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Pairs whose window has at least as many of the item's words as the allowed edits must leave; loses none."""
+        code = self.codes(h)
+        kept = [pairs[:0]]
+        for at in range(0, len(pairs), 20_000):
+            item, start = pairs[at:at + 20_000].T
+            slack = (self.distance * self.size[item]).astype(np.int64) + 1
+            low = np.clip(start - slack, 0, len(h))
+            size = np.clip(start + self.size[item] + 3 * slack, 0, len(h)) - low
+            place = ragged(low, size)
+            hit = self.members[np.repeat(item, size), code[place]]
+            total = np.concatenate([[0], np.cumsum(hit)])
+            ends = np.cumsum(size)
+            kept.append(pairs[at:at + 20_000][total[ends] - total[ends - size] >= self.least[item]])
+        return np.concatenate(kept)
+
+
 def _grown(key: np.ndarray, code: np.ndarray) -> np.ndarray:
     return mixed(key * np.uint64(0x100000001B3) + code.astype(np.uint64) + np.uint64(1))
 
@@ -167,6 +195,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
             found: dict[tuple[int, int], tuple] = {}
             seen = [np.stack(x, 1) for x in index.candidates(w.hashes)]
             pairs = np.unique(np.concatenate(seen), axis=0) if seen else np.zeros((0, 2), np.int64)
+            pairs = index.plausible(w.hashes, pairs)
             checked: tuple[int, int, int] = (-1, -1, -1)
             for item, at in pairs.tolist():
                 body = index.items[item]
