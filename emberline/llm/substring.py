@@ -243,10 +243,6 @@ def covered(n_words: int, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return np.cumsum(step)[:n_words] > 0
 
 
-def _as_one(path: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(path).view([("a", np.uint64), ("b", np.uint64)]).ravel()
-
-
 def _remove(uri: str, seeds: np.ndarray, beaten: np.ndarray, payload: bool) -> Iterator[pa.RecordBatch]:
     paths, docs = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)]
     for _, w, ids in _File(uri):
@@ -254,12 +250,15 @@ def _remove(uri: str, seeds: np.ndarray, beaten: np.ndarray, payload: bool) -> I
         paths.append(live.path)
         docs.append(ids[w.text_of()[live.at]])
     path, doc = np.concatenate(paths), np.concatenate(docs)
-    # A path is lost here if a smaller doc_id has it, in this file or in another.
-    value, group = np.unique(_as_one(path), return_inverse=True)
-    least = np.full(len(value), NO_ID)
-    np.minimum.at(least, group, doc)
-    lost = (doc > least[group]) | np.isin(value, beaten)[group]
-    del path, group, value
+    # A path is lost here if a smaller doc_id has it, in this file or (as an entry below all ids) in another.
+    joined, owner = np.concatenate([path, beaten]), np.concatenate([doc, np.full(len(beaten), np.iinfo(np.int64).min)])
+    order = np.lexsort((joined[:, 1], joined[:, 0]))
+    sorted_path = joined[order]
+    head = np.flatnonzero(np.concatenate([[True], (sorted_path[1:] != sorted_path[:-1]).any(1)])) if len(order) else order
+    least = np.repeat(np.minimum.reduceat(owner[order], head), np.diff(np.append(head, len(order)))) if len(order) else owner
+    lost = np.zeros(len(order), bool)
+    lost[order] = owner[order] > least
+    del path, joined, order, sorted_path, least
     at = 0
     for part, w, ids in _File(uri):
         live = _Live(w, seeds)
@@ -269,7 +268,6 @@ def _remove(uri: str, seeds: np.ndarray, beaten: np.ndarray, payload: bool) -> I
         data, _ = utf8(part.column("text"))
         raw = data.tobytes()
         kept, spans, removed = [], [], []
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
         for a, b in zip(w.first, w.first[1:]):
             inside = gone[a:b]
             removed.append(int(inside.sum()))
@@ -369,7 +367,7 @@ def remove_repeats(docs: DataFrame, payload: str | None = None) -> DataFrame:
     def remove(it):
         for _, uri, (own, other) in _each_file(it, 2):
             lost = [np.stack(_split(b, 2), 1) for b in other]
-            lost = _as_one(np.concatenate(lost)) if lost else np.zeros(0, [("a", np.uint64), ("b", np.uint64)])
+            lost = np.concatenate(lost) if lost else np.zeros((0, 2), np.uint64)
             yield from _remove(uri, _seeds_of(own), lost, payload is not None)
 
     if not names:
