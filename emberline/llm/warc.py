@@ -181,5 +181,7 @@ def read_records(index: DataFrame) -> DataFrame:
     Rows are dealt by stretches of files, sorted by offset; html is null for revisits, whose payload is elsewhere.
     """
     stretch = F.floor(F.col("offset") / RANGE)
-    dealt = index.select("path", "offset", "length").repartition("path", stretch)
+    # A fixed number of partitions: index rows are small, but each stands for a read, so they must not be merged by size.
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.select("path", "offset", "length").repartition(n, "path", stretch)
     return dealt.sortWithinPartitions("path", "offset").mapInArrow(_read, READ_SCHEMA)
