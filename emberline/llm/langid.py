@@ -27,6 +27,7 @@ ORDERS = (2, 3)
 SMOOTH = 0.5
 EVIDENCE = 40.0
 AMBIGUOUS = 0.6
+SLICE = 1 << 20
 _COUNT_SCHEMA = "lang string, bucket int, n bigint"
 _FIT_SCHEMA = "lang string, bit int, n bigint, hit bigint"
 
@@ -108,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[
     place = {x: i for i, x in enumerate(languages)}
     counts = np.zeros((len(languages), BUCKETS), np.int64)
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             bucket, ends = buckets(*utf8(part.column("text")))
             lang = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
             owner = np.repeat(lang, np.diff(ends))
@@ -122,7 +123,7 @@ def _hits(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
     place = {x: i for i, x in enumerate(model.languages)}
     seen, hit = (np.zeros(model.code.shape, np.int64) for _ in range(2))
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             lang = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
             right = (model.answers(*utf8(part.column("text"))) >= 0) == (model.code[lang] > 0)
             np.add.at(seen, lang, 1)
@@ -174,7 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE):
                 known = part.column("__text").is_valid().to_numpy(zero_copy_only=False)
                 n = part.num_rows
                 lang, score, ambiguous = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)

@@ -8,7 +8,6 @@ Texts beyond plain Latin script, or with special tokens, go through the library
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 
@@ -19,8 +18,8 @@ import pyarrow.compute as pc
 from .textarrays import ragged, utf8
 
 END_ID = 1
-CACHE = 500_000
-SLICE = 12 << 20
+CACHE = 400_000
+SLICE = 6 << 20
 SPACE, BLANK, LETTER, DIGIT, SIGN, ODD = range(6)
 
 _loaded: dict[str, "Encoder"] = {}
@@ -79,7 +78,7 @@ class Encoder:
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = Sequence([])
         self.letters = _byte_letters()
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as bytes: a third of the memory of lists
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the texts and the n+1 offsets of each text; null is empty."""
@@ -97,8 +96,8 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(data))
         coded = pieces.dictionary_encode()
         ids = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum()))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         start, index = np.cumsum(length) - length, coded.indices.to_numpy()
         each = length[index]
         out = flat[ragged(start[index], each)]
@@ -156,20 +155,20 @@ class Encoder:
             if at + 1 + size < len(data):
                 cut[at + 1 + size] |= not blank_joined(kind, at + 1 + size)
 
-    def _lookup(self, pieces: list[str]) -> list[list[int]]:
+    def _lookup(self, pieces: list[str]) -> list[bytes]:
         known = self.known
         if len(known) >= CACHE:
             known.clear()
         new = [p for p in pieces if p not in known]
         if self.words:
-            known.update((p, []) for p in new if p.isspace())
+            known.update((p, b"") for p in new if p.isspace())
             new = [p for p in new if not p.isspace()]
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             shown = "\0".join(part).encode("utf-8").decode("latin-1").translate(self.letters).split(self.letters[0])
             done = self.bare.encode(shown, is_pretokenized=True, add_special_tokens=False)
-            ids, size = done.ids, np.bincount(np.array(done.word_ids, np.int64), minlength=len(part))
-            end = np.cumsum(size).tolist()
+            ids, size = np.array(done.ids, np.uint32).tobytes(), np.bincount(np.array(done.word_ids, np.int64), minlength=len(part))
+            end = (4 * np.cumsum(size)).tolist()
             begin = [0, *end[:-1]]
             known.update((p, ids[a:b]) for p, a, b in zip(part, begin, end))
         return [known[p] for p in pieces]
