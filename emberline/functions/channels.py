@@ -29,13 +29,27 @@ def clean_vector(x: Column, n: int) -> Column:
     return F.array(*[clean(v.cast("double")) for v in elements(x, n)])
 
 
+def above(value: Column, threshold: Column | float) -> Column:
+    """``value > threshold`` for measured values: false on NaN, which Spark orders above every number; NULL on NULL."""
+    return F.when(F.isnan(value), F.lit(False)).otherwise(value > threshold)
+
+
+def at_least(value: Column, threshold: Column | float) -> Column:
+    """``value >= threshold``, false on NaN."""
+    return F.when(F.isnan(value), F.lit(False)).otherwise(value >= threshold)
+
+
 def stack_day_night(day: Column, night: Column) -> Column:
-    """Six day bands and two night bands; a five-band night file gives its last two, a missing one zeros."""
+    """Six day bands and two night bands; a five-band night file gives its last two, a missing one zeros.
+
+    Any other number of night bands is an error: it would move every later channel.
+    """
     zeros = F.array(*[F.lit(0.0).cast("float")] * K.NIGHT_BANDS)
     night2 = (
         F.when(night.isNull(), zeros)
         .when(F.size(night) == 5, F.slice(night, 4, K.NIGHT_BANDS))
-        .otherwise(F.slice(night, 1, K.NIGHT_BANDS))
+        .when(F.size(night) == K.NIGHT_BANDS, night)
+        .otherwise(F.raise_error(F.concat(F.lit("night vector with "), F.size(night).cast("string"), F.lit(" bands"))).cast("array<float>"))
     )
     return F.concat(F.slice(day, 1, K.DAY_BANDS), night2)
 
@@ -101,12 +115,12 @@ def encode_pred(x: Column, mode: str = "reference") -> Column:
 
 def binary_target(y: Column) -> Column:
     """(background, fire)."""
-    return F.array((y == 0).cast("int"), (y > 0).cast("int"))
+    return F.array((y == 0).cast("int"), above(y, 0).cast("int"))
 
 
 def target_pair(planes: Column, label_sel: Column) -> Column:
     """(any accumulated active fire, the selected label plane)."""
-    return F.array((F.get(planes, F.lit(1)) > 0).cast("double"), F.get(planes, label_sel).cast("double"))
+    return F.array(above(F.get(planes, F.lit(1)), 0).cast("double"), F.get(planes, label_sel).cast("double"))
 
 
 def drop_first(x: Column, n_drop: int = 2) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.channels import at_least
 from .metrics import f1_score, jaccard, ratio_or
 from .ordered import Scan, segmented_scan
 
@@ -94,7 +95,9 @@ def prediction_sets(predictions: DataFrame, quantiles: DataFrame, prob: str = "p
     its size bound, so it is broadcast.
     """
     q = F.broadcast(quantiles.agg(F.max("q0").alias("q0"), F.max("q1").alias("q1")))
-    joined = predictions.join(q, F.lit(True))
+    # Without calibration scores of a class there is no quantile, and no set can be formed.
+    missing = F.raise_error(F.lit("empty calibration set: no quantile")).cast("double")
+    joined = predictions.join(q.select(*[F.coalesce(c, missing).alias(c) for c in ("q0", "q1")]), F.lit(True))
     fire = (1.0 - F.col(prob)) <= F.col("q1")
     none = F.col(prob) <= F.col("q0")
     return joined.withColumns(
@@ -104,7 +107,7 @@ def prediction_sets(predictions: DataFrame, quantiles: DataFrame, prob: str = "p
 
 def _reliability_sums(label: Column, prob: Column, threshold: float) -> dict[str, Column]:
     fire, none = F.col("include_fire"), F.col("include_no_fire")
-    base = prob >= threshold
+    base = at_least(prob, threshold)
     sure, sure_fire = fire != none, fire & ~none
     wrong = base != label
     return {

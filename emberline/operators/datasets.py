@@ -25,14 +25,13 @@ PIXEL_KEYS = ("fire_id", "ts", "row", "col")
 
 def stack_pixels(
     scenes: DataFrame, day: DataFrame, night: DataFrame, aux: DataFrame | None = None, *,
-    offset: int | None = K.CROP_OFFSET, size: int = K.TILE, max_broadcast_rows: int = 200_000,
+    offset: int | None = K.CROP_OFFSET, size: int = K.TILE,
 ) -> DataFrame:
     """Cropped pixels with stacked channels and labels: fire_id, frame, n_frames, row, col, x, af, perimeter.
 
     ``scenes`` is the day manifest (fire_id, ts, file_name), so frames are numbered
-    without reading a pixel; scenes left out of it drop out with their pixels. It
-    is counted, and broadcast up to ``max_broadcast_rows``: pixels then keep their
-    place until the one shuffle on pixel keys.
+    without reading a pixel; scenes left out of it drop out with their pixels.
+    Adaptive execution broadcasts it where its measured size allows.
 
     Day rows hold six bands, the active-fire band and, when eight, the perimeter
     band; night rows are joined where present, auxiliary rows must be. The crop
@@ -42,8 +41,6 @@ def stack_pixels(
         return crop(pixels, offset=offset, size=size)
 
     frames = frame_index(scenes.select(*SCENE_KEYS, "file_name")).drop("file_name")
-    if scenes.count() <= max_broadcast_rows:
-        frames = F.broadcast(frames)
     bands = F.col("bands")
     rows = cut(day).join(frames, list(SCENE_KEYS)).join(
         cut(night).select(*PIXEL_KEYS, F.col("bands").alias("__night")), list(PIXEL_KEYS), "left"
@@ -151,9 +148,12 @@ def goes_daily_samples(day_scenes: DataFrame, daily: DataFrame, ts: int, interva
 def goes_bin_samples(day_scenes: DataFrame, bins: DataFrame, ts: int, interval: int, minutes: int = 15) -> DataFrame:
     """Sub-daily GOES matrix of every window step, as an ordered array of bins.
 
-    Each observed day's matrix is built once; windows then point at it by day.
+    Each observed day's matrix is built once; windows then point at it by day. A
+    step whose scene has no readable time keeps its place with zeros.
     """
     steps = W.cut_windows(frame_index(day_scenes), ts, interval, "drop").where(F.col("step") < ts)
     keyed = steps.select("fire_id", "window_idx", "start_idx", "step", F.to_date("ts").alias("day"))
     days = day_scenes.select("fire_id", F.to_date("ts").alias("day")).distinct()
-    return keyed.join(align.day_matrix(align.dense_bins(days, bins, minutes)), ["fire_id", "day"])
+    joined = keyed.join(align.day_matrix(align.dense_bins(days, bins, minutes)), ["fire_id", "day"], "left")
+    blank = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), len(K.SUBDAILY_FEATURES)), 1440 // minutes)
+    return joined.withColumn("bins", F.coalesce("bins", blank))

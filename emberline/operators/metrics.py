@@ -92,11 +92,11 @@ def macro_scores(fires: DataFrame, *, drop_empty: bool, listed: int | Column | N
 
 
 def class_scores(pixels: DataFrame, keys: Sequence[str], label: Column, pred: Column, *,
-                 empty: float | None = None) -> DataFrame:
+                 empty: float | None = 1.0) -> DataFrame:
     """IoU and Dice of background and fire, and their mean over both classes.
 
-    ``empty`` is the score of a class absent from label and prediction: NULL
-    (left out of the mean) by default.
+    ``empty`` is the score of a class absent from label and prediction: 1 by
+    default; with None it is NULL and left out of the mean.
     """
     counts = pixels.groupBy(*keys).agg(*[c.alias(n) for n, c in confusion_counts(label, pred).items()])
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))

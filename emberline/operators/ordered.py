@@ -181,11 +181,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     A scan reads its input twice, so a chain of scans doubles the work of its
     first link each time; a checkpoint between links stops that and outlives lost
     executors. The folder is the session's ``spark.checkpoint.dir``; only where
-    that is unset, as in a local test, is a temporary one made.
+    that is unset in a local session is a temporary one made; on a cluster it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
     return df.checkpoint(eager=True)
 

@@ -63,24 +63,20 @@ def minmax_scene(pixels: DataFrame, value: str, keys: Sequence[str], out: str |
 def zero_pad(fine: DataFrame, keys: Sequence[str], coarse_rows: int, coarse_cols: int, value: str = "v") -> DataFrame:
     """Grow each raster with zeros to twice the coarse raster's size.
 
-    A pixel of an h × w raster also makes the target cells at whole multiples of
-    h below it and of w beside it. Every target cell has exactly one such pixel,
-    so the padding is spread evenly and no grid is joined.
+    The grid comes from one row a raster, so cells that a sparse raster lacks are
+    filled too. The raster's own size is that of its largest row and column.
     """
     size = fine.groupBy(*keys).agg((F.max("row") + 1).alias("__h"), (F.max("col") + 1).alias("__w"))
 
-    def steps(at: str, length: int, stride: str) -> Column:
-        return F.sequence(F.col(at), F.greatest(F.col(at), F.lit(length - 1)), F.col(stride))
+    def cells(own: str, coarse: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.greatest(F.col(own), F.lit(2 * coarse)).cast("int") - 1))
 
-    spread = (
-        fine.join(size, list(keys))
-        .withColumn("__row", F.explode(steps("row", 2 * coarse_rows, "__h")))
-        .withColumn("__col", F.explode(steps("col", 2 * coarse_cols, "__w")))
-    )
-    own = (F.col("__row") == F.col("row")) & (F.col("__col") == F.col("col"))
-    return spread.select(
-        *keys, F.col("__row").alias("row"), F.col("__col").alias("col"),
-        F.when(own, F.col(value).cast("double")).otherwise(F.lit(0.0)).alias(value),
+    grid = size.withColumn("row", cells("__h", coarse_rows)).withColumn("col", cells("__w", coarse_cols)).drop("__h", "__w")
+    own = fine.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+                      F.struct(F.col(value).cast("double").alias("v")).alias("__own"))
+    joined = grid.join(own, [*keys, "row", "col"], "left")
+    return joined.select(
+        *keys, "row", "col", F.when(F.col("__own").isNotNull(), F.col("__own")["v"]).otherwise(F.lit(0.0)).alias(value)
     )
 
 
@@ -112,7 +108,7 @@ def channel_stats(vectors: DataFrame, x: str, n: int) -> DataFrame:
 def mean_over_time(scores: DataFrame, keys: Sequence[str], logit: str = "logit", threshold: float = 0.5) -> DataFrame:
     """Logits averaged over the time axis, then sigmoid, then thresholded."""
     return scores.groupBy(*keys).agg(F.avg(logit).alias(logit)).withColumn("prob", C.sigmoid(F.col(logit))).withColumn(
-        "pred", (F.col("prob") >= threshold).cast("int")
+        "pred", C.at_least(F.col("prob"), threshold).cast("int")
     )
 
 

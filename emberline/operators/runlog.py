@@ -86,8 +86,9 @@ def primary_metric(metrics: Column) -> Column:
     return _bind(best, lambda b: F.when(b.isNotNull(), F.struct(b["name"].alias("name"), b["value"].alias("value"))))
 
 
-def log_tail(text: Column) -> Column:
-    return F.right(text, F.lit(K.LOG_TAIL_CHARS))
+def log_tail(text: Column, chars: int) -> Column:
+    """The last ``chars`` characters; ``constants.LOG_TAIL_CHARS`` is the customary length."""
+    return F.right(text, F.lit(chars))
 
 
 def flag_value(command: Column, flag: str) -> Column:

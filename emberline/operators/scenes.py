@@ -113,8 +113,12 @@ def page_fires(fires: DataFrame, *, start: int = 0, limit: int | None = None, ke
     return fires.join(F.broadcast(last), F.col(key) > F.col("__last")).drop("__last")
 
 
-def exclude_fires(fires: DataFrame, ids: Sequence[str] = K.TEST_EXCLUDED_FIRES, key: str = "fire_id") -> DataFrame:
-    """All fires but the named ones."""
+def exclude_fires(
+    fires: DataFrame, ids: DataFrame | Sequence[str] = K.TEST_EXCLUDED_FIRES, key: str = "fire_id"
+) -> DataFrame:
+    """All fires but the named ones; ``ids`` is a list, or a DataFrame with a ``key`` column."""
+    if isinstance(ids, DataFrame):
+        return fires.join(ids.select(key), key, "left_anti")
     return fires.where(~F.col(key).isin(*ids))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.channels import above
 from .ordered import Scan, block_segment, segmented_scan
 
 PIXEL = ("fire_id", "row", "col")
@@ -182,6 +183,8 @@ def growth_target(
     ``dense=False`` only the growth pixels come back, from one aggregation.
     """
     _check(ts, interval, "drop")
+    if interval > ts + 1:
+        raise ValueError("an interval above ts + 1 leaves frames between windows; growth is not defined there")
     fire = F.coalesce(fire, F.lit(False))
     wide = F.coalesce(label_sel, F.lit(0)) != 1 if label_sel is not None else F.lit(False)
     final = fire | (wide & F.coalesce(perimeter, F.lit(False)))
@@ -255,18 +258,22 @@ def threshold_label(pixels: DataFrame, thresholds: DataFrame, frame: str = "fram
     """Active-fire label of the test fires: day or night heat above the fire's threshold for that position.
 
     ``thresholds`` holds ten rows per named fire; it joins by key and Spark
-    broadcasts it when its measured size allows.
+    broadcasts it when its measured size allows. A fire without thresholds is an
+    error when its rows are read; a NaN band is no fire.
     """
     t = thresholds.select(
         "fire_id", F.col("pos").alias("__pos"), "day_i4", "day_i5", "night_i4", "night_i5"
     )
-    joined = pixels.withColumn("__pos", (F.col(frame) % K.BLOCK_FRAMES).cast("int")).join(t, ["fire_id", "__pos"])
+    joined = pixels.withColumn("__pos", (F.col(frame) % K.BLOCK_FRAMES).cast("int")).join(
+        t.withColumn("__known", F.lit(True)), ["fire_id", "__pos"], "left")
+    unknown = F.raise_error(F.concat(F.lit("no thresholds for fire "), F.col("fire_id").cast("string"))).cast("int")
     hot = (
-        (F.col("i4_day") > F.col("day_i4")) | (F.col("i5_day") > F.col("day_i5"))
-        | (F.col("i4_night") > F.col("night_i4")) | (F.col("i5_night") > F.col("night_i5"))
+        above(F.col("i4_day"), F.col("day_i4")) | above(F.col("i5_day"), F.col("day_i5"))
+        | above(F.col("i4_night"), F.col("night_i4")) | above(F.col("i5_night"), F.col("night_i5"))
     )
-    return joined.withColumn("af", F.coalesce(hot, F.lit(False)).cast("int")).drop(
-        "__pos", "day_i4", "day_i5", "night_i4", "night_i5"
+    label = F.when(F.col("__known"), F.coalesce(hot, F.lit(False)).cast("int")).otherwise(unknown)
+    return joined.withColumn("af", label).drop(
+        "__pos", "__known", "day_i4", "day_i5", "night_i4", "night_i5"
     )
 
 

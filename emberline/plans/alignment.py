@@ -441,7 +441,7 @@ def split_counts(spark, sf_dir):
 def train_ids(spark, sf_dir):
     """Id-set difference: all fires without the validation fires."""
     fires = X.fires(spark, sf_dir, "customer")
-    return fires.join(fires.where("key % 10 = 0").select("fire_id"), "fire_id", "left_anti").select("fire_id")
+    return S.exclude_fires(fires, fires.where("key % 10 = 0").select("fire_id")).select("fire_id")
 
 
 @query(f"""

@@ -8,6 +8,7 @@ from .. import constants as K
 from ..functions import channels as C
 from ..operators import audits as A
 from ..operators import runlog as R
+from ..operators import scenes as S
 from ..operators.ordered import cut_lineage
 from ..sources import manifest as MF
 from . import fixtures as X
@@ -254,7 +255,7 @@ def flag_value(spark, sf_dir):
 @query("SELECT doc_id, length(right(text, 12000)) AS kept, md5(right(text, 12000)) AS digest FROM documents")
 def log_tail(spark, sf_dir):
     """The last 12 000 characters of each log."""
-    tail = R.log_tail(F.col("text"))
+    tail = R.log_tail(F.col("text"), K.LOG_TAIL_CHARS)
     return X.table(spark, sf_dir, "documents").select("doc_id", F.length(tail).cast("bigint").alias("kept"), F.md5(tail).alias("digest"))
 
 
@@ -368,7 +369,7 @@ def cases_with_artifacts(spark, sf_dir):
 def exclude_fires(spark, sf_dir):
     """Cases without the excluded ids."""
     excluded = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
-    return X.table(spark, sf_dir, "documents").select("doc_id", "lang").join(excluded, "doc_id", "left_anti")
+    return S.exclude_fires(X.table(spark, sf_dir, "documents").select("doc_id", "lang"), excluded, "doc_id")
 
 
 @query("""

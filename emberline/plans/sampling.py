@@ -84,7 +84,18 @@ def _mapping(spark, sf_dir, task):
     return _long(out, *planes)
 
 
-@query(_mapping_sql("af"))
+_AF_SQL = f"""
+WITH {_STACK}, {_windows("clamp")},
+idx AS MATERIALIZED (SELECT fire_id, w, j, s + j AS own, greatest(s + j, coalesce(sp + {IT - 1}, -1)) AS base FROM winp CROSS JOIN range(0, {TS}) AS g(j)),
+po AS MATERIALIZED (SELECT fire_id, frame, embedding, af, peri, max(CAST(af AS INTEGER)) OVER (PARTITION BY fire_id ORDER BY frame) AS acc FROM st)
+SELECT idx.fire_id, CAST(w AS INTEGER) AS window_idx, CAST(j AS INTEGER) AS step, CAST(i - 1 AS INTEGER) AS channel,
+       round(CAST(a.embedding[i] AS DOUBLE), 6) AS v, CAST(a.peri AS DOUBLE) AS perimeter, CAST(b.acc AS DOUBLE) AS af_so_far, CAST(a.af AS DOUBLE) AS af
+FROM idx JOIN po a ON a.fire_id = idx.fire_id AND a.frame = own JOIN po b ON b.fire_id = idx.fire_id AND b.frame = base
+CROSS JOIN range(1, {K.CORE_CHANNELS + 1}) AS c(i)
+"""
+
+
+@query(_AF_SQL)
 def active_fire_samples(spark, sf_dir):
     """8-channel inputs and label planes of active-fire windows."""
     return _mapping(spark, sf_dir, "af")

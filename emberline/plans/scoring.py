@@ -120,8 +120,8 @@ def window_scores(spark, sf_dir):
 
 @query(f"""
 WITH {_P}, {_CONF},
-s AS (SELECT case_id, frame, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) END AS i1, CASE WHEN tn + fp + fn > 0 THEN tn / (tn + fp + fn) END AS i0,
-             CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END AS d1, CASE WHEN tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) END AS d0 FROM conf)
+s AS (SELECT case_id, frame, CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) ELSE 1.0 END AS i1, CASE WHEN tn + fp + fn > 0 THEN tn / (tn + fp + fn) ELSE 1.0 END AS i0,
+             CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 1.0 END AS d1, CASE WHEN tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 1.0 END AS d0 FROM conf)
 SELECT case_id, frame, round((SELECT avg(x) FROM unnest([i1, i0]) t(x)), 6) AS mean_iou, round((SELECT avg(x) FROM unnest([d1, d0]) t(x)), 6) AS mean_dice FROM s
 """)
 def class_mean_scores(spark, sf_dir):
