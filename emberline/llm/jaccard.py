@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .store import ship, written
 from .textarrays import LETTERS_DIGITS, Words, grams, mixed, slices, utf8, whole_grams, words
+from .tokens import forget
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -56,6 +57,7 @@ def _factors(n: int) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int, trees: int, length: int) -> Iterator[pa.RecordBatch]:
+    forget()
     factor = _factors(trees * length).reshape(trees, length)
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):

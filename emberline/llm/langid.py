@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .store import ship
 from .textarrays import mixed, slices, utf8
+from .tokens import forget
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -106,6 +107,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
+    forget()
     place = {x: i for i, x in enumerate(languages)}
     counts = np.zeros((len(languages), BUCKETS), np.int64)
     for batch in batches:

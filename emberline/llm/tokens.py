@@ -33,6 +33,11 @@ def encoder(path: str) -> "Encoder":
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drop loaded encoders and their caches: operators without tokens call this, as workers live on from stage to stage."""
+    _loaded.clear()
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable stand-ins of byte-level BPE: printable Latin-1 for itself, the rest from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
