@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import ship
-from .textarrays import LETTERS_DIGITS, mixed, ragged, slices, utf8, words
+from .textarrays import LETTERS_DIGITS, mixed, ragged, slices, trimmed, utf8, words
 
 DISTANCE = 0.2
 RECALL = 0.99
@@ -189,6 +189,7 @@ def nearest_substring(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    trimmed()
     for batch in batches:
         for part in slices(batch, "text"):
             w = words(*utf8(part.column("text")), LETTERS_DIGITS)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import ship
-from .textarrays import ragged, slices
+from .textarrays import ragged, slices, trimmed
 from .tokens import SLICE, encoder, with_end
 
 WINDOW = 2048
@@ -40,12 +40,16 @@ class Index:
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray):
         n = len(sizes)
-        doc = np.repeat(np.arange(n, dtype=np.uint64), sizes)
-        pair = (ids.astype(np.uint64) << np.uint64(32)) | doc
+        pair = ids.astype(np.uint64) << np.uint64(32)
+        pair |= np.repeat(np.arange(n, dtype=np.uint64), sizes)
         pair.sort()
         new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(pair)))
-        term, self.doc = (pair[new] >> np.uint64(32)).astype(np.int64), (pair[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        count = np.diff(np.append(new, len(pair))).astype(np.int32)
+        pair = pair[new]
+        del new
+        # Arrays as narrow as their values: a shard has millions of postings.
+        term, self.doc = (pair >> np.uint64(32)).astype(np.int32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        del pair
         top = int(term[-1]) + 1 if len(term) else 0
         df = np.bincount(term, minlength=top)
         self.end = np.cumsum(df)
@@ -53,9 +57,10 @@ class Index:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
         self.weight = idf[term] * count * (K1 + 1) / (count + norm[self.doc])
+        del count
         # The query of a piece: its shared terms with the largest weights.
-        shared = np.flatnonzero(df[term] > 1)
-        order = shared[np.lexsort((-self.weight[shared], self.doc[shared]))]
+        order = np.flatnonzero(df[term] > 1).astype(np.int32)
+        order = order[np.lexsort((-self.weight[order], self.doc[order]))]
         size = np.bincount(self.doc[order], minlength=n)
         head = np.cumsum(size) - size
         keep = np.arange(len(order)) - np.repeat(head, size) < QUERY_TERMS
@@ -122,6 +127,7 @@ def pack_shard(ids: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> list[
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    trimmed()
     coder, base = encoder(path), TaskContext.get().partitionId() << 36
     held: list[tuple[list, np.ndarray, np.ndarray]] = []
     size = 0
@@ -131,6 +137,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBat
         names = [x for d, _, _ in held for x in d]
         ids = np.concatenate([x for _, x, _ in held])
         sizes = np.concatenate([np.diff(e) for _, _, e in held])
+        held.clear()
         ends = np.concatenate([[0], np.cumsum(sizes)])
         pieces = pack_shard(ids, ends)
         for k in range(0, len(pieces), 4096):
@@ -148,7 +155,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBat
             size += len(ids)
             if size >= SHARD_TOKENS:
                 yield from flush()
-                held, size = [], 0
+                trimmed()
+                size = 0
     if held:
         yield from flush()
 

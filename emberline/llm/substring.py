@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import file_system, shared_folder, ship, written
-from .textarrays import SPACE_SEPARATED, Words, grams, mixed, ragged, slices, utf8, whole_grams, words
+from .textarrays import SPACE_SEPARATED, Words, grams, mixed, ragged, slices, trimmed, utf8, whole_grams, words
+from .tokens import forget
 
 DEPTH = 13
 SEED = 5
@@ -75,6 +76,7 @@ class _File:
     """The rows of one file of the copy, a slice at a time."""
 
     def __init__(self, uri: str):
+        trimmed()
         fs, path = file_system(uri)
         self.f = fs.open_input_file(path)
 
@@ -205,8 +207,12 @@ def _send_paths(uri: str, file: int, seeds: np.ndarray, heavy: np.ndarray, n_par
             group = np.where(_member(live.prefix(shorter), heavy) & (group == live.prefix(shorter)),
                              live.path[:, 0] if longer == DEPTH else live.prefix(longer), group)
         found.append((live.path, ids[w.text_of()[live.at]], group))
-    path, doc, group = (np.concatenate(x) for x in zip(*found))
+    # Each column is joined and its pieces are let go before the next one is.
+    columns = [list(x) for x in zip(*found)]
+    found.clear()
+    path, doc, group = (np.concatenate(columns.pop(0)) for _ in range(3))
     first, smallest = _smallest(path, doc)
+    del doc
     parts = (mixed(group[first]) % np.uint64(n_parts)).astype(np.int64)
     yield from _bodies(parts, n_parts, file, path[first, 0], path[first, 1], smallest.view(np.uint64))
 
@@ -249,16 +255,18 @@ def _remove(uri: str, seeds: np.ndarray, beaten: np.ndarray, payload: bool) -> I
         live = _Live(w, seeds)
         paths.append(live.path)
         docs.append(ids[w.text_of()[live.at]])
-    path, doc = np.concatenate(paths), np.concatenate(docs)
     # A path is lost here if a smaller doc_id has it, in this file or (as an entry below all ids) in another.
-    joined, owner = np.concatenate([path, beaten]), np.concatenate([doc, np.full(len(beaten), np.iinfo(np.int64).min)])
+    joined = np.concatenate([*paths, beaten])
+    owner = np.concatenate([*docs, np.full(len(beaten), np.iinfo(np.int64).min)])
+    del paths, docs, beaten
     order = np.lexsort((joined[:, 1], joined[:, 0]))
     sorted_path = joined[order]
+    del joined
     head = np.flatnonzero(np.concatenate([[True], (sorted_path[1:] != sorted_path[:-1]).any(1)])) if len(order) else order
     least = np.repeat(np.minimum.reduceat(owner[order], head), np.diff(np.append(head, len(order)))) if len(order) else owner
     lost = np.zeros(len(order), bool)
     lost[order] = owner[order] > least
-    del path, joined, order, sorted_path, least
+    del owner, order, sorted_path, least, head
     at = 0
     for part, w, ids in _File(uri):
         live = _Live(w, seeds)
@@ -336,6 +344,7 @@ def remove_repeats(docs: DataFrame, payload: str | None = None) -> DataFrame:
     files = _file_rows(spark, names)
 
     def seeds(it):
+        forget()
         for batch in it:
             for f, u in zip(batch.column("file").to_pylist(), batch.column("uri").to_pylist()):
                 yield from _send_seeds(u, f, n_parts)
@@ -360,15 +369,19 @@ def remove_repeats(docs: DataFrame, payload: str | None = None) -> DataFrame:
 
     def paths(it):
         for file, uri, (own,) in _each_file(it, 1):
-            yield from _send_paths(uri, file, _seeds_of(own), heavy, n_parts)
+            known = _seeds_of(own)
+            own.clear()
+            yield from _send_paths(uri, file, known, heavy, n_parts)
 
     beaten = by_part(_with_bodies(files, n_files, live).mapInArrow(paths, _PARTS), _beaten_paths, "beaten")
 
     def remove(it):
         for _, uri, (own, other) in _each_file(it, 2):
-            lost = [np.stack(_split(b, 2), 1) for b in other]
-            lost = np.concatenate(lost) if lost else np.zeros((0, 2), np.uint64)
-            yield from _remove(uri, _seeds_of(own), lost, payload is not None)
+            lost = np.concatenate([np.zeros((0, 2), np.uint64), *(np.stack(_split(b, 2), 1) for b in other)])
+            known = _seeds_of(own)
+            own.clear()
+            other.clear()
+            yield from _remove(uri, known, lost, payload is not None)
 
     if not names:
         return spark.createDataFrame([], _RESULT)

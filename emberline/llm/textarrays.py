@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _RNG = np.random.default_rng(20240607)
 _BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -49,6 +51,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     pa.default_memory_pool().release_unused()
 
 
+@cache
+def _trim():
+    """The C library's call that gives freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trimmed() -> None:
+    """Give freed memory back to the system: workers live on from stage to stage, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n+1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -89,7 +104,8 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     size = ends - starts
     heads = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(heads, size)
+    # Four bytes do: a slice is small, and a single text is below 2 GB.
+    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(heads.astype(np.int32), size)
     code = _BYTE_CODE[data[inside]] * _power(int(size.max(initial=0)) + 1)[place]
     hashes = mixed(np.add.reduceat(code, heads) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))

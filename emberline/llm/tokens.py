@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .textarrays import ragged, utf8
+from .textarrays import ragged, trimmed, utf8
 
 END_ID = 1
 CACHE = 400_000
-SLICE = 6 << 20
+SLICE = 3 << 20
 SPACE, BLANK, LETTER, DIGIT, SIGN, ODD = range(6)
 
 _loaded: dict[str, "Encoder"] = {}
@@ -36,6 +36,7 @@ def encoder(path: str) -> "Encoder":
 def forget() -> None:
     """Drop loaded encoders and their caches: operators without tokens call this, as workers live on from stage to stage."""
     _loaded.clear()
+    trimmed()
 
 
 def _byte_letters() -> dict[int, str]:
