@@ -16,7 +16,6 @@ from ..functions import channels as C
 from ..functions.geo import crop
 from . import align
 from . import windows as W
-from .ordered import Scan, block_segment, segmented_scan
 from .scenes import frame_index
 
 SCENE_KEYS = ("fire_id", "ts")
@@ -35,7 +34,8 @@ def stack_pixels(
 
     Day rows hold six bands, the active-fire band and, when eight, the perimeter
     band; night rows are joined where present, auxiliary rows must be. The crop
-    comes before the joins, so rows outside it are never shuffled.
+    comes before the joins, so rows outside it are never shuffled. The perimeter
+    stays raw: what its NaN means depends on the task.
     """
     def cut(pixels: DataFrame) -> DataFrame:
         return crop(pixels, offset=offset, size=size)
@@ -50,92 +50,68 @@ def stack_pixels(
         rows = rows.join(cut(aux).select(*PIXEL_KEYS, F.col("bands").alias("__aux")), list(PIXEL_KEYS))
         x = F.concat(x, F.col("__aux"))
 
-    def label(i: int) -> Column:
-        return C.clean(F.get(bands, F.lit(i)).cast("double"))
+    def band(i: int) -> Column:
+        return F.get(bands, F.lit(i)).cast("double")
 
     return rows.select(
         "fire_id", "frame", "n_frames", "row", "col", x.alias("x"),
-        label(6).alias("af"), F.when(F.size(bands) == 8, label(7)).otherwise(F.lit(0.0)).alias("perimeter"),
+        C.clean(band(6)).alias("af"), F.when(F.size(bands) == 8, band(7)).otherwise(F.lit(0.0)).alias("perimeter"),
     )
 
 
 def windowed_vectors(
     stack: DataFrame, ts: int, interval: int, tail: str, *, n: int, leakage: str = "reference",
-    keys: Sequence[str] = W.PIXEL, block: int = 256,
+    keys: Sequence[str] = W.PIXEL, block: int = 256, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Channel vectors per (pixel, window, step) with heat bands replaced by their carried maximum.
 
-    A step's own bands and its carried maximum may come from different frames.
-    Each frame emits both kinds of value for the steps it serves and one grouping
-    brings them together, which costs one shuffle where a join would cost two.
+    ``frame`` and ``n_frames`` of the step's own row come along, as do the columns of ``keep``.
     """
-    length = ts + 1 if tail == "drop" else ts
-    heat = [f"__h{i}" for i in K.HEAT_CHANNELS]
-    values = {h: F.get("x", F.lit(i)).cast("double") for h, i in zip(heat, K.HEAT_CHANNELS)}
-    members = W.windows_of_frame(F.col("frame"), F.col("n_frames"), ts, interval, tail, length, False)
-    seen = F.size(members) > 0 if interval > length else F.lit(True)
-    peaks = segmented_scan(
-        stack.select(*keys, "frame", "n_frames", "x"), list(keys), block_segment("frame", block), ["frame"],
-        {h: Scan("max", F.when(seen, v)) for h, v in values.items()},
-    )
-    rows = peaks.withColumn("window_idx", F.explode(members)).withColumn(
-        "start_idx", W.window_start(F.col("window_idx"), F.col("n_frames"), ts, interval, tail).cast("int")
-    )
-    offset = (F.col("frame") - F.col("start_idx")).cast("int")
-    peak = F.array(*[F.greatest(F.coalesce(F.col(h), F.lit(0.0)), F.lit(0.0)) for h in heat])
-    if leakage == "causal":
-        merged = rows.select(*keys, "window_idx", "start_idx", offset.alias("step"), "x", peak.alias("__peak"))
-    else:
-        steps = rows.withColumns({"__off": offset, "__edge": W.state_edge(ts, interval, tail, length)})
-        early = F.when(
-            (F.col("__off") == F.col("__edge")) & (F.col("__off") > 0),
-            F.sequence(F.lit(0), F.greatest(F.col("__off") - 1, F.lit(0))),
-        ).otherwise(F.array().cast("array<int>"))
-        served = F.concat(F.array(F.col("__off")), early)
-        spread = steps.withColumn("step", F.explode(served))
-        own = F.col("step") == F.col("__off")
-        knows = F.col("__off") >= F.col("__edge")
-        merged = (
-            spread.groupBy(*keys, "window_idx", "start_idx", "step")
-            .agg(F.max(F.when(own, F.col("x"))).alias("x"), F.max(F.when(knows, peak)).alias("__peak"))
-        )
+    heat = {i: f"__h{i}" for i in K.HEAT_CHANNELS}
+    values = {h: F.get("x", F.lit(i)).cast("double") for i, h in heat.items()}
+    rows = W.carried_rows(stack, values, ts, interval, tail, leakage=leakage, keys=keys, block=block, keep=["x", *keep])
     raw = C.elements(F.col("x"), n)
-    at = {channel: F.get("__peak", F.lit(i)) for i, channel in enumerate(K.HEAT_CHANNELS)}
-    vector = F.array(*[at[i].cast("float") if i in at else v.cast("float") for i, v in enumerate(raw)])
-    return merged.where(F.col("step") < ts).select(*keys, "window_idx", "start_idx", "step", vector.alias("x"))
+    vector = F.array(*[F.col(heat[i]).cast("float") if i in heat else v.cast("float") for i, v in enumerate(raw)])
+    return rows.withColumn("x", vector).drop(*values)
 
 
 def growth_samples(stack: DataFrame, ts: int, interval: int, *, leakage: str = "reference", block: int = 256) -> DataFrame:
     """Next-day growth inputs: 27 channels per (pixel, window, step); windows need ts + 1 frames."""
-    return windowed_vectors(stack, ts, interval, "drop", n=K.PRED_CHANNELS, leakage=leakage, block=block)
+    rows = windowed_vectors(stack, ts, interval, "drop", n=K.PRED_CHANNELS, leakage=leakage, block=block)
+    return rows.select(*W.PIXEL, "window_idx", "start_idx", "step", "x")
 
 
 def growth_labels(stack: DataFrame, ts: int, interval: int, *, label_sel: Column | None = None, dense: bool = True) -> DataFrame:
     """Next-day growth targets of the same windows. Without a selector only active fire counts, as in training."""
     return W.growth_target(
-        stack, F.col("af") > 0, F.col("perimeter") > 0, ts, interval, label_sel=label_sel, dense=dense
+        stack, F.col("af") > 0, C.clean(F.col("perimeter")) > 0, ts, interval, label_sel=label_sel, dense=dense
     )
 
 
 def mapping_samples(stack: DataFrame, task: str, ts: int, interval: int, *, leakage: str = "reference", block: int = 256) -> DataFrame:
     """Active-fire or burned-area inputs (8 clean channels) and label planes per (pixel, window, step).
 
-    Planes are (perimeter, active fire so far, active fire). Active fire keeps
-    raw bands; burned area takes the carried maximum of heat bands.
+    Planes are (perimeter, active fire so far, active fire); a NaN perimeter is
+    nodata, −1. Active fire keeps raw bands; burned area takes the carried maximum
+    of heat bands. First hits join the stack once, before windows are cut, so
+    "fire so far" is arithmetic on the row.
     """
+    reach = W.union_reach(ts, interval, "clamp")
     clean = stack.withColumn("x", C.clean_vector(F.col("x"), K.CORE_CHANNELS))
-    keys = [*W.PIXEL, "window_idx", "start_idx", "step"]
-    cut = W.cut_windows(clean, ts, interval, "clamp")
+    hits = W.first_hits(clean, {"__first": F.col("af") != 0})
+    known = clean.join(hits, list(W.PIXEL), "left")
     if task == "af":
-        x = cut.select(*keys, "perimeter", "af", F.col("x").cast("array<float>").alias("x"))
+        rows = W.cut_windows(known, ts, interval, "clamp").where(F.col("step") < ts)
     elif task == "ba":
-        vectors = windowed_vectors(clean, ts, interval, "clamp", n=K.CORE_CHANNELS, leakage=leakage, block=block)
-        x = cut.select(*keys, "perimeter", "af").join(vectors, keys)
+        rows = windowed_vectors(
+            known, ts, interval, "clamp", n=K.CORE_CHANNELS, leakage=leakage, block=block, keep=["perimeter", "af", "__first"])
     else:
         raise ValueError(f"unknown task {task!r}")
-    unions = W.carried_union(clean, {"__acc": F.col("af") != 0}, ts, interval, "clamp")
-    planes = F.array(*[F.col(c).cast("float") for c in ("perimeter", "__acc", "af")])
-    return x.join(unions, keys).select(*keys, "x", planes.alias("y"))
+    perimeter = F.when(F.isnan("perimeter"), F.lit(-1.0)).otherwise(C.clean(F.col("perimeter")))
+    so_far = F.coalesce(F.col("__first") <= reach, F.lit(False))
+    planes = F.array(*[c.cast("float") for c in (perimeter, so_far.cast("int"), F.col("af"))])
+    return rows.select(
+        *W.PIXEL, "window_idx", "start_idx", "step", F.col("x").cast("array<float>").alias("x"), planes.alias("y"))
 
 
 def goes_daily_samples(day_scenes: DataFrame, daily: DataFrame, ts: int, interval: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -91,46 +91,78 @@ def state_edge(ts: int, interval: int, tail: str, length: int) -> Column:
     return F.coalesce(edge, F.lit(-1)).cast("int")
 
 
-def carried_max(
-    pixels: DataFrame, values: Sequence[str], ts: int, interval: int, tail: str = "drop", *,
+def _with_ahead(
+    rows: DataFrame, values: Sequence[str], keep: Sequence[str], keys: Sequence[str], block: int, reach: int,
+) -> DataFrame:
+    """Add ``__ahead``: frame and values of the pixel's rows in the next ``reach`` frames, at most that many.
+
+    Rows are dealt by blocks of frames; each block lends its first ``reach``
+    frames to the block before, so no pixel is ordered as a whole.
+    """
+    own = F.coalesce(block_segment("frame", block).cast("long"), F.lit(0).cast("long"))
+    lent = (F.col("frame") % block < reach) & (own > 0)
+    dealt = rows.withColumn("__seg", F.explode(F.when(lent, F.array(own, own - 1)).otherwise(F.array(own))))
+    mine = F.col("__seg") == own
+    dealt = dealt.select(
+        *keys, "frame", "n_frames", "__seg", mine.alias("__mine"), *[F.when(mine, F.col(c)).alias(c) for c in keep], *values)
+    near = Window.partitionBy(*keys, "__seg").orderBy("frame").rangeBetween(1, reach)
+    return dealt.withColumn("__ahead", F.collect_list(F.struct("frame", *values)).over(near)).where("__mine").drop("__mine")
+
+
+def carried_rows(
+    pixels: DataFrame, values: dict[str, Column], ts: int, interval: int, tail: str = "drop", *,
     leakage: str = "reference", keys: Sequence[str] = PIXEL, block: int = 256, keep: Sequence[str] = (), **kw,
 ) -> DataFrame:
-    """Running per-pixel maximum (from 0) as each window sees it.
+    """Rows cut into windows with each value's running per-pixel maximum (from 0) as the window sees it.
 
     The state is never reset between windows. In ``reference`` mode a step also
     sees frames that earlier, overlapping windows already passed, so early steps
-    look ahead; ``causal`` mode stops at the step's own frame. The maximum is
-    taken once per pixel and frame, then indexed by each window.
+    look ahead; ``causal`` mode stops at the step's own frame. The frames looked
+    ahead at are fewer than a window has, so every row carries them along and
+    picks by arithmetic: a step needs its own row only, and nothing is grouped
+    or joined after windows are cut.
     """
     if leakage not in ("reference", "causal"):
         raise ValueError(f"leakage must be 'reference' or 'causal', got {leakage!r}")
     _check(ts, interval, tail)
     length = ts + 1 if tail == "drop" else ts
+    block, reach = max(block, length), length - 1
     members = windows_of_frame(F.col("frame"), F.col("n_frames"), ts, interval, tail, length, False)
     # Only an interval longer than the window leaves frames that no window passes.
     seen = F.size(members) > 0 if interval > length else F.lit(True)
-    scans = {v: Scan("max", F.when(seen, F.col(v).cast("double"))) for v in values}
-    needed = pixels.select(*keys, "frame", "n_frames", *keep, *values)
-    peaks = segmented_scan(needed, list(keys), block_segment("frame", block), ["frame"], scans, **kw)
-    rows = (
+    rows = pixels.select(
+        *keys, "frame", "n_frames", *keep, *[F.when(seen, v.cast("double")).alias(name) for name, v in values.items()])
+    ahead = leakage == "reference" and reach > 0
+    if ahead:
+        rows = _with_ahead(rows, list(values), keep, keys, block, reach)
+    segment = F.col("__seg") if ahead else block_segment("frame", block)
+    peaks = segmented_scan(rows, list(keys), segment, ["frame"], {v: Scan("max", F.col(v)) for v in values}, **kw)
+    start = window_start(F.col("window_idx"), F.col("n_frames"), ts, interval, tail)
+    cut = (
         peaks.withColumn("window_idx", F.explode(members))
-        .withColumn("start_idx", window_start(F.col("window_idx"), F.col("n_frames"), ts, interval, tail).cast("int"))
-    )
-    offset = (F.col("frame") - F.col("start_idx")).cast("int")
-    if leakage == "causal":
-        steps = F.array(offset)
-    else:
-        edge = state_edge(ts, interval, tail, length)
-        steps = (
-            F.when(offset > edge, F.array(offset))
-            .when(offset == edge, F.sequence(F.lit(0), F.greatest(offset, F.lit(0))))
-            .otherwise(F.array().cast("array<int>"))
-        )
-    out = rows.withColumn("step", F.explode(steps)).where(F.col("step") < ts)
-    return out.select(
-        *keys, "window_idx", "start_idx", "step", *keep,
-        *[F.greatest(F.coalesce(F.col(v), F.lit(0.0)), F.lit(0.0)).alias(v) for v in values],
+        .withColumn("start_idx", start.cast("int"))
+        .withColumn("step", (F.col("frame") - F.col("start_idx")).cast("int"))
+        .where(F.col("step") < ts)
     )
+    tops = {v: [F.col(v)] for v in values}
+    if ahead:
+        edge = F.col("start_idx") + state_edge(ts, interval, tail, length)
+        cut = cut.withColumn("__edge", edge).withColumn(
+            "__ahead", F.filter("__ahead", lambda a: a["frame"] <= F.col("__edge")))
+        for v in values:
+            tops[v].append(F.array_max(F.col("__ahead").getField(v)))
+    peak = {v: F.greatest(*[F.coalesce(t, F.lit(0.0)) for t in top], F.lit(0.0)) for v, top in tops.items()}
+    return cut.select(
+        *keys, "frame", "n_frames", "window_idx", "start_idx", "step", *keep, *[p.alias(v) for v, p in peak.items()])
+
+
+def carried_max(
+    pixels: DataFrame, values: Sequence[str], ts: int, interval: int, tail: str = "drop", *,
+    keys: Sequence[str] = PIXEL, keep: Sequence[str] = (), **kw,
+) -> DataFrame:
+    """``carried_rows`` of columns of ``pixels``: a row for each (pixel, window, step) that the pixel has a row for."""
+    rows = carried_rows(pixels, {v: F.col(v) for v in values}, ts, interval, tail, keys=keys, keep=keep, **kw)
+    return rows.select(*keys, "window_idx", "start_idx", "step", *keep, *values)
 
 
 def first_hits(pixels: DataFrame, labels: dict[str, Column], keys: Sequence[str] = PIXEL) -> DataFrame:
@@ -147,6 +179,15 @@ def first_hits(pixels: DataFrame, labels: dict[str, Column], keys: Sequence[str]
     )
 
 
+def union_reach(ts: int, interval: int, tail: str) -> Column:
+    """Last frame that a step's union holds, on rows that ``cut_windows`` made."""
+    length = ts + 1 if tail == "drop" else ts
+    if interval > length:
+        raise ValueError(f"interval {interval} exceeds the window length {length}: no state would be carried")
+    base = F.when(F.col("window_idx") > 0, _previous_start(ts, interval, tail) + interval - 1)
+    return F.greatest(F.col("frame"), F.coalesce(base, F.lit(-1)))
+
+
 def carried_union(
     pixels: DataFrame, labels: dict[str, Column], ts: int, interval: int, tail: str = "drop", *,
     keys: Sequence[str] = PIXEL,
@@ -158,14 +199,11 @@ def carried_union(
     a clamped window may see as far as the previous window's base.
     """
     _check(ts, interval, tail)
-    length = ts + 1 if tail == "drop" else ts
-    if interval > length:
-        raise ValueError(f"interval {interval} exceeds the window length {length}: no state would be carried")
+    reach = union_reach(ts, interval, tail)
     hits = first_hits(pixels, {f"__first_{n}": c for n, c in labels.items()}, keys)
-    rows = cut_windows(pixels, ts, interval, tail).where(F.col("step") < ts)
-    base = F.when(F.col("window_idx") > 0, _previous_start(ts, interval, tail) + interval - 1)
-    reach = F.greatest(F.col("frame"), F.coalesce(base, F.lit(-1)))
-    return rows.join(hits, list(keys), "left").select(
+    # Hits join before windows are cut: what is cut afterwards is not shuffled again.
+    rows = cut_windows(pixels.join(hits, list(keys), "left"), ts, interval, tail).where(F.col("step") < ts)
+    return rows.select(
         *keys, "window_idx", "start_idx", "step",
         *[F.coalesce(F.col(f"__first_{n}") <= reach, F.lit(False)).cast("int").alias(n) for n in labels],
     )

@@ -60,3 +60,19 @@ def test_mapping(spark):
     assert sorted({k[:2] for k in af}) == [(0, 0), (0, 1), (1, 0), (1, 1)] and set(af) == set(ba)
     assert af[1, 1, 0].x[7] == 1.0 and ba[1, 1, 0].x[7] == 4.0
     assert list(af[1, 0, 0].y) == [0.0, 1.0, 1.0] and list(af[0, 1, 1].y) == [1.0, 0.0, 0.0]
+
+
+def test_perimeter_without_data(spark):
+    stack = _stack(spark, False).withColumn("perimeter", F.when(F.col("frame") == 1, F.lit(float("nan"))).otherwise(F.col("perimeter")))
+    for task in ("af", "ba"):
+        planes = {(r.window_idx, r.step, r.row): r.y[0] for r in D.mapping_samples(stack, task, 2, 2).collect()}
+        assert planes[0, 1, 1] == -1.0 and planes[0, 0, 1] == 0.0 and planes[1, 0, 1] == 1.0
+    grown = {(r.window_idx, r.row) for r in D.growth_labels(stack, 2, 1, label_sel=F.lit(0)).collect() if r.growth}
+    assert grown == {(0, 0), (0, 1)}
+
+
+def test_samples_with_a_missing_frame_of_a_pixel(spark):
+    stack = _stack(spark, True).where("NOT (row = 0 AND frame = 2)")
+    samples = {(r.window_idx, r.step, r.row): r.x for r in D.growth_samples(stack, 2, 1).collect()}
+    assert samples[1, 0, 0][3] == 23.0 and samples[1, 0, 0][0] == 20.0
+    assert (1, 1, 0) not in samples and samples[1, 1, 1][3] == 33.0

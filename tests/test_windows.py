@@ -70,6 +70,33 @@ def test_carried_maximum_by_hand(spark):
     assert reference[1, 0] == 9 and causal[1, 0] == 5
 
 
+def test_carried_maximum_without_the_edge_row(spark):
+    df = _frames(spark, [5, 1, 9, 2, 0, 8, 3], [False] * 7)
+    full = {(r.window_idx, r.step): r.v for r in W.carried_max(df, ["v"], 3, 2, "drop", block=1).collect()}
+    got = {(r.window_idx, r.step): r.v for r in W.carried_max(df.where("frame <> 3"), ["v"], 3, 2, "drop", block=1).collect()}
+    # Frame 3 is the last one that window 0 passed; only the steps at frame 3 itself go with it.
+    assert got == {k: v for k, v in full.items() if k not in ((1, 1),)}
+    assert got[1, 0] == 9
+
+
+@pytest.mark.parametrize("tail", ["drop", "clamp"])
+def test_carried_maximum_with_gaps(spark, tail):
+    rng = random.Random(5)
+    for _ in range(8):
+        ts, n = rng.randint(1, 5), rng.randint(1, 14)
+        it = rng.randint(1, ts)
+        values = [rng.randint(0, 20) for _ in range(n)]
+        here = [rng.random() < 0.6 for _ in range(n)]
+        # A missing row adds nothing to the state and has no step.
+        peaks, _, _ = _simulate([v if h else 0 for v, h in zip(values, here)], [False] * n, ts, it, tail)
+        top = {}
+        for w, s in enumerate(_starts(n, ts, it, tail)):
+            top |= {(w, j): p for (v, j), p in peaks.items() if v == w and here[s + j]}
+        df = _frames(spark, values, [False] * n).where(F.col("frame").isin([k for k, h in enumerate(here) if h]))
+        got = {(r.window_idx, r.step): r.v for r in W.carried_max(df, ["v"], ts, it, tail, block=2).collect()}
+        assert got == top, (ts, it, n, tail)
+
+
 def test_interval_longer_than_window_skips_frames(spark):
     df = _frames(spark, [1, 2, 50, 60, 3, 4, 70], [False] * 7)
     got = {(r.window_idx, r.step): r.v for r in W.carried_max(df, ["v"], 1, 4, "drop").collect()}
