@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.channels import at_least
 from .metrics import f1_score, jaccard, ratio_or
-from .ordered import Scan, segmented_scan
 
 _SLOTS = 256
+_CELLS = 4096
+_ROUNDS = 2
 
 
 def nonconformity(prob: Column, positive: Column) -> Column:
@@ -19,15 +20,18 @@ def nonconformity(prob: Column, positive: Column) -> Column:
     return F.when(positive, 1.0 - prob).otherwise(prob)
 
 
-def _score_segment(score: Column) -> Column:
-    """Monotone integral bucket, fine near 0 and near 1 where probabilities crowd.
-
-    256 buckets to an octave leave at most 2**15 distinct single-precision scores
-    in one, however the scores are spread.
-    """
+def _score_bucket(score: Column) -> Column:
+    """Monotone integral bucket, fine near 0 and near 1 where probabilities crowd; NaN comes last, NULL first."""
     low = F.floor(F.log2(F.greatest(score, F.lit(5e-324))) * _SLOTS)
     high = -F.floor(F.log2(F.greatest(1.0 - score, F.lit(5e-324))) * _SLOTS)
-    return F.when(score < 0.5, low).otherwise(high)
+    bucket = F.when(F.isnan(score), F.lit(2**40)).when(score < 0.5, low).otherwise(high)
+    return F.when(score.isNull(), F.lit(-(2**40))).otherwise(bucket).cast("long")
+
+
+def _cell(score: Column) -> Column:
+    """Which of ``_CELLS`` equal parts of ``__lo`` to ``__hi`` a score lies in; 0 where that range has no finite width."""
+    part = F.floor((score - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * _CELLS)
+    return F.coalesce(F.least(F.greatest(part, F.lit(0)), F.lit(_CELLS - 1)), F.lit(0)).cast("long")
 
 
 def conformal_quantile(scores: DataFrame, alpha: float, *, by: Sequence[str] = (), score: str = "score") -> DataFrame:
@@ -35,9 +39,10 @@ def conformal_quantile(scores: DataFrame, alpha: float, *, by: Sequence[str] = (
 
     With m = ceil((n + 1)(1 − α)), this is the score at 0-based rank
     min(m, n − 1) of the sorted scores. Equal scores collapse to a count before
-    any shuffle; a segmented running count over the distinct scores finds the
-    one whose span holds the rank, so no group is sorted in one task. An empty
-    input gives no row.
+    any shuffle. Counts per bucket then tell which bucket holds the rank; only its
+    scores are looked at again, in finer buckets, and only those of the last
+    bucket are put in order: a 4096² th of a coarse bucket where scores are
+    spread, so no group is sorted in one task. An empty input gives no row.
     """
     _check_alpha(alpha)
     keys = list(by)
@@ -51,13 +56,33 @@ def _check_alpha(alpha: float) -> None:
 
 def _rank(counts: DataFrame, keys: list[str], alpha: float, score: str) -> DataFrame:
     """Quantile per group from counts ``__n`` of distinct scores."""
-    ranked = segmented_scan(
-        counts, keys, _score_segment(F.col(score)), [score],
-        {"__upto": Scan("sum", F.col("__n")), "n": Scan("total", F.col("__n"))},
-    )
-    rank = F.least(F.ceil((F.col("n") + 1) * (1.0 - alpha)), F.col("n") - 1)
-    inside = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)
-    return ranked.where(inside).select(*keys, F.col(score).alias("qhat"), "n")
+    value = F.col(score)
+    rows = counts.select(*keys, score, "__n", _score_bucket(value).alias("__b"))
+    sums = _bucket_sums(rows, keys, score).withColumn("n", F.sum("__n").over(Window.partitionBy(*keys)))
+    sums = sums.withColumn("__left", F.least(F.ceil((F.col("n") + 1) * (1.0 - alpha)), F.col("n") - 1))
+    for _ in range(_ROUNDS):
+        rows = _within(rows, sums, keys).withColumn("__b", _cell(value)).drop("__lo", "__hi")
+        sums = _bucket_sums(rows, [*keys, "n", "__left"], score)
+        rows = rows.drop("n", "__left")
+    last = _within(rows, sums, keys)
+    return _holding(last, keys, score).select(*keys, value.alias("qhat"), "n")
+
+
+def _bucket_sums(rows: DataFrame, by: list[str], score: str) -> DataFrame:
+    return rows.groupBy(*by, "__b").agg(F.sum("__n").alias("__n"), F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+
+
+def _holding(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of each group whose count spans rank ``__left``, which then counts from that row's first."""
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    spans = rows.withColumn("__before", upto - F.col("__n")).where(F.col("__left").between(
+        F.col("__before"), F.col("__before") + F.col("__n") - 1))
+    return spans.withColumn("__left", F.col("__left") - F.col("__before")).drop("__before")
+
+
+def _within(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the bucket that holds the rank; of buckets there is a bounded number a group, so ordering them is cheap."""
+    return rows.join(_holding(sums, keys, "__b").drop("__n"), [*keys, "__b"])
 
 
 def class_quantiles(calibration: DataFrame, alpha: float, prob: str = "prob", label: str = "label") -> DataFrame:

@@ -41,6 +41,16 @@ def test_conformal_guards(spark):
             CP.conformal_quantile(empty, alpha)
 
 
+def test_quantile_of_crowded_and_outlying_scores(spark):
+    rng = np.random.default_rng(3)
+    crowded = 0.5 + rng.random(4000) * 1e-9
+    outlying = np.concatenate([-rng.random(500) * 100, 1 + rng.random(500) * 100, [0.0, 1.0, float("inf")]])
+    for scores in (crowded, outlying):
+        for alpha in (0.01, 0.4, 0.8, 0.999):
+            rank = min(int(np.ceil((len(scores) + 1) * (1 - alpha))), len(scores) - 1)
+            assert _q(spark, scores.tolist(), alpha) == np.sort(scores)[rank]
+
+
 def test_absent_class_takes_the_global_quantile(spark):
     df = spark.createDataFrame([(i / 50, 1) for i in range(50)], "prob double, label int")
     row = CP.class_quantiles(df, 0.1).first()
