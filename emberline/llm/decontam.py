@@ -4,12 +4,13 @@ A CGK walk reads a string with one random bit a step deciding whether to move on
 j outputs the current word and then stays or moves by a hash of (j, word). Two strings a few
 edits apart fall back into step, so their outputs differ in few places: edit
 distance becomes Hamming distance, and sampling a few output places is an LSH family for it.
-Words are the alphabet. Each repetition has a walk, a sample and a start word of each item of its own; windows of documents
-of the item's size start at every word. Repetitions go on until the chance to miss a
-window at the allowed distance is below 1 - recall. Hits are checked by exact word edit distance.
+Words are the alphabet. Each repetition has a walk, a sample and a start word of each item of its own. Walks are short, so
+that they fit between edits, and run forwards and backwards in turn: starts are drawn from all words that leave room
+ahead, so every word of an item is a start and no single edit hits all repetitions. A document walk starts at every word.
+Repetitions go on until the chance to miss an item at the allowed distance is below 1 - recall. Hits are checked by
+exact word edit distance.
 
-A document window is dropped as soon as its outputs so far begin no item's key, which
-loses nothing and makes a repetition cost little more than one table look-up a word.
+A document walk is dropped as soon as its outputs so far begin no item's key, which loses nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .textarrays import LETTERS_DIGITS, mixed, ragged, slices, trimmed, utf8, wo
 
 DISTANCE = 0.2
 RECALL = 0.99
-STEPS = 12
+STEPS = 8
 SAMPLE = 4
 MIN_WORDS = 5
 BLOCK_BYTES = 8 << 20
@@ -38,25 +39,24 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_wor
 
 def repetitions(distance: float = DISTANCE, recall: float = RECALL, sample: int = SAMPLE) -> int:
     """How many walks reach the recall, if a sampled output survives with the chance that its word was not edited and
-    the walk is still in step (taken as another unedited word)."""
+    the walk is still in step (taken as another unedited word). Tests hold this against recall measured by item length."""
     hit = (1 - distance) ** (2 * sample)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - hit)))
 
 
-def _bits(h: np.ndarray, walk: int) -> np.ndarray:
-    """One random bit a step for each word, as the bits of an integer."""
-    return mixed(h ^ np.uint64((walk + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(17)
-
-
 @dataclass
 class Walk:
-    """One repetition over the items of one walk length."""
+    """One repetition over the items of one walk length: ``step`` is 1 or -1, ``bits`` has the random bits by word code.
 
-    walk: int
+    A walk that leaves its item ends there: ``whole[k]`` has the keys, items and starts that are whole after k + 1 outputs.
+    """
+
+    step: int
     sampled: list[int]
-    stages: list[np.ndarray]
-    item: np.ndarray
-    offset: np.ndarray
+    bits: np.ndarray
+    first: np.ndarray
+    begun: list[np.ndarray]
+    whole: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 class Index:
@@ -75,23 +75,20 @@ class Index:
         self.members = np.zeros((len(self.items), len(self.vocabulary) + 1), bool)
         for i, x in enumerate(self.items):
             self.members[i, self.codes(x)] = True
-        self.least = np.array([len(np.unique(x)) - int(distance * len(x)) for x in self.items], np.int64)
         self.size = np.array([len(x) for x in self.items], np.int64)
-        often = np.bincount(self.codes(np.concatenate(self.items)), minlength=len(self.vocabulary) + 1) if use else np.zeros(1)
+        self.edits = (distance * self.size).astype(np.int64)
+        # How often an item has a word, by item and word code.
+        named = [i * (len(self.vocabulary) + 1) + self.codes(x).astype(np.int64) for i, x in enumerate(self.items)]
+        self.counted, self.counts = np.unique(np.concatenate(named) if named else np.zeros(0, np.int64), return_counts=True)
         rng = np.random.default_rng(seed)
         self.walks: list[Walk] = []
-        sizes = np.minimum([len(x) for x in self.items], STEPS)
+        steps = np.minimum(self.size, STEPS)
         for r in range(repetitions(distance, recall)):
-            for size in np.unique(sizes).tolist():
-                group = np.flatnonzero(sizes == size)
-                sampled = [0, *sorted(rng.choice(np.arange(1, size), min(SAMPLE, size) - 1, replace=False).tolist())]
-                start = [self._start(rng, often[self.codes(self.items[i])[:len(self.items[i]) - size + 1]]) for i in group]
-                self.walks.append(self._table(r, sampled, group, np.array(start)))
-
-    @staticmethod
-    def _start(rng: np.random.Generator, often: np.ndarray) -> int:
-        """A random start among the half of an item's words that are rarest in the benchmark: fewer windows begin with them."""
-        return int(rng.choice(np.flatnonzero(often <= np.median(often))))
+            for n in np.unique(steps).tolist():
+                group = np.flatnonzero(steps == n)
+                sampled = [0, *sorted(rng.choice(np.arange(1, n), min(SAMPLE, n) - 1, replace=False).tolist())]
+                start = rng.integers(0, self.size[group] - n // 2)
+                self.walks.append(self._table(rng, -1 if r % 2 else 1, sampled, group, start))
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int32)
@@ -102,22 +99,31 @@ class Index:
             out[at[hit]] = place[hit] + 1
         return out
 
-    def _table(self, walk: int, sampled: list[int], group: np.ndarray, start: np.ndarray) -> Walk:
+    def _table(self, rng: np.random.Generator, step: int, sampled: list[int], group: np.ndarray, start: np.ndarray) -> Walk:
+        """``start`` counts from the end at which the walk begins."""
+        start = start if step > 0 else self.size[group] - 1 - start
         h = np.concatenate([self.items[i] for i in group])
-        heads = np.cumsum([0, *(len(self.items[i]) for i in group)])[:-1]
-        code, bits, at = self.codes(h), _bits(h, walk), heads + start
-        key, stages = np.zeros(len(group), np.uint64), []
+        ends = np.cumsum(self.size[group])
+        heads = ends - self.size[group]
+        # Words outside the vocabulary share code 0: no item has them, so only their bits matter.
+        bits = rng.integers(0, 1 << STEPS, len(self.vocabulary) + 1, dtype=np.int64)
+        code, at = self.codes(h), heads + start
+        key, outputs, begun = np.zeros(len(group), np.uint64), np.zeros(len(group), np.int64), []
         for j in range(sampled[-1] + 1):
+            inside = np.flatnonzero((at >= heads) & (at < ends))
             if j in sampled:
-                key = _grown(key, code[at])
-                stages.append(np.unique(key))
-            at = np.minimum(at + ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64), len(h) - 1)
+                key[inside] = _grown(key[inside], code[at[inside]])
+                outputs[inside] += 1
+                begun.append(np.unique(key[inside]))
+            at[inside] += step * ((bits[code[at[inside]]] >> j) & 1)
         first = np.zeros(len(self.vocabulary) + 1, bool)
         first[code[heads + start]] = True
-        order = np.argsort(key, kind="stable")
-        stages[0] = first
-        stages.append(key[order])
-        return Walk(walk, sampled, stages, group[order], start[order])
+        whole = []
+        for k in range(len(sampled)):
+            here = np.flatnonzero(outputs == k + 1)
+            here = here[np.argsort(key[here], kind="stable")]
+            whole.append((key[here], group[here], start[here]))
+        return Walk(step, sampled, bits, first, begun, whole)
 
     def candidates(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(item, position at which the item would start) of every hit, a repetition at a time."""
@@ -127,42 +133,56 @@ class Index:
         known = np.flatnonzero(code)
         short = code[known]
         for x in self.walks:
-            start = known[x.stages[0][short]]
+            start = known[x.first[short]]
             at, key = start, np.zeros(len(start), np.uint64)
-            stage = 0
+            output = 0
             for j in range(x.sampled[-1] + 1):
+                here = code[at]
                 if j in x.sampled:
-                    key = _grown(key, code[at])
-                    if stage:
-                        alive = np.isin(key, x.stages[stage]) & (code[at] > 0)
-                        start, at, key = start[alive], at[alive], key[alive]
-                    stage += 1
+                    key = _grown(key, here)
+                    if output:
+                        alive = np.flatnonzero(_among(key, x.begun[output]))
+                        start, at, key, here = start[alive], at[alive], key[alive], here[alive]
+                    keys, item, offset = x.whole[output]
+                    if len(keys) and len(key):
+                        low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+                        which = ragged(low, high - low)
+                        if len(which):
+                            yield item[which], np.repeat(start, high - low) - offset[which]
+                    output += 1
                 if not len(at):
                     break
-                step = (_bits(h[at], x.walk) >> np.uint64(j)) & np.uint64(1)
-                at = np.minimum(at + step.astype(np.int64), len(h) - 1)
-            if len(at):
-                keys = x.stages[-1]
-                low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                n = high - low
-                which = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield x.item[which], np.repeat(start, n) - x.offset[which]
+                at = np.clip(at + x.step * ((x.bits[here] >> j) & 1), 0, len(h) - 1)
 
+    def pairs(self, h: np.ndarray) -> np.ndarray:
+        """All candidates once, sorted by item and position."""
+        before, span = int(self.size.max(initial=0)), len(h) + int(self.size.max(initial=0))
+        seen = [item * span + start + before for item, start in self.candidates(h)]
+        item, start = np.divmod(np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64), max(1, span))
+        return np.stack([item, start - before], 1)
 
     def plausible(self, h: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Pairs whose window has at least as many of the item's words as the allowed edits must leave; loses none."""
-        code = self.codes(h)
+        """Pairs whose window has as many of the item's words, repeats counted, as the allowed edits must leave; loses none.
+
+        A walk in step begins at most the allowed edits before or after where the item begins, and so does the item's end.
+        """
+        code, width = self.codes(h), len(self.vocabulary) + 1
         kept = [pairs[:0]]
         for at in range(0, len(pairs), 20_000):
             item, start = pairs[at:at + 20_000].T
-            slack = (self.distance * self.size[item]).astype(np.int64) + 1
-            low = np.clip(start - slack, 0, len(h))
-            size = np.clip(start + self.size[item] + 3 * slack, 0, len(h)) - low
-            place = ragged(low, size)
-            hit = self.members[np.repeat(item, size), code[place]]
-            total = np.concatenate([[0], np.cumsum(hit)])
-            ends = np.cumsum(size)
-            kept.append(pairs[at:at + 20_000][total[ends] - total[ends - size] >= self.least[item]])
+            edits = self.edits[item]
+            low = np.clip(start - edits, 0, len(h))
+            size = np.clip(start + self.size[item] + edits, 0, len(h)) - low
+            place, pair = ragged(low, size), np.repeat(np.arange(len(item)), size)
+            hit = self.members[item[pair], code[place]]
+            pair, place = pair[hit], place[hit]
+            many = np.bincount(pair, minlength=len(item)) >= self.size[item] - edits
+            use = many[pair]
+            held, n = np.unique(pair[use] * width + code[place[use]], return_counts=True)
+            pair, word = held // width, held % width
+            n = np.minimum(n, self.counts[np.searchsorted(self.counted, item[pair] * width + word)])
+            common = np.bincount(pair, n, minlength=len(item))
+            kept.append(pairs[at:at + 20_000][many & (common >= self.size[item] - edits)])
         return np.concatenate(kept)
 
 
@@ -170,6 +190,12 @@ def _grown(key: np.ndarray, code: np.ndarray) -> np.ndarray:
     return mixed(key * np.uint64(0x100000001B3) + code.astype(np.uint64) + np.uint64(1))
 
 
+def _among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
 def nearest_substring(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(distance, first, last + 1): the substring of ``text`` with the least word edit distance to ``item``, the first such end."""
     m = len(text)
@@ -194,9 +220,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
         for part in slices(batch, "text"):
             w = words(*utf8(part.column("text")), LETTERS_DIGITS)
             found: dict[tuple[int, int], tuple] = {}
-            seen = [np.stack(x, 1) for x in index.candidates(w.hashes)]
-            pairs = np.unique(np.concatenate(seen), axis=0) if seen else np.zeros((0, 2), np.int64)
-            pairs = index.plausible(w.hashes, pairs)
+            pairs = index.plausible(w.hashes, index.pairs(w.hashes))
             checked: tuple[int, int, int] = (-1, -1, -1)
             for item, at in pairs.tolist():
                 body = index.items[item]

@@ -177,6 +177,26 @@ def test_leaks(spark, odd):
     assert decontam.find_leaks(odd, bench.limit(0)).count() == 0 and decontam.find_leaks(odd.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [*range(5, 17), 20, 25, 40])
+def test_recall_by_item_length(n):
+    """Edits at the allowed distance: of the first words, of the last, evenly spaced, and at random."""
+    rng, d, n_items = np.random.default_rng(n), int(0.2 * n), 150
+    texts = [" ".join(f"w{k}x{i}" for i in range(n)) for k in range(n_items)]
+    docs = []
+    for k, text in enumerate(texts):
+        for places in [range(d), range(n - d, n), [(j + 1) * n // (d + 1) for j in range(d)], *(rng.choice(n, d, replace=False) for _ in range(3))]:
+            words = text.split()
+            for i in sorted(places, reverse=True):
+                words[i:i + 1] = [["new"], [], [words[i], "extra"]][0 if len(docs) % 6 < 3 else int(rng.integers(0, 3))]
+            docs.append((k, " ".join(["before"] * 5 + words + ["after"] * 5)))
+    assert all(brute_leak(texts[k], t) for k, t in docs)
+    index = decontam.Index(list(range(n_items)), texts, decontam.DISTANCE, decontam.RECALL)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    found = {(d, i) for b in decontam._search(iter([batch]), index) for d, i in zip(b["doc_id"].to_pylist(), b["item_id"].to_pylist())}
+    hit = np.array([(d, k) in found for d, (k, _) in enumerate(docs)])
+    assert hit.mean() >= 0.99 and hit.reshape(n_items, 6)[:, :3].mean() >= 0.99
+
+
 # --- token files, archives --------------------------------------------------------------------
 
 
