@@ -18,10 +18,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: that with the smallest doc_id (of repeated rows, one)."""
-    first = jaccard.near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "__first"), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each class of near duplicates stays: that with the smallest doc_id (of repeated rows, one).
+
+    Documents are told apart by doc_id and text, so different texts stay apart under one doc_id or none.
+    """
+    first = jaccard.class_firsts(docs).select(F.col("first_id").alias("__first"), F.col("key").alias("__first_key"))
+    keyed = docs.withColumn("__key", jaccard.text_key(F.col("text")))
+    same = (F.col("__key") == F.col("__first_key")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__first"))
+    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +39,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    leaks = decontam.find_leaks(docs, queries.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti").select(*docs.columns)
+    """Drop documents that hold a benchmark item; whether one does depends on its text alone, so texts decide, not doc_ids."""
+    keyed = docs.withColumn("__key", jaccard.text_key(F.col("text")))
+    found = decontam.find_leaks(keyed, queries.table(spark, sf_dir, "benchmark"), key="__key")
+    leaks = found.select(F.col("key").alias("__leak")).distinct()
+    return keyed.join(leaks, F.col("__key") == F.col("__leak"), "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,10 +241,14 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
             if found:
                 ids = part.column("doc_id").to_pylist()
                 rows = [(ids[d], index.ids[i], x, y, far, len(index.items[i])) for (d, i), (far, x, y) in sorted(found.items())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+                out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+                if "key" in part.schema.names:
+                    out = out.append_column("key", part.column("key").take(pa.array([d for d, _ in sorted(found)])))
+                yield out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, recall: float = RECALL) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE, recall: float = RECALL,
+               key: str | None = None) -> DataFrame:
     """A row for each document and benchmark item found in it: place (word positions), word edit distance, words of the item.
 
     Input: docs doc_id, text; benchmark item_id, text (other columns are ignored). Words are runs of letters and digits,
@@ -252,6 +256,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE
     (0.2: a similarity of 0.8). Items of fewer than five words are left out. Null and empty texts hold nothing; documents in several rows
     give rows each; of several places of one item the nearest, then first, is given.
 
+    ``key`` names a binary column of docs that is given as ``key`` with each row, to tell documents apart where doc_id does not.
+
     Items go to the tasks in blocks of 8 MB of text, so what is sent at once is bounded whatever the benchmark's size;
     each block is one pass over the documents, without a shuffle.
     """
@@ -260,11 +266,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE
     items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint"), F.lower("text").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.lower("text").alias("text"))
+    more = [F.col(key).alias("key")] if key else []
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.lower("text").alias("text"), *more)
+    schema = f"{SCHEMA}, key binary" if key else SCHEMA
     out = None
     for k in range(blocks):
         held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         index = spark.sparkContext.broadcast(Index([r["item_id"] for r in held], [r["text"] for r in held], distance, recall))
-        found = rows.mapInArrow(lambda it, index=index: _search(it, index.value), SCHEMA)
+        found = rows.mapInArrow(lambda it, index=index: _search(it, index.value), schema)
         out = found if out is None else out.union(found)
     return out

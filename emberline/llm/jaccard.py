@@ -14,7 +14,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -170,11 +170,36 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE
     tiles are compared, each in a group of its own, so a hot group spreads over tasks; only sums and a
     forest of links leave a tile.
     """
+    signed, named = _named(docs, threshold, n, recall)
+    alone = signed.where("n_words = 0").select(F.col("did").alias("doc_id"), F.col("did").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    classes = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    named = named.join(classes, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.where("n_words > 0").select("did", "key").join(named, "key").select(F.col("did").alias("doc_id"), "class_id", "n_links").union(alone)
+
+
+def text_key(text: Column) -> Column:
+    """Equal for equal texts, whatever their case; null is as empty."""
+    return F.unhex(F.md5(F.coalesce(F.lower(text), F.lit("")).cast("binary")))
+
+
+def class_firsts(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+    """first_id, key: of each class of ``near_classes`` the text that stands for it, by its smallest doc_id (null last) and ``text_key``.
+
+    Classes are told apart by their texts, so one doc_id on several texts, or none, mixes no classes. Texts without words stand for themselves.
+    """
+    signed, named = _named(docs, threshold, n, recall)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("last"), "first_id", "key")).alias("f"))
+    alone = signed.where("n_words = 0").select(F.col("did").alias("first_id"), "key").distinct()
+    return first.select("f.first_id", "f.key").union(alone)
+
+
+def _named(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and a row for each text with words: key, node, first_id, copies, links, root (one for each class)."""
     spark = docs.sparkSession
     ship(spark)
     length = prefix_length(threshold, recall)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("did"), F.lower("text").alias("text"))
-    rows = rows.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    rows = rows.withColumn("key", text_key(F.col("text")))
     signed = written(rows.mapInArrow(lambda it: _sign(it, n, TREES, length), _SIGNED), "signatures")
 
     texts = signed.where("n_words > 0").groupBy("key").agg(
@@ -202,7 +227,4 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE
     links = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     links = links.join(bridges.withColumnRenamed("root", "far"), "node", "left").select("node", "links", F.coalesce("far", "root").alias("root"))
     named = nodes.select("key", "node", "first_id", "copies").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = named.join(classes, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    alone = signed.where("n_words = 0").select(F.col("did").alias("doc_id"), F.col("did").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return signed.where("n_words > 0").select("did", "key").join(named, "key").select(F.col("did").alias("doc_id"), "class_id", "n_links").union(alone)
+    return signed, named

@@ -389,3 +389,19 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF_DIR).columns == docs.columns
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def test_stages_tell_documents_apart_by_text(spark):
+    """Null and repeated doc_ids with different texts: only equal and near texts collapse, only leaking rows go."""
+    leak = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("text is not null").first().text
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[1] + " end"), (7, texts[2]), (7, texts[3]), (7, texts[3]),
+            (3, texts[4]), (5, texts[4]), (None, texts[4]), (None, f"x {leak} y"), (7, f"z {leak}"), (9, texts[5])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], documents(spark).schema)
+    kept = text_rows(corpus_pipeline.near_duplicates(spark, docs, SF_DIR))
+    first = [x for x in kept if x[1] in (texts[1], texts[1] + " end")]
+    assert len(first) == 1 and first[0][0] is None
+    want = [(None, texts[0]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (9, texts[5])]
+    assert sorted(map(str, kept)) == sorted(map(str, [*want, *first, *((d, t) for d, t in kept if leak in t)])) and any(leak in t for _, t in kept)
+    clean = text_rows(corpus_pipeline.decontaminate(spark, docs, SF_DIR))
+    assert sorted(map(str, clean)) == sorted(str(x) for x in rows if leak not in x[1])
