@@ -1,9 +1,8 @@
-"""Near-duplicate join on word n-gram Jaccard similarity, by a MinHash LSH forest.
+"""Near-duplicate join on word n-gram Jaccard similarity, by MinHash banding.
 
-Each text has a signature a tree; a tree is a prefix trie of signatures, kept as a
-sorted table of prefixes. Matching starts at full length and the prefix is shortened
-until texts at the threshold meet in some tree with the target recall. Texts that share
-a prefix are linked to the first of them; the linked sets are then compared exactly, tile by tile, on the
+Each text has a hash a tree (band), over as many minima as ``prefix_length`` gives: the longest
+prefix at which texts at the threshold meet in some tree with the target recall. The length is one number,
+so this is no forest of several prefix lengths. Texts that share a prefix are linked to the first of them; the linked sets are then compared exactly, tile by tile, on the
 shingles of their words.
 """
 
