@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontam, jaccard, langid, negatives, packing, pagetext, substring, topk, warc
+from . import chat, dac, decontam, jaccard, langid, negatives, packing, pagetext, substring, topk, transducer, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -153,3 +153,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     corrupted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", corrupted))
     return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+@_query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
