@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontam, jaccard, langid, negatives, packing, pagetext, substring, topk, transducer, warc
+from . import chat, dac, decontam, jaccard, langid, negatives, packing, pagetext, spelling, substring, topk, transducer, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -158,3 +158,45 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
+
+
+@_query(r"""
+WITH RECURSIVE table_ AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+run AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w
+  FROM documents),
+counted AS MATERIALIZED (SELECT doc_id, w, count(*) AS c FROM run WHERE length(w) >= 6 GROUP BY ALL),
+hashed AS MATERIALIZED (
+  SELECT w, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2),
+      lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT w, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM counted), table_),
+words AS MATERIALIZED (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT c, CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY word),
+named AS (SELECT b.word, b.n_near, b.top, min(x.near) AS near FROM best b JOIN near x ON x.word = b.word AND x.near_n = b.top GROUP BY ALL),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(d.n_near, 0)::BIGINT AS n_near, CASE WHEN d.top >= 5 * w.n THEN d.near END AS form,
+    CASE WHEN d.top >= 5 * w.n THEN d.top END AS form_n FROM words w LEFT JOIN named d ON w.word = d.word),
+chain AS (SELECT word, word AS at FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON f.word = e.word
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(table(spark, sf_dir, "documents")).where(F.length("run") >= 6)
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    h = F.crc32(F.concat(doc, F.lit(":"), "run").cast("binary"))
+    gone = (h % F.length("run")).cast("int")
+    left = F.concat(F.substring("run", F.lit(1), gone), F.substring("run", gone + 2, F.length("run")))
+    words = spelling.vocabulary(found.select(F.when(h % 199 == 0, left).otherwise(F.col("run")).alias("word")))
+    return spelling.group_variants(words)
