@@ -50,7 +50,7 @@ def test_sql_twins(spark, name):
 
 def test_registered():
     names = entry.queries()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11)) and "pipeline" in names
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14)) and "pipeline" in names
 
 
 # --- tokens, chat ----------------------------------------------------------------------
