@@ -45,8 +45,8 @@ def hours_between(start: Column, end: Column) -> Column:
     return micros / 3.6e9
 
 
-def usable_scenes(scenes: DataFrame, task: str = "pred") -> DataFrame:
-    """Drop scenes with a broken night file; the active-fire test also needs 8 day bands and equal shapes.
+def is_usable(task: str = "pred") -> Column:
+    """Whether a scene's night file is sound (or absent); the active-fire test also needs 8 day bands and equal shapes.
 
     Expects n_bands, height and width for the day file and night_bands,
     night_height and night_width (NULL when there is no night file).
@@ -55,7 +55,24 @@ def usable_scenes(scenes: DataFrame, task: str = "pred") -> DataFrame:
     if task == "af_test":
         same = (F.col("height") == F.col("night_height")) & (F.col("width") == F.col("night_width"))
         ok = ok & (F.col("n_bands") == 8) & F.coalesce(same, F.lit(True))
-    return scenes.where(ok)
+    return ok
+
+
+def usable_scenes(scenes: DataFrame, task: str = "pred") -> DataFrame:
+    """Drop scenes that ``is_usable`` rejects."""
+    return scenes.where(is_usable(task))
+
+
+def number_frames(scenes: DataFrame, task: str = "pred", *, skipped: str = "drop", usable: Column | None = None, **kw) -> DataFrame:
+    """``frame_index`` with a rule for unusable scenes, and a ``usable`` column.
+
+    drop       they go first, so the next scene takes their place
+    reference  they keep their place; windows then hold an empty step there (see ``windows.usable_rows``)
+    """
+    if skipped not in ("drop", "reference"):
+        raise ValueError(f"skipped must be 'drop' or 'reference', got {skipped!r}")
+    marked = scenes.withColumn("usable", F.coalesce(usable if usable is not None else is_usable(task), F.lit(False)))
+    return frame_index(marked.where("usable") if skipped == "drop" else marked, **kw)
 
 
 def join_night(day: DataFrame, night: DataFrame, keys: Sequence[str], out: str = "x") -> DataFrame:

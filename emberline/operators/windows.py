@@ -81,6 +81,12 @@ def cut_windows(
     )
 
 
+def usable_rows(pixels: DataFrame, skipped: DataFrame, *, fire: Sequence[str] = ("fire_id",), name: str = "usable") -> DataFrame:
+    """Mark rows of skipped frames. ``skipped`` (fire keys, frame) is a part of the scene manifest: scenes, not pixels."""
+    broken = skipped.select(*fire, "frame", F.lit(False).alias("__usable"))
+    return pixels.join(broken, [*fire, "frame"], "left").withColumn(name, F.coalesce("__usable", F.lit(True))).drop("__usable")
+
+
 def _previous_start(ts: int, interval: int, tail: str) -> Column:
     return window_start(F.col("window_idx") - 1, F.col("n_frames"), ts, interval, tail)
 
@@ -111,7 +117,8 @@ def _with_ahead(
 
 def carried_rows(
     pixels: DataFrame, values: dict[str, Column], ts: int, interval: int, tail: str = "drop", *,
-    leakage: str = "reference", keys: Sequence[str] = PIXEL, block: int = 256, keep: Sequence[str] = (), **kw,
+    leakage: str = "reference", keys: Sequence[str] = PIXEL, block: int = 256, keep: Sequence[str] = (),
+    usable: str | None = None, **kw,
 ) -> DataFrame:
     """Rows cut into windows with each value's running per-pixel maximum (from 0) as the window sees it.
 
@@ -120,7 +127,8 @@ def carried_rows(
     look ahead; ``causal`` mode stops at the step's own frame. The frames looked
     ahead at are fewer than a window has, so every row carries them along and
     picks by arithmetic: a step needs its own row only, and nothing is grouped
-    or joined after windows are cut.
+    or joined after windows are cut. Where the boolean column ``usable`` is given and
+    false, a row adds nothing to the state and its own values are 0.
     """
     if leakage not in ("reference", "causal"):
         raise ValueError(f"leakage must be 'reference' or 'causal', got {leakage!r}")
@@ -130,6 +138,8 @@ def carried_rows(
     members = windows_of_frame(F.col("frame"), F.col("n_frames"), ts, interval, tail, length, False)
     # Only an interval longer than the window leaves frames that no window passes.
     seen = F.size(members) > 0 if interval > length else F.lit(True)
+    if usable:
+        seen, keep = seen & F.col(usable), [*keep, *([] if usable in keep else [usable])]
     rows = pixels.select(
         *keys, "frame", "n_frames", *keep, *[F.when(seen, v.cast("double")).alias(name) for name, v in values.items()])
     ahead = leakage == "reference" and reach > 0
@@ -152,6 +162,8 @@ def carried_rows(
         for v in values:
             tops[v].append(F.array_max(F.col("__ahead").getField(v)))
     peak = {v: F.greatest(*[F.coalesce(t, F.lit(0.0)) for t in top], F.lit(0.0)) for v, top in tops.items()}
+    if usable:
+        peak = {v: F.when(F.col(usable), p).otherwise(F.lit(0.0)) for v, p in peak.items()}
     return cut.select(
         *keys, "frame", "n_frames", "window_idx", "start_idx", "step", *keep, *[p.alias(v) for v, p in peak.items()])
 
@@ -188,18 +200,91 @@ def union_reach(ts: int, interval: int, tail: str) -> Column:
     return F.greatest(F.col("frame"), F.coalesce(base, F.lit(-1)))
 
 
+def _broken_bases(skipped: DataFrame, ts: int, interval: int, tail: str, fire: Sequence[str]) -> DataFrame:
+    """Windows whose union is not handed on, because the frame that closes their first ``interval`` steps was skipped.
+
+    One row (fire keys, window) a skipped frame at such a place; ``skipped`` needs n_frames too.
+    """
+    f, n = F.col("frame"), F.col("n_frames")
+    window = _div(f + 1, interval) - 1
+    closes = F.pmod(f + 1, F.lit(interval)) == 0
+    if tail == "drop":
+        return skipped.where(closes).select(*fire, window.alias("__window"))
+    plain = skipped.where(closes & (window * interval + ts < n)).select(*fire, window.alias("__window"))
+    clamped = skipped.where((n >= ts) & (f == n - ts + interval - 1)).select(*fire, _first_clamped(n, ts, interval).alias("__window"))
+    return plain.union(clamped).distinct()
+
+
+def _first_clamped(n: Column, ts: int, interval: int) -> Column:
+    return F.greatest(_ceil_div(n - ts, interval), F.lit(0))
+
+
+def split_hits(
+    hits: DataFrame, label: Column, skipped: DataFrame, ts: int, interval: int, tail: str, keys: Sequence[str], fire: Sequence[str],
+) -> tuple[DataFrame, DataFrame]:
+    """What windows still know of a pixel's labelled frames when some frames were skipped.
+
+    A window hands its union on after ``interval`` steps. If the frame there was skipped, the next
+    window starts from an older union and the frames in between are *lost*: seen by windows that hold them, and not
+    by later ones. Lost frames are few (an interval a skipped frame), so they alone are cut into windows.
+
+    Returns two tables over ``hits`` (rows with keys, frame, n_frames): ``__first`` (first frame that is not lost) and
+    ``__enters`` (first window that knows a lost frame after all, by a clamped window) per pixel, and
+    ``__lost`` (first step at which a lost frame is seen) per pixel and window.
+    """
+    broken = _broken_bases(skipped, ts, interval, tail, fire).withColumn("__gone", F.lit(True))
+    n, f = F.col("n_frames"), F.col("frame")
+    rows = hits.where(F.coalesce(label, F.lit(False))).select(*keys, "frame", "n_frames")
+    rows = rows.withColumn("__window", _div(f, interval)).join(broken, [*fire, "__window"], "left")
+    own, gone = F.col("__window") + 1, F.coalesce(F.col("__gone"), F.lit(False))
+    if tail == "drop":
+        due, enters = own, F.when(~gone, own)
+    else:
+        rows = rows.withColumnRenamed("__gone", "__gone_own").withColumnRenamed("__window", "__own")
+        rows = rows.withColumn("__window", _first_clamped(n, ts, interval)).join(broken, [*fire, "__window"], "left")
+        open_ = F.col("__own") * interval + ts < n
+        clamped = (n >= ts) & f.between(n - ts, n - ts + interval - 1)
+        own, later = F.col("__own") + 1, F.col("__window") + 1
+        due = F.least(F.when(open_, own), F.when(clamped, later))
+        enters = F.least(F.when(open_ & F.col("__gone_own").isNull(), own), F.when(clamped & F.col("__gone").isNull(), later))
+    rows = rows.select(*keys, "frame", "n_frames", (~due.eqNullSafe(enters)).alias("__is_lost"), enters.alias("__enters"))
+    pixel = rows.groupBy(*keys).agg(
+        F.min(F.when(~F.col("__is_lost"), f)).alias("__first"), F.min(F.when(F.col("__is_lost"), F.col("__enters"))).alias("__enters"))
+    lost = cut_windows(rows.where("__is_lost"), ts, interval, tail).groupBy(*keys, "window_idx").agg(F.min("step").alias("__lost"))
+    return pixel, lost
+
+
 def carried_union(
     pixels: DataFrame, labels: dict[str, Column], ts: int, interval: int, tail: str = "drop", *,
-    keys: Sequence[str] = PIXEL,
+    keys: Sequence[str] = PIXEL, skipped: DataFrame | None = None, fire: Sequence[str] = ("fire_id",),
 ) -> DataFrame:
     """Running union of labels as each window sees it, 0/1 per (pixel, window, step).
 
     The union restarts from its state after ``interval`` steps of the previous
     window, so with dropped tails a step sees exactly the frames up to its own;
-    a clamped window may see as far as the previous window's base.
+    a clamped window may see as far as the previous window's base. ``skipped``
+    (fire keys, frame, n_frames) lists frames that add nothing and whose own steps are 0; see ``split_hits``.
     """
     _check(ts, interval, tail)
     reach = union_reach(ts, interval, tail)
+    if skipped is not None:
+        rows = usable_rows(pixels, skipped, fire=fire, name="__usable_row")
+        for name, label in labels.items():
+            rows = rows.withColumn(f"__label_{name}", F.col("__usable_row") & F.coalesce(label, F.lit(False)))
+        cut = rows.select(*keys, "frame", "n_frames", "__usable_row")
+        parts = {n: split_hits(rows, F.col(f"__label_{n}"), skipped, ts, interval, tail, keys, fire) for n in labels}
+        for name, (pixel, _) in parts.items():
+            cut = cut.join(pixel.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in ("__first", "__enters")]), list(keys), "left")
+        cut = cut_windows(cut, ts, interval, tail).where(F.col("step") < ts)
+        for name, (_, lost) in parts.items():
+            cut = cut.join(lost.withColumnRenamed("__lost", f"__lost_{name}"), [*keys, "window_idx"], "left")
+
+        def holds(name: str) -> Column:
+            late = F.coalesce(F.col(f"__enters_{name}") <= F.col("window_idx"), F.lit(False))
+            seen = F.coalesce(F.col(f"__lost_{name}") <= F.col("step"), F.lit(False))
+            return F.col("__usable_row") & (F.coalesce(F.col(f"__first_{name}") <= reach, F.lit(False)) | late | seen)
+
+        return cut.select(*keys, "window_idx", "start_idx", "step", *[holds(n).cast("int").alias(n) for n in labels])
     hits = first_hits(pixels, {f"__first_{n}": c for n, c in labels.items()}, keys)
     # Hits join before windows are cut: what is cut afterwards is not shuffled again.
     rows = cut_windows(pixels.join(hits, list(keys), "left"), ts, interval, tail).where(F.col("step") < ts)
@@ -211,7 +296,8 @@ def carried_union(
 
 def growth_target(
     pixels: DataFrame, fire: Column, perimeter: Column, ts: int, interval: int, *,
-    label_sel: Column | None = None, keys: Sequence[str] = PIXEL, dense: bool = True,
+    label_sel: Column | None = None, keys: Sequence[str] = PIXEL, dense: bool = True, skipped: DataFrame | None = None,
+    fire_keys: Sequence[str] = ("fire_id",),
 ) -> DataFrame:
     """Pixels burned on a window's target day and not before: 0/1 per (pixel, window).
 
@@ -219,6 +305,9 @@ def growth_target(
     selector is 1. It grows for the first time at one frame only, so growth is
     ``first hit = target frame`` and the union itself is never built. With
     ``dense=False`` only the growth pixels come back, from one aggregation.
+
+    With ``skipped`` (fire keys, frame, n_frames) a skipped target day has no growth, skipped frames
+    burn nothing, and a pixel whose earlier fire was lost (see ``split_hits``) may grow again.
     """
     _check(ts, interval, "drop")
     if interval > ts + 1:
@@ -229,6 +318,15 @@ def growth_target(
     start = F.col("frame") - ts
     window = _div(start, interval)
     is_target = (start >= 0) & (F.pmod(start, F.lit(interval)) == 0)
+    if skipped is not None:
+        rows = usable_rows(pixels, skipped, fire=fire_keys, name="__usable_row")
+        rows = rows.select(*keys, "frame", "n_frames", (F.col("__usable_row") & final).alias("__hit"))
+        pixel, lost = split_hits(rows, F.col("__hit"), skipped, ts, interval, "drop", keys, fire_keys)
+        targets = rows.where(is_target & (F.lit(dense) | F.col("__hit"))).withColumn("window_idx", window)
+        known = targets.join(pixel, list(keys), "left").join(lost, [*keys, "window_idx"], "left")
+        burnt = F.coalesce(F.col("__first") < F.col("frame"), F.lit(False)) | F.coalesce(F.col("__lost") < ts, F.lit(False))
+        out = known.select(*keys, "window_idx", (F.col("__hit") & ~burnt).cast("int").alias("growth"))
+        return out if dense else out.where("growth = 1")
     if not dense:
         first = first_hits(pixels, {"frame": final}, keys)
         return first.where(is_target).select(*keys, window.alias("window_idx"), F.lit(1).alias("growth"))
@@ -257,8 +355,10 @@ def fixed_blocks(frames: DataFrame, size: int = K.BLOCK_FRAMES) -> DataFrame:
     )
 
 
-def pad_blocks(blocked: DataFrame, keys: Sequence[str], values: Sequence[str], size: int = K.BLOCK_FRAMES) -> DataFrame:
-    """Fill a ragged last block with zero rows.
+def pad_blocks(
+    blocked: DataFrame, keys: Sequence[str], values: Sequence[str], size: int = K.BLOCK_FRAMES, *, blank: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Fill a ragged last block with zero rows; ``blank`` says what zero is for values that are not numbers.
 
     Only the last frame of each key can leave a gap, and it knows the gap's
     length, so it emits the padding itself: no grid, no join.
@@ -269,7 +369,7 @@ def pad_blocks(blocked: DataFrame, keys: Sequence[str], values: Sequence[str], s
     real = F.col("__pos") == F.col("pos")
     return out.select(
         *keys, "block", F.col("__pos").alias("pos"), real.cast("int").alias("is_real"),
-        *[F.when(real, F.col(v)).otherwise(F.lit(0)).alias(v) for v in values],
+        *[F.when(real, F.col(v)).otherwise((blank or {}).get(v, F.lit(0))).alias(v) for v in values],
     )
 
 
