@@ -126,3 +126,15 @@ FEATURE_SETS = (
     ("pred", "pred_no_firepred", 24, ("viirs_day", "viirs_night", "landcover", "auxiliary"), "planned"),
     ("pred", "pred_remote_only", 8, ("viirs_day", "viirs_night"), "planned"),
 )
+
+# Sentences of the step report, by what a step did to the primary metric.
+_STEP = "Step {step}: [{strategy}] {tool} "
+REASONING_LINES = {
+    "no_metric": _STEP + "was chosen because {rationale} Decision: {decision}.",
+    "first_after_debug": _STEP + "produced the first usable metric after a prior debug failure, yielding {name}={value}.",
+    "first_result": _STEP + "established the first measurable result with {name}={value}.",
+    "metric_changed": _STEP + "changed the primary metric from {previous} to {name}; the latest usable score was {name}={value}.",
+    "improved": _STEP + "improved {name} by {delta}{after}",
+    "reduced": _STEP + "reduced {name} by {delta}, suggesting the latest change was not helpful.",
+    "no_change": _STEP + "produced no material change in {name}; the configuration likely plateaued.",
+}

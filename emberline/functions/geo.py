@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -104,21 +104,20 @@ def with_scan_bounds(bboxes: DataFrame, **projection) -> DataFrame:
 def grid_affine(pixels: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Resolution and origin of each grid from its first two coordinates on either axis.
 
-    The two leading coordinates come from two map-side aggregations, not from a
-    sort of the pixels. Fewer than two coordinates on an axis is an error. ``y``
+    Pixels are read once and collapse, map-side, to their distinct coordinates on either axis; the two leading ones
+    of those are found by ranking them. Fewer than two coordinates on an axis is an error. ``y``
     runs downwards (largest first) as rasters are stored.
     """
-    first = pixels.groupBy(*keys).agg(F.min(x).alias("x0"), F.max(y).alias("y0"))
-    second = (
-        pixels.join(first, keys)
-        .groupBy(*keys)
-        .agg(
-            F.first("x0").alias("x0"),
-            F.first("y0").alias("y0"),
-            F.min(F.when(F.col(x) > F.col("x0"), F.col(x))).alias("x1"),
-            F.max(F.when(F.col(y) < F.col("y0"), F.col(y))).alias("y1"),
-        )
-    )
+    axes = F.array(F.struct(F.lit("x").alias("axis"), F.col(x).alias("at")), F.struct(F.lit("y").alias("axis"), (-F.col(y)).alias("at")))
+    lines = pixels.select(*keys, F.inline(axes)).where(F.col("at").isNotNull()).distinct()
+    place = F.row_number().over(Window.partitionBy(*keys, "axis").orderBy("at"))
+    leading = lines.withColumn("__n", place).where("__n <= 2")
+
+    def line(axis: str, n: int) -> Column:
+        at = F.col("at") if axis == "x" else -F.col("at")
+        return F.min(F.when((F.col("axis") == axis) & (F.col("__n") == n), at)).alias(f"{axis}{n - 1}")
+
+    second = leading.groupBy(*keys).agg(*[line(axis, n) for axis in "xy" for n in (1, 2)])
     short = F.col("x1").isNull() | F.col("y1").isNull()
     error = F.raise_error(F.lit("a grid needs at least two x and two y coordinates")).cast("double")
     x_res = F.when(short, error).otherwise(F.col("x1") - F.col("x0"))

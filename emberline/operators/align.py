@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.timeparse import bins_per_day, date_range, floor_hours, minute_bin
-from .ordered import Scan, neighbour, segmented_scan, time_segment
+from .ordered import SEGMENT_ROWS, Scan, neighbour, scene_segments, segmented_scan
 from .scenes import hours_between
 
 
 # --- interval alignment ---------------------------------------------------------
 
-def interval_members(scenes: DataFrame, anchor: str = "viirs_day", segment_seconds: int = 86400, **kw) -> DataFrame:
+def interval_members(scenes: DataFrame, anchor: str = "viirs_day", *, rows: int = SEGMENT_ROWS, **kw) -> DataFrame:
     """Number every scene by the anchor interval ``(t, t+1]`` it falls in.
 
     The intervals tile the time line, so the interval of a scene is the number
@@ -24,16 +24,16 @@ def interval_members(scenes: DataFrame, anchor: str = "viirs_day", segment_secon
     at its start and closed at its end.
     """
     is_anchor = F.col("source") == anchor
-    marked = scenes.withColumn("__late", is_anchor.cast("int"))
+    marked = scene_segments(scenes.withColumn("__late", is_anchor.cast("int")), ["fire_id"], rows=rows)
     out = segmented_scan(
-        marked, ["fire_id"], time_segment("ts", segment_seconds), ["ts", "__late", "file_name"],
+        marked, ["fire_id"], F.col("__stretch"), ["ts", "__late", "file_name"],
         {"__n": Scan("sum", F.col("__late"))}, **kw,
     )
-    return out.withColumn("interval_index", (F.col("__n") - 1).cast("int")).drop("__n", "__late")
+    return out.withColumn("interval_index", (F.col("__n") - 1).cast("int")).drop("__n", "__late", "__stretch")
 
 
-def interval_alignment(scenes: DataFrame, sources: Sequence[str], anchor: str = "viirs_day", **kw) -> DataFrame:
-    """One row per anchor interval with count, first and last scene time of each source.
+def _interval_rollup(scenes: DataFrame, sources: Sequence[str], anchor: str, **kw) -> DataFrame:
+    """A row per fire and interval number, with the stretches before the first and after the last anchor (no border there).
 
     Each anchor scene closes one interval and opens the next, so it is emitted
     twice and a single rollup yields both borders together with the counts. A
@@ -57,59 +57,64 @@ def interval_alignment(scenes: DataFrame, sources: Sequence[str], anchor: str =
     for s in sources:
         per_source += [
             F.count(of(s)).alias(f"{s}_count"), F.min(of(s)).alias(f"{s}_first"), F.max(of(s)).alias(f"{s}_last"),
+            F.count_if(F.col("role") == s).alias(f"__{s}_rows"),
         ]
-    out = (
-        rows.groupBy("fire_id", F.col("i").alias("interval_index"))
-        .agg(F.max(of("open")).alias("viirs_t"), F.max(of("close")).alias("viirs_t_plus_1"), *per_source)
-        .where(F.col("viirs_t").isNotNull() & F.col("viirs_t_plus_1").isNotNull())
-    )
-    any_scene = F.lit(False)
+    return rows.groupBy("fire_id", F.col("i").alias("interval_index")).agg(
+        F.max(of("open")).alias("viirs_t"), F.max(of("close")).alias("viirs_t_plus_1"),
+        F.count_if(F.col("role") == "open").alias("__anchors"), *per_source)
+
+
+def _complete() -> Column:
+    return F.col("viirs_t").isNotNull() & F.col("viirs_t_plus_1").isNotNull()
+
+
+def _any_scene(sources: Sequence[str]) -> Column:
+    found = F.lit(False)
     for s in sources:
-        any_scene = any_scene | (F.col(f"{s}_count") > 0)
-    return out.withColumns(
+        found = found | (F.col(f"{s}_count") > 0)
+    return found
+
+
+def interval_alignment(scenes: DataFrame, sources: Sequence[str], anchor: str = "viirs_day", **kw) -> DataFrame:
+    """One row per anchor interval with count, first and last scene time of each source."""
+    out = _interval_rollup(scenes, sources, anchor, **kw).where(_complete())
+    return out.drop("__anchors", *[f"__{s}_rows" for s in sources]).withColumns(
         {
             "viirs_gap_hours": F.round(hours_between(F.col("viirs_t"), F.col("viirs_t_plus_1")), 3),
-            "has_any": any_scene.cast("int"),
+            "has_any": _any_scene(sources).cast("int"),
         }
     )
 
 
 def alignment_summary(scenes: DataFrame, sources: Sequence[str], anchor: str = "viirs_day", **kw) -> DataFrame:
-    """Per fire: scene and interval counts, covered intervals, coverage ratio to 4 decimals, sources seen."""
-    rows = interval_alignment(scenes, sources, anchor, **kw)
-    covered = rows.groupBy("fire_id").agg(F.sum("has_any").alias("covered"))
-    is_anchor = F.col("source") == anchor
-    base = scenes.where(F.col("source").isin(anchor, *sources)).groupBy("fire_id").agg(
-        F.count_if(is_anchor).alias("viirs_count"),
-        F.array_sort(F.collect_set(F.when(~is_anchor, F.col("source")))).alias("sources"),
-        F.min(F.when(is_anchor, F.col("ts"))).alias("first_viirs_time"),
-        F.max(F.when(is_anchor, F.col("ts"))).alias("last_viirs_time"),
-    )
+    """Per fire: scene and interval counts, covered intervals, coverage ratio to 4 decimals, sources seen.
+
+    All of it comes from the interval rollup, so scenes are not read again.
+    """
+    fires = _interval_rollup(scenes, sources, anchor, **kw).groupBy("fire_id").agg(
+        F.sum("__anchors").alias("viirs_count"),
+        F.array_compact(F.array(*[F.when(F.sum(f"__{s}_rows") > 0, F.lit(s)) for s in sorted(sources)])).alias("sources"),
+        F.count_if(_complete() & _any_scene(sources)).alias("covered"),
+        F.min("viirs_t").alias("first_viirs_time"), F.max("viirs_t").alias("last_viirs_time"))
     intervals = F.greatest(F.col("viirs_count") - 1, F.lit(0))
-    return (
-        base.where("viirs_count > 0")
-        .join(covered, "fire_id", "left")
-        .select(
-            "fire_id", "viirs_count", intervals.alias("interval_count"), "sources",
-            F.coalesce("covered", F.lit(0)).alias("covered_intervals"),
-            F.when(intervals > 0, F.round(F.coalesce("covered", F.lit(0)) / intervals, 4))
-            .otherwise(F.lit(0.0)).alias("coverage_ratio"),
-            F.when(intervals > 0, F.col("first_viirs_time")).alias("first_viirs_time"),
-            F.when(intervals > 0, F.col("last_viirs_time")).alias("last_viirs_time"),
-        )
+    return fires.where("viirs_count > 0").select(
+        "fire_id", "viirs_count", intervals.alias("interval_count"), "sources", F.col("covered").alias("covered_intervals"),
+        F.when(intervals > 0, F.round(F.col("covered") / intervals, 4)).otherwise(F.lit(0.0)).alias("coverage_ratio"),
+        F.when(intervals > 0, F.col("first_viirs_time")).alias("first_viirs_time"),
+        F.when(intervals > 0, F.col("last_viirs_time")).alias("last_viirs_time"),
     )
 
 
-def asof_latest(scenes: DataFrame, anchor: str = "viirs_day", segment_seconds: int = 86400, **kw) -> DataFrame:
+def asof_latest(scenes: DataFrame, anchor: str = "viirs_day", *, rows: int = SEGMENT_ROWS, **kw) -> DataFrame:
     """Each non-anchor scene with the latest strictly earlier anchor scene of its fire (NULL when none)."""
     is_anchor = F.col("source") == anchor
-    marked = scenes.withColumn("__late", is_anchor.cast("int"))
+    marked = scene_segments(scenes.withColumn("__late", is_anchor.cast("int")), ["fire_id"], rows=rows)
     out = neighbour(
-        marked, ["fire_id"], time_segment("ts", segment_seconds), ["ts", "__late", "file_name"],
+        marked, ["fire_id"], F.col("__stretch"), ["ts", "__late", "file_name"],
         {"anchor_ts": F.col("ts"), "anchor_file": F.col("file_name")},
         following=False, where=is_anchor, **kw,
     )
-    return out.where(~is_anchor).drop("__late")
+    return out.where(~is_anchor).drop("__late", "__stretch")
 
 
 # --- rollups ----------------------------------------------------------------------

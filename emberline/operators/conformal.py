@@ -12,7 +12,10 @@ from .metrics import f1_score, jaccard, ratio_or
 
 _SLOTS = 256
 _CELLS = 4096
-_ROUNDS = 2
+# Relative rank error of the sketch, and how many such errors a bracket reaches to either side of the rank.
+_ACCURACY = 10_000
+_MARGIN = 4
+_BELOW = -(2**50)
 
 
 def nonconformity(prob: Column, positive: Column) -> Column:
@@ -28,48 +31,55 @@ def _score_bucket(score: Column) -> Column:
     return F.when(score.isNull(), F.lit(-(2**40))).otherwise(bucket).cast("long")
 
 
-def _cell(score: Column) -> Column:
-    """Which of ``_CELLS`` equal parts of ``__lo`` to ``__hi`` a score lies in; 0 where that range has no finite width."""
-    part = F.floor((score - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * _CELLS)
-    return F.coalesce(F.least(F.greatest(part, F.lit(0)), F.lit(_CELLS - 1)), F.lit(0)).cast("long")
+def _slice(score: Column) -> Column:
+    """Which of ``_CELLS`` equal parts of ``__lo`` to ``__hi`` a score lies in; a bucket where that range has no finite width."""
+    width = F.col("__hi") - F.col("__lo")
+    part = F.floor((score - F.col("__lo")) / F.nullif(width, F.lit(0.0)) * _CELLS)
+    cell = F.coalesce(F.least(F.greatest(part, F.lit(0)), F.lit(_CELLS - 1)), F.lit(0)).cast("long")
+    return F.when(F.abs(width) < float("inf"), cell).otherwise(_score_bucket(score))
 
 
 def conformal_quantile(scores: DataFrame, alpha: float, *, by: Sequence[str] = (), score: str = "score") -> DataFrame:
     """Exact order statistic at the finite-sample level, per group: qhat and n.
 
     With m = ceil((n + 1)(1 − α)), this is the score at 0-based rank
-    min(m, n − 1) of the sorted scores. Equal scores collapse to a count before
-    any shuffle. Counts per bucket then tell which bucket holds the rank; only its
-    scores are looked at again, in finer buckets, and only those of the last
-    bucket are put in order: a 4096² th of a coarse bucket where scores are
-    spread, so no group is sorted in one task. An empty input gives no row.
+    min(m, n − 1) of the sorted scores; NULL scores come first, NaN last. Two passes: a mergeable quantile sketch
+    gives two scores between which the rank must lie (its rank error is bounded, and the bracket
+    is four times as wide), then the scores below are counted and those in between are ranked. No row is shuffled, only
+    counts: of the bracket's distinct scores, whose slices are summed before any are put in order. An empty input gives no row.
     """
     _check_alpha(alpha)
-    keys = list(by)
-    return _rank(scores.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__n")), keys, alpha, score)
+    return _rank(scores.select(*by, F.col(score).cast("double").alias("__score")), list(by), alpha)
 
 
 def _check_alpha(alpha: float) -> None:
     if not 0.0 < alpha < 1.0:
-        raise ValueError(f"alpha must be in (0, 1), got {alpha}")
-
-
-def _rank(counts: DataFrame, keys: list[str], alpha: float, score: str) -> DataFrame:
-    """Quantile per group from counts ``__n`` of distinct scores."""
-    value = F.col(score)
-    rows = counts.select(*keys, score, "__n", _score_bucket(value).alias("__b"))
-    sums = _bucket_sums(rows, keys, score).withColumn("n", F.sum("__n").over(Window.partitionBy(*keys)))
-    sums = sums.withColumn("__left", F.least(F.ceil((F.col("n") + 1) * (1.0 - alpha)), F.col("n") - 1))
-    for _ in range(_ROUNDS):
-        rows = _within(rows, sums, keys).withColumn("__b", _cell(value)).drop("__lo", "__hi")
-        sums = _bucket_sums(rows, [*keys, "n", "__left"], score)
-        rows = rows.drop("n", "__left")
-    last = _within(rows, sums, keys)
-    return _holding(last, keys, score).select(*keys, value.alias("qhat"), "n")
-
-
-def _bucket_sums(rows: DataFrame, by: list[str], score: str) -> DataFrame:
-    return rows.groupBy(*by, "__b").agg(F.sum("__n").alias("__n"), F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+        raise ValueError(f"alpha lies outside the open interval from 0 to 1: {alpha}")
+
+
+def _rank(rows: DataFrame, keys: list[str], alpha: float, few_groups: bool = False) -> DataFrame:
+    """Quantile per group of ``__score``: keys, qhat, n. ``few_groups``: a known handful, fit to be broadcast."""
+    value = F.col("__score")
+    placed = F.when(value.isNull(), F.lit(float("-inf"))).when(F.isnan(value), F.lit(float("inf"))).otherwise(value)
+    reach = _MARGIN / _ACCURACY
+    levels = [max(0.0, 1.0 - alpha - reach), min(1.0, 1.0 - alpha + reach)]
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(placed, levels, _ACCURACY).alias("__e"))
+    # Up to the sketch's accuracy a group is small enough to be ranked whole, and rounding of the rank outweighs the margin.
+    small = F.col("n") <= _ACCURACY
+    groups = groups.where("n > 0").select(
+        *keys, "n", F.least(F.ceil((F.col("n") + 1) * (1.0 - alpha)), F.col("n") - 1).alias("__left"),
+        F.when(small, F.lit(float("-inf"))).otherwise(F.col("__e")[0]).alias("__lo"),
+        F.when(small, F.lit(float("inf"))).otherwise(F.col("__e")[1]).alias("__hi"))
+    known = F.broadcast(groups) if few_groups or not keys else groups
+    joined = rows.join(known, keys) if keys else rows.join(known, F.lit(True))
+    below = placed < F.col("__lo")
+    group = [*keys, "n", "__left"]
+    part = F.when(below, F.lit(_BELOW)).otherwise(_slice(value)).alias("__b")
+    counts = joined.where(placed <= F.col("__hi")).groupBy(*group, part, F.when(~below, value).alias("__score")).agg(F.count(F.lit(1)).alias("__n"))
+    slices = counts.groupBy(*group, "__b").agg(F.sum("__n").alias("__n"))
+    held = _holding(slices, keys, "__b").drop("__n", "n")
+    last = counts.drop("__left").join(F.broadcast(held) if few_groups or not keys else held, [*keys, "__b"])
+    return _holding(last, keys, "__score").select(*keys, value.alias("qhat"), "n")
 
 
 def _holding(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -80,25 +90,14 @@ def _holding(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return spans.withColumn("__left", F.col("__left") - F.col("__before")).drop("__before")
 
 
-def _within(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the bucket that holds the rank; of buckets there is a bounded number a group, so ordering them is cheap."""
-    return rows.join(_holding(sums, keys, "__b").drop("__n"), [*keys, "__b"])
-
-
 def class_quantiles(calibration: DataFrame, alpha: float, prob: str = "prob", label: str = "label") -> DataFrame:
     """q0 and q1 by class, both the global quantile when a class is absent; one row (none for empty input)."""
     _check_alpha(alpha)
     positive = F.col(label) > 0
-    by_class = (
-        calibration.select(positive.cast("int").alias("__class"), nonconformity(F.col(prob), positive).alias("score"))
-        .groupBy("__class", "score").agg(F.count(F.lit(1)).alias("__c"))
-    )
     # Both classes and the whole set are ranked in one scan: group 2 holds every score.
-    counts = (
-        by_class.select("score", "__c", F.explode(F.array(F.col("__class"), F.lit(2))).alias("__group"))
-        .groupBy("__group", "score").agg(F.sum("__c").alias("__n"))
-    )
-    q = _rank(counts, ["__group"], alpha, "score")
+    rows = calibration.select(
+        F.explode(F.array(positive.cast("int"), F.lit(2))).alias("__group"), nonconformity(F.col(prob), positive).cast("double").alias("__score"))
+    q = _rank(rows, ["__group"], alpha, few_groups=True)
 
     def of(group: int, c: str) -> Column:
         return F.max(F.when(F.col("__group") == group, F.col(c)))

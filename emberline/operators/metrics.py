@@ -125,22 +125,34 @@ def categorical_accuracy(pixels: DataFrame, keys: Sequence[str], scores: Sequenc
     return pixels.groupBy(*keys).agg(F.avg((best == label).cast("int")).alias("accuracy"))
 
 
-def soft_dice_loss(pixels: DataFrame, keys: Sequence[str], logit: Column, target: Column, smooth: float = 1e-5) -> DataFrame:
-    """1 − (2·Σpy + s) / (Σp + Σy + s) with p = sigmoid(logit), per key."""
+def _dice_loss(logit: Column, target: Column, smooth: float) -> Column:
     p, y = sigmoid(logit), target.cast("double")
-    return pixels.groupBy(*keys).agg(
-        (1.0 - (2 * F.sum(p * y) + smooth) / (F.sum(p) + F.sum(y) + smooth)).alias("dice_loss")
-    )
+    return (1.0 - (2 * F.sum(p * y) + smooth) / (F.sum(p) + F.sum(y) + smooth)).alias("dice_loss")
 
 
-def focal_loss(pixels: DataFrame, keys: Sequence[str], logit: Column, target: Column, *,
-               gamma: float = 2.0, alpha: float = 0.25) -> DataFrame:
-    """Mean sigmoid focal loss per key."""
+def _focal_loss(logit: Column, target: Column, gamma: float, alpha: float) -> Column:
     p, y = sigmoid(logit), target.cast("double")
     cross = F.log1p(F.exp(-F.abs(logit))) + F.greatest(logit, F.lit(0.0)) - logit * y
     hit = p * y + (1 - p) * (1 - y)
     weight = alpha * y + (1 - alpha) * (1 - y)
-    return pixels.groupBy(*keys).agg(F.avg(weight * F.pow(1 - hit, F.lit(gamma)) * cross).alias("focal_loss"))
+    return F.avg(weight * F.pow(1 - hit, F.lit(gamma)) * cross).alias("focal_loss")
+
+
+def soft_dice_loss(pixels: DataFrame, keys: Sequence[str], logit: Column, target: Column, smooth: float = 1e-5) -> DataFrame:
+    """1 − (2·Σpy + s) / (Σp + Σy + s) with p = sigmoid(logit), per key."""
+    return pixels.groupBy(*keys).agg(_dice_loss(logit, target, smooth))
+
+
+def focal_loss(pixels: DataFrame, keys: Sequence[str], logit: Column, target: Column, *,
+               gamma: float = 2.0, alpha: float = 0.25) -> DataFrame:
+    """Mean sigmoid focal loss per key."""
+    return pixels.groupBy(*keys).agg(_focal_loss(logit, target, gamma, alpha))
+
+
+def soft_losses(pixels: DataFrame, keys: Sequence[str], logit: Column, target: Column, *,
+                smooth: float = 1e-5, gamma: float = 2.0, alpha: float = 0.25) -> DataFrame:
+    """Both losses per key in one aggregate."""
+    return pixels.groupBy(*keys).agg(_dice_loss(logit, target, smooth), _focal_loss(logit, target, gamma, alpha))
 
 
 def score_batches(samples: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:

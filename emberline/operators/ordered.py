@@ -15,9 +15,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SEG = "__segment"
+_STRETCH = "__stretch"
 _FIRST_SEGMENT = -(2**60)
+SEGMENT_ROWS = 1_000_000
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min, "total": F.sum}
 
 
@@ -193,12 +196,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def time_segment(ts: str | Column, seconds: int = 86400) -> Column:
-    """``seconds``-long stretches of time: the usual segment for scenes.
-
-    A day holds a few hundred scenes of one fire, so the carry table is that much
-    smaller than the scenes. For denser streams let ``fit_segment_seconds``
-    measure a shorter stretch, together with ``levels=1``.
-    """
+    """``seconds``-long stretches of time; ``scene_segments`` cuts them where they are too full."""
     col = F.col(ts) if isinstance(ts, str) else ts
     days = F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")).cast("long")
     if seconds % 86400 == 0:
@@ -207,13 +205,50 @@ def time_segment(ts: str | Column, seconds: int = 86400) -> Column:
     return F.floor((days * 86400 + of_day) / seconds)
 
 
-def fit_segment_seconds(df: DataFrame, keys: list[str], ts: str = "ts", *, rows: int = 1_000_000) -> int:
-    """Segment length that leaves about ``rows`` rows of the busiest key's busiest day in a segment, at most a day.
+def scene_segments(df: DataFrame, keys: list[str], ts: str = "ts", name: str = _STRETCH, *, rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Add ``name``: the stretch of time a row is scanned in, a day, or a part of one where a day is too full.
 
-    One map-side aggregate over keys and days; only a single number returns.
+    Days of a key with more than ``rows`` rows are cut where the running count of their seconds passes multiples of
+    ``rows``, so however hot a key is, a stretch holds about that many (a single second is never cut). Stretches
+    are numbered by their first second, hence in order. Counts of days collapse map-side; seconds are
+    counted, and joined to rows, for the full days only, and where there are none that join falls away at run time.
+    """
+    day, second = time_segment(ts), time_segment(ts, 1)
+    marked = df.withColumns({"__day": day, "__second": second})
+    full = marked.groupBy(*keys, "__day").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows)
+    seconds = marked.join(full.drop("__n"), [*keys, "__day"], "left_semi").groupBy(*keys, "__day", "__second").agg(F.count(F.lit(1)).alias("__n"))
+    passed = F.sum("__n").over(Window.partitionBy(*keys, "__day").orderBy("__second").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    parts = seconds.withColumn("__part", F.floor(passed / rows))
+    first = F.min("__second").over(Window.partitionBy(*keys, "__day", "__part"))
+    cuts = parts.select(*keys, "__second", first.alias("__first"))
+    stretch = F.coalesce("__first", F.col("__day") * 86400)
+    return marked.join(cuts, [*keys, "__second"], "left").withColumn(name, stretch).select(*df.columns, name)
+
+
+def nth_value(df: DataFrame, key: str, index: int, *, buckets: int = 4096) -> DataFrame:
+    """One row, column ``key``: the value at 0-based position ``index`` of the sorted non-null values; no row beyond the end.
+
+    Values are counted in ordered buckets (parts of the range of a number, or the two characters after the common prefix of
+    a text); only the bucket that holds the position is sorted. Rows before it are neither sorted nor moved.
     """
-    busiest = df.groupBy(*keys, F.to_date(ts)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    return 86400 if not busiest or busiest <= rows else max(1, 86400 * rows // busiest)
+    rows = df.select(key).where(F.col(key).isNotNull())
+    ends = F.broadcast(rows.agg(F.min(key).alias("__lo"), F.max(key).alias("__hi")))
+    if isinstance(df.schema[key].dataType, StringType):
+        upto = F.least(F.length("__lo"), F.length("__hi"))
+        places = F.sequence(F.lit(1), F.greatest(upto, F.lit(1)))
+        differs = F.filter(places, lambda i: F.substring("__lo", i, F.lit(1)) != F.substring("__hi", i, F.lit(1)))
+        bucket = F.substring(F.col(key), F.coalesce(F.array_min(differs), upto + 1), F.lit(2))
+    else:
+        width = (F.col("__hi").cast("double") - F.col("__lo").cast("double") + 1) / buckets
+        bucket = F.floor((F.col(key).cast("double") - F.col("__lo").cast("double")) / width)
+    placed = rows.join(ends, F.lit(True)).select(key, bucket.alias("__b"))
+    counts = placed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    held = counts.withColumn("__before", before).where(
+        (F.col("__before") <= index) & (F.col("__before") + F.col("__n") > index)).select("__b", "__before")
+    near = placed.join(F.broadcast(held), "__b")
+    place = F.col("__before") + F.row_number().over(Window.orderBy(key)) - 1
+    return near.withColumn("__place", place).where(F.col("__place") == index).select(key)
 
 
 def block_segment(col: str | Column, size: int) -> Column:

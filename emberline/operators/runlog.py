@@ -6,6 +6,7 @@ is a segmented scan, and every "best of" is a map-side aggregate.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -303,13 +304,13 @@ def duration_text(start: Column, end: Column) -> Column:
     )
 
 
+def _runtime() -> Column:
+    return duration_text(parse_iso(F.min_by("started_at", "step")), parse_iso(F.max_by("finished_at", "step")))
+
+
 def total_runtime(runs: DataFrame) -> DataFrame:
     """First step's start to last step's end, per task."""
-    return runs.groupBy("task").agg(
-        duration_text(
-            parse_iso(F.min_by("started_at", "step")), parse_iso(F.max_by("finished_at", "step"))
-        ).alias("total_runtime")
-    )
+    return runs.groupBy("task").agg(_runtime().alias("total_runtime"))
 
 
 def _in_order(entries: Column, preferred: Sequence[str], render) -> Column:
@@ -360,24 +361,25 @@ def comparison_table(runs: DataFrame) -> DataFrame:
 
 
 def summary_table(runs: DataFrame) -> DataFrame:
-    """Report head per task: steps, best run with its metric, rationale and decision, total runtime."""
+    """Report head per task in one aggregate: steps, best run with its metric, rationale and decision, total runtime."""
     metric = primary_metric(F.col("metrics"))
-    scored = runs.select(
-        "task", "step", "tool_name", "rationale", "decision",
-        metric["name"].alias("metric_name"), metric["value"].alias("metric_value"),
-    )
-    best = best_run(scored, F.col("metric_value")).withColumnRenamed("step", "best_step")
-    return (
-        history_length(runs).join(total_runtime(runs), "task").join(best, "task", "left")
-        .withColumn("best_metric", F.concat(F.col("metric_name"), F.lit("="), F.printf(F.lit("%.4f"), F.col("metric_value"))))
-        .drop("metric_name", "metric_value")
-    )
+    scored = runs.withColumn("__metric", metric).withColumn("__scored", F.col("__metric.value").isNotNull())
+    order = F.when(F.col("__scored"), F.struct(F.col("__metric.value").alias("v"), (-F.col("step")).alias("s")))
+    best = F.struct(
+        F.col("step").alias("best_step"), "tool_name", "rationale", "decision",
+        F.concat(F.col("__metric.name"), F.lit("="), F.printf(F.lit("%.4f"), F.col("__metric.value"))).alias("best_metric"))
+    return scored.groupBy("task").agg(
+        F.count(F.lit(1)).alias("history_length"), _runtime().alias("total_runtime"), F.max_by(best, order).alias("__best"),
+    ).select("task", "history_length", "total_runtime", "__best.*")
 
 
 def reasoning_table(runs: DataFrame) -> DataFrame:
     """What each step did to the primary metric: first, improved, reduced, same, renamed, recovered or none."""
     before = Lookup({"prev_decision": F.col("decision"), "prev_step_tool": F.col("tool_name")})
-    with_prev = _metric_lookup(runs, primary_metric(F.col("metrics")), before)
+    return _with_outcome(_metric_lookup(runs, primary_metric(F.col("metrics")), before))
+
+
+def _with_outcome(with_prev: DataFrame) -> DataFrame:
     recovered = (F.col("prev_decision") == "needs_debug") & (F.col("prev_step_tool") == F.col("tool_name"))
     outcome = (
         F.when(F.col("metric_value").isNull(), "no_metric")
@@ -391,6 +393,54 @@ def reasoning_table(runs: DataFrame) -> DataFrame:
     return with_prev.withColumn("outcome", outcome)
 
 
+def params_difference(old: Column, new: Column) -> Column:
+    """``key=value`` of every key whose value differs, in the order in which keys are first seen, old ones first; NULL reads None.
+
+    Both are arrays of map entries, which keep the order of their keys.
+    """
+    keys = F.array_distinct(F.concat(F.transform(old, lambda e: e["key"]), F.transform(new, lambda e: e["key"])))
+
+    def of(entries: Column, key: Column) -> Column:
+        return F.get(F.filter(entries, lambda e: e["key"] == key), F.lit(0))["value"]
+
+    changed = F.filter(keys, lambda k: ~of(old, k).eqNullSafe(of(new, k)))
+    return F.transform(changed, lambda k: F.concat(k, F.lit("="), F.coalesce(of(new, k), F.lit("None"))))
+
+
+def reasoning_lines(runs: DataFrame) -> DataFrame:
+    """One sentence a step: its strategy, what it did to the primary metric and, where that improved, after which change.
+
+    Previous step, previous metric and previous parameters come from one scan. Templates are ``constants.REASONING_LINES``.
+    """
+    entries = F.map_entries(F.coalesce(F.col("params"), F.create_map().cast("map<string,string>")))
+    before = Lookup({"prev_decision": F.col("decision"), "prev_step_tool": F.col("tool_name"), "prev_entries": entries})
+    rows = _with_outcome(_metric_lookup(runs, primary_metric(F.col("metrics")), before))
+    changed = params_difference(F.col("prev_entries"), entries)
+    after = (
+        F.when(F.col("prev_step_tool").isNull(), ".")
+        .when(F.size(changed) > 0, F.concat(F.lit(" after changing "), F.array_join(changed, ", "), F.lit(".")))
+        .when(F.col("prev_step_tool") != F.col("tool_name"), F.concat(F.lit(" after switching from "), F.col("prev_step_tool"), F.lit(".")))
+        .otherwise(" after re-running the same configuration.")
+    )
+    number = lambda c: F.printf(F.lit("%.4f"), c)
+    fields = {
+        "step": F.col("step").cast("string"), "tool": F.col("tool_name"), "rationale": F.col("rationale"), "decision": F.col("decision"),
+        "strategy": strategy_label(F.col("decision"), F.col("rationale"), F.col("tool_name")),
+        "name": F.col("metric_name"), "value": number(F.col("metric_value")), "previous": F.col("prev_metric_name"),
+        "delta": number(F.abs(F.col("delta"))), "after": after,
+    }
+    line = F.lit(None).cast("string")
+    for outcome, template in K.REASONING_LINES.items():
+        line = F.when(F.col("outcome") == outcome, _filled(template, fields)).otherwise(line)
+    return rows.withColumn("line", line).drop("prev_entries")
+
+
+def _filled(template: str, fields: dict[str, Column]) -> Column:
+    """A template's text with its ``{fields}`` put in; a NULL field is empty."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(fields[part], F.lit("")) if i % 2 else F.lit(part) for i, part in enumerate(parts)])
+
+
 # --- batches -----------------------------------------------------------------------------
 
 def epoch_batches(samples: DataFrame, key: str, batch_size: int, seed: int, *, buckets: int = 65536) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import channels as C
-from .ordered import neighbour, row_index, time_segment
+from .ordered import SEGMENT_ROWS, neighbour, nth_value, row_index, scene_segments
 
 
 def dedupe_scenes(scenes: DataFrame) -> DataFrame:
@@ -19,18 +19,23 @@ def dedupe_scenes(scenes: DataFrame) -> DataFrame:
 
 def frame_index(scenes: DataFrame, *, order: Sequence[str] = ("ts", "file_name"), keys: Sequence[str] = ("fire_id",),
                 segment: Column | None = None, total: str | None = "n_frames", **kw) -> DataFrame:
-    """0-based frame number of each scene within its fire, and the fire's frame count."""
-    seg = segment if segment is not None else time_segment("ts")
-    return row_index(scenes, list(keys), seg, list(order), "frame", total, **kw)
+    """0-based frame number of each scene within its fire, and the fire's frame count.
+
+    Without a ``segment`` scenes are scanned by ``ordered.scene_segments`` of ``ts``, which ``order`` must start with.
+    """
+    if segment is not None:
+        return row_index(scenes, list(keys), segment, list(order), "frame", total, **kw)
+    cut = scene_segments(scenes, list(keys), rows=kw.pop("rows", SEGMENT_ROWS))
+    return row_index(cut, list(keys), F.col("__stretch"), list(order), "frame", total, **kw).drop("__stretch")
 
 
-def scene_gaps(scenes: DataFrame, segment_seconds: int = 86400, **kw) -> DataFrame:
+def scene_gaps(scenes: DataFrame, *, rows: int = SEGMENT_ROWS, **kw) -> DataFrame:
     """Hours from each scene to the next of the same fire, to 3 decimals; NULL on the last."""
     out = neighbour(
-        scenes, ["fire_id"], time_segment("ts", segment_seconds), ["ts", "file_name"], {"next_ts": F.col("ts")},
+        scene_segments(scenes, ["fire_id"], rows=rows), ["fire_id"], F.col("__stretch"), ["ts", "file_name"], {"next_ts": F.col("ts")},
         following=True, **kw,
     )
-    return out.withColumn("gap_hours", F.round(hours_between(F.col("ts"), F.col("next_ts")), 3))
+    return out.drop("__stretch").withColumn("gap_hours", F.round(hours_between(F.col("ts"), F.col("next_ts")), 3))
 
 
 def hours_between(start: Column, end: Column) -> Column:
@@ -116,18 +121,21 @@ def prefer_source(scenes: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def page_fires(fires: DataFrame, *, start: int = 0, limit: int | None = None, key: str = "fire_id") -> DataFrame:
-    """``limit`` fires from position ``start`` in id order.
+    """``limit`` fires from position ``start`` in id order; ids are unique.
 
-    A bounded page is a top-k. An open-ended one looks up the last id to skip,
-    again a top-k, and filters; the table is never sorted as a whole.
+    The ids at the page's ends are looked up by position (``ordered.nth_value``) and the rest is a filter: the
+    skipped fires are neither sorted nor moved, and a page past the end is empty.
     """
-    skip = max(start, 0)
+    first, page = max(start, 0), fires
+    if limit is not None and limit <= 0:
+        return fires.limit(0)
+    if first > 0:
+        low = nth_value(fires, key, first).withColumnRenamed(key, "__first")
+        page = page.join(F.broadcast(low), F.col(key) >= F.col("__first")).drop("__first")
     if limit is not None:
-        return fires.orderBy(key).offset(skip).limit(limit)
-    if skip == 0:
-        return fires
-    last = fires.select(key).orderBy(key).limit(skip).agg(F.max(key).alias("__last"))
-    return fires.join(F.broadcast(last), F.col(key) > F.col("__last")).drop("__last")
+        high = nth_value(fires, key, first + limit - 1).agg(F.max(key).alias("__last"))
+        page = page.join(F.broadcast(high), F.coalesce(F.col(key) <= F.col("__last"), F.col(key).isNotNull())).drop("__last")
+    return page
 
 
 def exclude_fires(

@@ -211,6 +211,28 @@ def comparison_report(spark, sf_dir):
     return R.comparison_table(_reported(spark, sf_dir))
 
 
+@query(f"""
+WITH {_REASONING},
+q AS (SELECT *, lag(ts_length) OVER w AS pts, lag(model) OVER w AS pmodel, lag(batch_size) OVER w AS pbatch, {_STRATEGY} AS strategy, {_RATIONALE} AS rationale,
+  printf('%.4f', score) AS value, printf('%.4f', abs(score - ps)) AS delta FROM o WINDOW w AS (PARTITION BY task ORDER BY step)),
+c AS (SELECT *, concat_ws(', ', CASE WHEN ts_length <> pts THEN 'ts_length=' || ts_length END, CASE WHEN model <> pmodel THEN 'model=' || model END,
+  CASE WHEN batch_size <> pbatch THEN 'batch_size=' || batch_size END) AS changed FROM q)
+SELECT key, 'Step ' || step || ': [' || strategy || '] ' || tool_name || CASE
+  WHEN score IS NULL THEN ' was chosen because ' || rationale || ' Decision: ' || decision || '.'
+  WHEN pd = 'needs_debug' AND pt = tool_name THEN ' produced the first usable metric after a prior debug failure, yielding ' || metric || '=' || value || '.'
+  WHEN ps IS NULL THEN ' established the first measurable result with ' || metric || '=' || value || '.'
+  WHEN metric <> pm THEN ' changed the primary metric from ' || pm || ' to ' || metric || '; the latest usable score was ' || metric || '=' || value || '.'
+  WHEN score > ps THEN ' improved ' || metric || ' by ' || delta || CASE WHEN pt IS NULL THEN '.' WHEN changed <> '' THEN ' after changing ' || changed || '.'
+    WHEN pt <> tool_name THEN ' after switching from ' || pt || '.' ELSE ' after re-running the same configuration.' END
+  WHEN score < ps THEN ' reduced ' || metric || ' by ' || delta || ', suggesting the latest change was not helpful.'
+  ELSE ' produced no material change in ' || metric || '; the configuration likely plateaued.' END AS line FROM c
+""")
+def reasoning_lines(spark, sf_dir):
+    """The report's sentence on each step, with the metric's change and the parameters changed before it."""
+    return R.reasoning_lines(cut_lineage(_reported(spark, sf_dir).select(
+        "task", "step", "key", "tool_name", "decision", "metrics", "rationale", "params"))).select("key", "line")
+
+
 @query(f"""
 WITH {_R}, e AS (SELECT task, arg_min(o_orderdate, step) AS a, arg_max(o_orderdate + to_seconds(key * 97 % 9000), step) AS z FROM runs GROUP BY task),
 t AS (SELECT task, greatest(0, epoch(z)::BIGINT - epoch(a)::BIGINT) AS s FROM e)

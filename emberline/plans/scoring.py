@@ -150,9 +150,8 @@ SELECT case_id, round(1 - (2 * sum(p * y) + 1e-5) / (sum(p) + sum(y) + 1e-5), 6)
 def soft_losses(spark, sf_dir):
     """Soft Dice and focal loss of scored pixels per case."""
     rows = _labelled(spark, sf_dir).withColumn("logit", F.col("prob") * 4 - 2)
-    dice = M.soft_dice_loss(rows, ["case_id"], F.col("logit"), _label())
-    focal = M.focal_loss(rows, ["case_id"], F.col("logit"), _label())
-    return dice.join(focal, "case_id").select("case_id", F.round("dice_loss", 6).alias("dice_loss"), F.round("focal_loss", 6).alias("focal_loss"))
+    out = M.soft_losses(rows, ["case_id"], F.col("logit"), _label())
+    return out.select("case_id", F.round("dice_loss", 6).alias("dice_loss"), F.round("focal_loss", 6).alias("focal_loss"))
 
 
 # --- conformal ----------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .. import schemas
+from ..operators.ordered import nth_value
 
 
 def _csv(spark: SparkSession, schema, paths: str | Sequence[str]) -> DataFrame:
@@ -35,12 +36,15 @@ def load_bboxes(spark: SparkSession, path: str, *, fire_id: str | None = None, i
     boxes = _csv(spark, schemas.BBOXES, path)
     if fire_id is not None:
         return boxes.where(F.col("Id") == fire_id)
-    return boxes if index is None else nth_row(boxes.withColumn("__pos", F.monotonically_increasing_id()), "__pos", index).drop("__pos")
+    if index is None:
+        return boxes
+    return nth_row(boxes.withColumn("__pos", F.monotonically_increasing_id()), "__pos", index).drop("__pos")
 
 
 def nth_row(df: DataFrame, order: str, index: int) -> DataFrame:
-    """The row at 0-based position ``index``: a bounded top-k, not a ranking of every row."""
-    return df.orderBy(order).offset(index).limit(1)
+    """The row at 0-based position ``index`` of a unique ``order`` column, none beyond the end: found from counts of ranges,
+    so that the rows before it are not sorted (``ordered.nth_value``)."""
+    return df.join(F.broadcast(nth_value(df, order, index)), order).select(*df.columns)
 
 
 def load_thresholds(spark: SparkSession, path: str) -> DataFrame:

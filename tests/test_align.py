@@ -142,7 +142,7 @@ def test_fine_segments_change_nothing(spark):
     df = _scenes(spark, rows)
     coarse = sorted((str(r) for r in S.scene_gaps(df).collect()))
     assert len(coarse) == 18
-    assert sorted(str(r) for r in S.scene_gaps(df, segment_seconds=300, levels=1, fan_in=12).collect()) == coarse
+    assert sorted(str(r) for r in S.scene_gaps(df, rows=4, levels=1, fan_in=3600).collect()) == coarse
 
 
 def test_named_fires_are_left_out(spark):

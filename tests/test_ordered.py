@@ -1,9 +1,11 @@
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators.ordered import Scan, block_segment, fit_segment_seconds, neighbour, row_index, segmented_scan
+from emberline.operators import scenes as S
+from emberline.operators.ordered import Scan, block_segment, neighbour, nth_value, row_index, scene_segments, segmented_scan
 
 
 def _rows(seed, n=400):
@@ -63,9 +65,42 @@ def test_null_order_values_come_first(spark):
     assert got == {None: 0, 1: 1, 5: 2}
 
 
-def test_busy_days_get_shorter_segments(spark):
-    stamp = F.expr("timestamp_ntz'2021-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)")
-    df = spark.range(1000).select(F.lit("a").alias("k"), stamp.alias("ts"))
-    assert fit_segment_seconds(df, ["k"]) == 86400
-    assert fit_segment_seconds(df, ["k"], rows=100) == 8640
-    assert fit_segment_seconds(df.where("k = 'b'"), ["k"]) == 86400
+def test_full_days_are_cut(spark):
+    start = dt.datetime(2021, 1, 1)
+    rng = random.Random(2)
+    # One fire holds 90 % of one day, with many scenes in the same second.
+    rows = [("hot", start + dt.timedelta(seconds=rng.randrange(0, 86400, 40)), f"h{i}") for i in range(900)]
+    rows += [(f"f{i % 5}", start + dt.timedelta(hours=rng.randrange(72)), f"c{i}") for i in range(100)] + [("hot", None, "n")]
+    df = spark.createDataFrame(rows, "fire_id string, ts timestamp_ntz, file_name string")
+    cut = scene_segments(df, ["fire_id"], rows=50)
+    sizes = cut.groupBy("fire_id", "__stretch").count().collect()
+    hot = [r["count"] for r in sizes if r.fire_id == "hot" and r["__stretch"] is not None]
+    assert len(hot) >= 18 and max(hot) < 50 + 10 and sum(hot) == 900
+    assert {r["__stretch"] % 86400 for r in sizes if r.fire_id != "hot"} == {0}
+    want = {}
+    for fire, ts, name in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or start, r[2])):
+        want[fire, name] = sum(k[0] == fire for k in want)
+    for limit in (50, 7, 10_000):
+        got = S.frame_index(df, rows=limit)
+        assert {(r.fire_id, r.file_name): r.frame for r in got.collect()} == want
+        assert got.columns == ["fire_id", "ts", "file_name", "frame", "n_frames"]
+
+
+@pytest.mark.parametrize("values", [
+    [i * 7919 % 1009 for i in range(1000)], [2**60 + i * i for i in range(300)], [5], [3, 3, 3, 9],
+    [f"US_2021_{i:05d}" for i in range(700)], ["a", "ab", "abc", "b", "é", "zz" * 9], [x / 7 - 50 for x in range(500)],
+])
+def test_values_by_position(spark, values):
+    kind = {int: "bigint", float: "double", str: "string"}[type(values[0])]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], f"v {kind}")
+    ordered = sorted(values)
+    for index in {0, 1, len(values) // 2, len(values) - 1, len(values)}:
+        got = [r.v for r in nth_value(df, "v", index).collect()]
+        assert got == ordered[index:index + 1]
+
+
+def test_open_and_closed_pages(spark):
+    fires = spark.createDataFrame([(f"fire{i:04d}", i) for i in range(300)], "fire_id string, n int").repartition(5)
+    for start, limit in ((0, None), (0, 4), (290, None), (290, 30), (17, 60), (300, None), (300, 5), (2, 0)):
+        want = [f"fire{i:04d}" for i in range(300)][start:None if limit is None else start + limit]
+        assert sorted(r.fire_id for r in S.page_fires(fires, start=start, limit=limit).collect()) == want
