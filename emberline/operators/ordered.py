@@ -11,9 +11,10 @@ per whole key, and it is itself split once more when ``levels`` is above zero.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -183,16 +184,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     A scan reads its input twice, so a chain of scans doubles the work of its
     first link each time; a checkpoint between links stops that and outlives lost
-    executors. The folder is the session's ``spark.checkpoint.dir``; only where
-    that is unset in a local session is a temporary one made; on a cluster it is an error.
+    executors. The folder is that of ``shared_folder``.
     """
-    context = df.sparkSession.sparkContext
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset in a local session a temporary folder, on a cluster an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
-    return df.checkpoint(eager=True)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The place of a new folder below the checkpoint folder, which driver and executors share."""
+    return f"{_checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def time_segment(ts: str | Column, seconds: int = 86400) -> Column:

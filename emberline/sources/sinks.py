@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox_ring
@@ -60,6 +60,28 @@ def feature_names(df_session, names: Sequence[str]) -> DataFrame:
     return one.select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("feature_index", "feature_name"))
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    """Add runs to the history table, partitioned by task."""
-    runs.write.mode("append").partitionBy("task").parquet(path)
+def append_runs(runs: DataFrame, path: str, batch: str) -> None:
+    """Add a batch of runs to the history table below ``path``, partitioned by batch and task.
+
+    A batch replaces itself: written again, after a retry or a replay, it changes nothing, and no other batch is touched.
+    """
+    (
+        runs.withColumn("batch", F.lit(batch)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch", "task")
+        .parquet(path)
+    )
+
+
+def _typed(df: DataFrame, like: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast(t) for c, t in like.items()})
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_dataset`` wrote; filters on task, split, ts_length and interval read their folders only."""
+    return _typed(spark.read.parquet(path), {"task": "string", "split": "string", "ts_length": "int", "interval": "int"})
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The history that ``append_runs`` has gathered, with each run's batch."""
+    return _typed(spark.read.parquet(path), {"batch": "string", "task": "string"})

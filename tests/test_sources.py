@@ -70,9 +70,11 @@ def test_run_history_round_trip(spark, tmp_path):
     assert [(r.step, r.params, r.metrics) for r in runs.orderBy("step").collect()] == [
         (1, {"ts_length": "6"}, {"f1": 0.5}), (2, {"ts_length": "6"}, {"f1": 0.5})]
     out = str(tmp_path / "runs")
-    sinks.append_runs(runs, out)
-    sinks.append_runs(runs, out)
-    assert spark.read.parquet(out).count() == 4
+    sinks.append_runs(runs, out, "1")
+    sinks.append_runs(runs, out, "2")
+    sinks.append_runs(runs, out, "1")  # a replay changes nothing
+    back = sinks.read_runs(spark, out)
+    assert back.count() == 2 * runs.count() and {r.batch for r in back.collect()} == {"1", "2"}
 
 
 def test_dataset_write_replaces_only_its_partitions(spark, tmp_path):
