@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import ship
-from .textarrays import LETTERS_DIGITS, mixed, ragged, slices, trimmed, utf8, words
+from .textarrays import LETTERS_DIGITS, grams, mixed, ragged, slices, trimmed, utf8, whole_grams, words
 
 DISTANCE = 0.2
 RECALL = 0.99
 STEPS = 8
 SAMPLE = 4
 MIN_WORDS = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 SCHEMA = "doc_id bigint, item_id bigint, first_word bigint, last_word bigint, distance int, item_words int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
                     ("distance", pa.int32()), ("item_words", pa.int32())])
@@ -46,49 +46,81 @@ def repetitions(distance: float = DISTANCE, recall: float = RECALL, sample: int
 
 @dataclass
 class Walk:
-    """One repetition over the items of one walk length: ``step`` is 1 or -1, ``bits`` has the random bits by word code.
+    """One repetition over the items of one walk length: ``step`` is 1 or -1, random bits are hashes of ``seed`` and word.
 
     A walk that leaves its item ends there: ``whole[k]`` has the keys, items and starts that are whole after k + 1 outputs.
     """
 
     step: int
     sampled: list[int]
-    bits: np.ndarray
-    first: np.ndarray
+    seed: np.uint64
     begun: list[np.ndarray]
     whole: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 class Index:
-    """Keys of all items. ``code`` of a word is its place in the items' vocabulary, or 0."""
+    """Keys of all items. ``code`` of a word is its place in the items' vocabulary, or 0.
+
+    All of it grows with the items' words: word counts are kept for pairs that occur, random bits are hashed, not stored.
+    Items of fewer than ``MIN_WORDS`` words allow no edit; they are matched whole (``short``).
+    """
 
     def __init__(self, ids: list, texts: list[str | None], distance: float, recall: float, seed: int = 11):
         w = words(*utf8(pa.array([t or "" for t in texts], pa.large_string())), LETTERS_DIGITS)
         runs = [w.hashes[a:b] for a, b in zip(w.first, w.first[1:])]
         use = [i for i, r in enumerate(runs) if len(r) >= MIN_WORDS]
+        self.short = {n: self._whole(ids, runs, n) for n in {len(r) for r in runs if 0 < len(r) < MIN_WORDS}}
         self.ids, self.items = [ids[i] for i in use], [runs[i] for i in use]
         self.distance = distance
         self.vocabulary = np.unique(np.concatenate(self.items)) if use else np.zeros(0, np.uint64)
         # First look: 20 bits of the hash; a set bit is then confirmed by search.
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-        self.members = np.zeros((len(self.items), len(self.vocabulary) + 1), bool)
-        for i, x in enumerate(self.items):
-            self.members[i, self.codes(x)] = True
+        self.word = np.concatenate([np.zeros(1, np.uint64), self.vocabulary])
         self.size = np.array([len(x) for x in self.items], np.int64)
         self.edits = (distance * self.size).astype(np.int64)
         # How often an item has a word, by item and word code.
         named = [i * (len(self.vocabulary) + 1) + self.codes(x).astype(np.int64) for i, x in enumerate(self.items)]
-        self.counted, self.counts = np.unique(np.concatenate(named) if named else np.zeros(0, np.int64), return_counts=True)
+        self.counted, counts = np.unique(np.concatenate(named) if named else np.zeros(0, np.int64), return_counts=True)
+        self.counts = counts.astype(np.int32)
         rng = np.random.default_rng(seed)
         self.walks: list[Walk] = []
+        first = []
         steps = np.minimum(self.size, STEPS)
         for r in range(repetitions(distance, recall)):
             for n in np.unique(steps).tolist():
                 group = np.flatnonzero(steps == n)
                 sampled = [0, *sorted(rng.choice(np.arange(1, n), min(SAMPLE, n) - 1, replace=False).tolist())]
                 start = rng.integers(0, self.size[group] - n // 2)
-                self.walks.append(self._table(rng, -1 if r % 2 else 1, sampled, group, start))
+                walk, begins = self._table(rng, -1 if r % 2 else 1, sampled, group, start)
+                self.walks.append(walk)
+                first.append(begins)
+        # A bit a walk and word: whether some item's walk begins with that word.
+        self.first = np.packbits(np.stack(first, 1), axis=1, bitorder="little") if first else np.zeros((1, 0), np.uint8)
+
+    @staticmethod
+    def _whole(ids: list, runs: list[np.ndarray], n: int) -> tuple[np.ndarray, list]:
+        """Sorted hashes of the items of ``n`` words, and their ids in that order."""
+        items = [(_run_hash(r), i) for i, r in enumerate(runs) if len(r) == n]
+        items.sort()
+        return np.array([h for h, _ in items], np.uint64), [ids[i] for _, i in items]
+
+    def short_hits(self, w) -> list[tuple[int, object, int, int]]:
+        """(text, item id, first word, words) of the first place of each short item in each text of ``w``."""
+        out = []
+        for n, (keys, ids) in self.short.items():
+            if len(w.hashes) < n:
+                continue
+            at = np.flatnonzero(whole_grams(w, n))
+            key = grams(w.hashes, n)[at]
+            some = _among(key, keys)
+            at, key = at[some], key[some]
+            low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+            item, place = ragged(low, high - low), np.repeat(at, high - low)
+            text = np.searchsorted(w.first, place, "right") - 1
+            _, head = np.unique(text * np.int64(len(ids)) + item, return_index=True)
+            out += [(int(text[i]), ids[item[i]], int(place[i] - w.first[text[i]]), n) for i in head]
+        return out
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int32)
@@ -99,14 +131,15 @@ class Index:
             out[at[hit]] = place[hit] + 1
         return out
 
-    def _table(self, rng: np.random.Generator, step: int, sampled: list[int], group: np.ndarray, start: np.ndarray) -> Walk:
-        """``start`` counts from the end at which the walk begins."""
+    def _table(
+        self, rng: np.random.Generator, step: int, sampled: list[int], group: np.ndarray, start: np.ndarray,
+    ) -> tuple[Walk, np.ndarray]:
+        """The walk over the items of ``group``, and whether it begins with each word; ``start`` counts from the end at which it begins."""
         start = start if step > 0 else self.size[group] - 1 - start
         h = np.concatenate([self.items[i] for i in group])
         ends = np.cumsum(self.size[group])
         heads = ends - self.size[group]
-        # Words outside the vocabulary share code 0: no item has them, so only their bits matter.
-        bits = rng.integers(0, 1 << STEPS, len(self.vocabulary) + 1, dtype=np.int64)
+        seed = np.uint64(rng.integers(1, 2**63))
         code, at = self.codes(h), heads + start
         key, outputs, begun = np.zeros(len(group), np.uint64), np.zeros(len(group), np.int64), []
         for j in range(sampled[-1] + 1):
@@ -115,25 +148,27 @@ class Index:
                 key[inside] = _grown(key[inside], code[at[inside]])
                 outputs[inside] += 1
                 begun.append(np.unique(key[inside]))
-            at[inside] += step * ((bits[code[at[inside]]] >> j) & 1)
-        first = np.zeros(len(self.vocabulary) + 1, bool)
-        first[code[heads + start]] = True
+            at[inside] += step * _bit(h[at[inside]], seed, j)
+        begins = np.zeros(len(self.vocabulary) + 1, bool)
+        begins[code[heads + start]] = True
         whole = []
         for k in range(len(sampled)):
             here = np.flatnonzero(outputs == k + 1)
             here = here[np.argsort(key[here], kind="stable")]
-            whole.append((key[here], group[here], start[here]))
-        return Walk(step, sampled, bits, first, begun, whole)
+            whole.append((key[here], group[here].astype(np.int32), start[here].astype(np.int32)))
+        return Walk(step, sampled, seed, begun, whole), begins
 
     def candidates(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(item, position at which the item would start) of every hit, a repetition at a time."""
         if not len(h) or not self.walks:
             return
         code = self.codes(h)
+        # Words outside the vocabulary share a bit: no item has them, so only that bit matters.
+        word = self.word[code]
         known = np.flatnonzero(code)
-        short = code[known]
-        for x in self.walks:
-            start = known[x.first[short]]
+        begins = self.first[code[known]]
+        for r, x in enumerate(self.walks):
+            start = known[(begins[:, r >> 3] >> (r & 7)) & 1 == 1]
             at, key = start, np.zeros(len(start), np.uint64)
             output = 0
             for j in range(x.sampled[-1] + 1):
@@ -142,17 +177,17 @@ class Index:
                     key = _grown(key, here)
                     if output:
                         alive = np.flatnonzero(_among(key, x.begun[output]))
-                        start, at, key, here = start[alive], at[alive], key[alive], here[alive]
+                        start, at, key = start[alive], at[alive], key[alive]
                     keys, item, offset = x.whole[output]
                     if len(keys) and len(key):
                         low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                         which = ragged(low, high - low)
                         if len(which):
-                            yield item[which], np.repeat(start, high - low) - offset[which]
+                            yield item[which].astype(np.int64), np.repeat(start, high - low) - offset[which]
                     output += 1
                 if not len(at):
                     break
-                at = np.clip(at + x.step * ((x.bits[here] >> j) & 1), 0, len(h) - 1)
+                at = np.clip(at + x.step * _bit(word[at], x.seed, j), 0, len(h) - 1)
 
     def pairs(self, h: np.ndarray) -> np.ndarray:
         """All candidates once, sorted by item and position."""
@@ -174,7 +209,9 @@ class Index:
             low = np.clip(start - edits, 0, len(h))
             size = np.clip(start + self.size[item] + edits, 0, len(h)) - low
             place, pair = ragged(low, size), np.repeat(np.arange(len(item)), size)
-            hit = self.members[item[pair], code[place]]
+            known = code[place] > 0
+            pair, place = pair[known], place[known]
+            hit = _among(item[pair] * width + code[place], self.counted)
             pair, place = pair[hit], place[hit]
             many = np.bincount(pair, minlength=len(item)) >= self.size[item] - edits
             use = many[pair]
@@ -186,6 +223,16 @@ class Index:
         return np.concatenate(kept)
 
 
+def _run_hash(run: np.ndarray) -> int:
+    """Hash of a whole run of words, as ``grams`` gives it for that many words."""
+    return int(grams(run, len(run))[0])
+
+
+def _bit(word: np.ndarray, seed: np.uint64, j: int) -> np.ndarray:
+    """The walk's random bit for each word at step ``j``."""
+    return (mixed(word ^ seed) >> np.uint64(j)).astype(np.int64) & 1
+
+
 def _grown(key: np.ndarray, code: np.ndarray) -> np.ndarray:
     return mixed(key * np.uint64(0x100000001B3) + code.astype(np.uint64) + np.uint64(1))
 
@@ -238,12 +285,14 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
                 if far <= index.distance * n:
                     row = (far, a + first - low, a + last - 1 - low)
                     found[doc, item] = min(found.get((doc, item), row), row)
-            if found:
+            short = index.short_hits(w)
+            if found or short:
                 ids = part.column("doc_id").to_pylist()
                 rows = [(ids[d], index.ids[i], x, y, far, len(index.items[i])) for (d, i), (far, x, y) in sorted(found.items())]
+                rows += [(ids[d], item, x, x + n - 1, 0, n) for d, item, x, n in short]
                 out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
                 if "key" in part.schema.names:
-                    out = out.append_column("key", part.column("key").take(pa.array([d for d, _ in sorted(found)])))
+                    out = out.append_column("key", part.column("key").take(pa.array([d for d, _ in sorted(found)] + [d for d, *_ in short])))
                 yield out
 
 
@@ -253,13 +302,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE
 
     Input: docs doc_id, text; benchmark item_id, text (other columns are ignored). Words are runs of letters and digits,
     lower-case. An item is found if some stretch of the document is within ``distance`` edits a word of the item
-    (0.2: a similarity of 0.8). Items of fewer than five words are left out. Null and empty texts hold nothing; documents in several rows
-    give rows each; of several places of one item the nearest, then first, is given.
+    (0.2: a similarity of 0.8). Items of fewer than five words allow no edit and are matched exactly. Null and empty texts hold nothing;
+    documents in several rows give rows each, and so do items in several rows or with null ids; of several places of one item the nearest,
+    then first, is given.
 
     ``key`` names a binary column of docs that is given as ``key`` with each row, to tell documents apart where doc_id does not.
 
-    Items go to the tasks in blocks of 8 MB of text, so what is sent at once is bounded whatever the benchmark's size;
-    each block is one pass over the documents, without a shuffle.
+    Items go to the tasks in blocks of 1 MB of text. An index is at most some 40 times its text, whatever the items' length, so
+    what is sent at once is bounded however large the benchmark is; each block is one pass over the documents, without a shuffle.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -41,7 +41,8 @@ PREFIXES = (1, 2, 4, 8)
 NO_ID = np.iinfo(np.int64).max
 _SECOND = np.uint64(0xA0761D6478BD642F)
 _PARTS = "part int, file int, body binary"
-_RESULT = ("doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<first:bigint,last:bigint>>, payload string")
+_RESULT = ("doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<first:bigint,last:bigint>>, "
+           "rest string, payload string")
 
 
 def drawn_seeds(w: Words, depth: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,10 +274,11 @@ def _remove(uri: str, seeds: np.ndarray, beaten: np.ndarray, payload: bool) -> I
         starts = live.at[lost[at:at + len(live.at)]]
         at += len(live.at)
         gone = covered(len(w.hashes), starts)
-        data, _ = utf8(part.column("text"))
+        data, offsets = utf8(part.column("text"))
         raw = data.tobytes()
-        kept, spans, removed = [], [], []
-        for a, b in zip(w.first, w.first[1:]):
+        kept, spans, removed, rest = [], [], [], []
+        own = part.column("text")
+        for d, (a, b) in enumerate(zip(w.first, w.first[1:])):
             inside = gone[a:b]
             removed.append(int(inside.sum()))
             keep = np.flatnonzero(~inside) + a
@@ -284,13 +286,25 @@ def _remove(uri: str, seeds: np.ndarray, beaten: np.ndarray, payload: bool) -> I
             if removed[-1]:
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
                 spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(edges[::2], edges[1::2])])
+                rest.append(_without(raw, int(offsets[d]), int(offsets[d + 1]), w.starts[a:b], w.ends[a:b], edges))
             else:
                 spans.append([])
+                rest.append(own[d].as_py())
         extra = part.column("payload") if payload else pa.nulls(part.num_rows, pa.string())
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()),
-             pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), extra.cast(pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept", "spans", "payload"])
+             pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(rest, pa.string()), extra.cast(pa.string())],
+            ["doc_id", "n_words", "n_removed", "kept", "spans", "rest", "payload"])
+
+
+def _without(raw: bytes, start: int, end: int, starts: np.ndarray, ends: np.ndarray, edges: np.ndarray) -> str:
+    """A text's bytes without the word runs edges[0]..edges[1] - 1, ...: each goes with the white space after it, or, at the end, before it."""
+    out, at = [], start
+    for x, y in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        last = y == len(starts)
+        out.append(raw[at:int(ends[x - 1]) if last and x else int(starts[x])])
+        at = int(ends[y - 1]) if last else int(starts[y])
+    return b"".join([*out, raw[at:end]]).decode()
 
 
 # --- the whole -------------------------------------------------------------------------
@@ -325,18 +339,19 @@ def _each_file(batches: Iterator[pa.RecordBatch], n_tables: int) -> Iterator[tup
 
 
 def remove_repeats(docs: DataFrame, payload: str | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text), spans (removed word positions, first to last) and payload of every row.
+    """doc_id, n_words, n_removed, kept (words), spans (removed word positions, first to last), rest (text) and payload of every row.
 
     Input: doc_id, text and, if named, a string column ``payload`` to carry along (other columns are ignored). Words are runs of
     bytes other than space and \\t to \\r, unchanged; null or empty text has none. A window of 13 words is removed if a
     row with a strictly smaller doc_id has it; rows that share a doc_id do not remove each other's words; a null
-    doc_id counts as larger than any. ``kept`` joins what is left by one space.
+    doc_id counts as larger than any. ``kept`` joins what is left by one space; ``rest`` is the text itself without the
+    removed words, and byte for byte the input (null if it was) where none was removed.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = shared_folder(spark, "texts")
     carried = F.col(payload).cast("string") if payload else F.lit(None).cast("string")
-    copy = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), carried.alias("payload"))
+    copy = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("payload"))
     copy.write.option("compression", "zstd").parquet(folder)
     names = sorted(spark.read.schema(copy.schema).parquet(folder).inputFiles())
     n_files = max(1, len(names))

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import pickle
 import re
 import zlib
 
@@ -336,8 +337,9 @@ def test_common_lines():
 # --- substrings -------------------------------------------------------------------------------------
 
 
-def brute_removed(rows):
-    first, docs, out = {}, [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows], collections.Counter()
+def brute_gone(rows):
+    """(doc_id, words, whether each is removed) of every row."""
+    first, docs, out = {}, [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows], []
     rank = lambda d: 10**18 if d is None else d
     for d, w in docs:
         for i in range(len(w) - 12):
@@ -347,10 +349,14 @@ def brute_removed(rows):
         for i in range(len(w) - 12):
             if first[tuple(w[i:i + 13])] < rank(d):
                 gone[i:i + 13] = [True] * 13
-        out[d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)] += 1
+        out.append((d, w, gone))
     return out
 
 
+def brute_removed(rows):
+    return collections.Counter((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)) for d, w, gone in brute_gone(rows))
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_substrings(spark, odd, parts, monkeypatch):
     monkeypatch.setattr(substring, "GROUP_SUFFIXES", 50)  # heavy prefixes, so that they are lengthened
@@ -364,13 +370,23 @@ def test_substrings(spark, odd, parts, monkeypatch):
 # --- pipeline ------------------------------------------------------------------------------------------
 
 
+def brute_rest(text, gone):
+    """The text without its removed words: a run goes with the white space after it, one at the text's end with that before it."""
+    pieces = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)  # a word and the white space after it
+    start = text[:len(text) - sum(map(len, pieces))]
+    left = "".join(p for p, g in zip(pieces, gone) if not g)
+    if gone and gone[-1]:
+        left = left.rstrip(" \t\n\v\f\r") + re.search(r"[\x20\x09-\x0D]*$", text)[0]
+    return start + left
+
+
 def test_pipeline(spark):
     """Against the same stages in plain Python; language and packing by what must hold."""
     rows = text_rows(documents(spark))
     known = [(d, t) for d, t in rows if t and re.search(r"[^\W\d_]", t)]
     firsts = {c for _, c, _ in brute_classes(known)}
-    left = brute_removed([(d, t) for d, t in known if d in firsts])
-    texts = [(d, kept) for d, _, _, kept in left if kept]
+    stay = [(d, t) for d, t in known if d in firsts]
+    texts = [(d, brute_rest(t, gone)) for (d, t), (_, _, gone) in zip(stay, brute_gone(stay)) if not all(gone)]
     items = [r.text for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     leaks = {r.doc_id for r in decontam.find_leaks(spark.createDataFrame(texts, "doc_id bigint, text string"),
                                                    spark.read.parquet(f"{SF_DIR}/benchmark.parquet")).collect()}
@@ -405,3 +421,61 @@ def test_stages_tell_documents_apart_by_text(spark):
     assert sorted(map(str, kept)) == sorted(map(str, [*want, *first, *((d, t) for d, t in kept if leak in t)])) and any(leak in t for _, t in kept)
     clean = text_rows(corpus_pipeline.decontaminate(spark, docs, SF_DIR))
     assert sorted(map(str, clean)) == sorted(str(x) for x in rows if leak not in x[1])
+
+
+def messy(spark):
+    """Documents with paragraphs, null and repeated ids, a very long text, and columns that stages use themselves."""
+    leak = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("text is not null").first().text
+    other = " ".join(f"u{i}" for i in range(60))
+    texts = ["One line\n\n  and   a paragraph.\r\n\tEnd ", f"new {other}\n{PASSAGE}\n\n  tail\tof it\n", f"{PASSAGE}\nold  first", f"a {leak} b", None, "", " \n ",
+             "a word in Latin \u0000 letters", " ".join(f"w{i % 7000}x{i // 7000}" for i in range(90_000)) + "\n", "*** ---"]
+    ids = [5, 9, 2, 9, 7, None, 8, None, 3, 4]
+    rows = [(d, t, "en", "s", len(t or ""), 0.25, "own", "mine", True, b"k", f"p{i}", i) for i, (d, t) in enumerate(zip(ids, texts))]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, lang_pred string, "
+                                       "payload string, Ambiguous boolean, __key binary, __first string, __leak int")
+
+
+def test_stages_change_nothing_else(spark):
+    """Every row that a stage keeps comes out as it went in, but for words that the substring stage removes."""
+    docs = messy(spark)
+    rows = docs.collect()
+    letters = [r for r in rows if r.text and re.search(r"[^\W\d_]", r.text)]
+    want = {"language_id": letters, "near_duplicates": rows, "decontaminate": [r for r in rows if r.doc_id != 9 or "new" in r.text]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF_DIR)
+        assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+        if name in want:
+            assert sorted(map(str, got.collect())) == sorted(map(str, want[name])), name
+    left = {r["__leak"]: r for r in corpus_pipeline.substring_dedup(spark, docs, SF_DIR).collect()}
+    assert left[1].text == rows[1].text.replace(f"{PASSAGE}\n\n  ", "") and left[1].n_chars == len(left[1].text)
+    assert all(left[i] == r for i, r in enumerate(rows) if i != 1) and len(left) == len(rows)
+    assert left[1].score == 0.25 and left[1].payload == "mine" and bytes(left[1]["__key"]) == b"k"
+
+
+def test_texts_without_removed_words(spark):
+    words = [f"r{i}" for i in range(13)]
+    run = " ".join(words)
+    rows = [(1, run), (2, f"\n a\n\n{run}\r\n  b  \n"), (3, f"  {run}  \n"), (4, f"x\t{run}"), (5, f"{run} y {run}\n"), (6, f"{run}\n\nz\t"), (7, "keep \n this ")]
+    got = {r.doc_id: r.rest for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: run, 2: "\n a\n\nb  \n", 3: "    \n", 4: "x", 5: "y\n", 6: "z\t", 7: "keep \n this "}
+
+
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "Alpha"), (2, "beta, GAMMA"), (3, "one two three"), (4, "four five six seven"), (None, "beta gamma"), (6, ""), (7, None), (8, "delta")]
+    docs = [(1, "alpha beta gamma alpha"), (2, "One two four THREE"), (3, "x four-five six seven one two three"), (4, None), (5, "beta"), (6, "gam ma")]
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted(tuple(r) for r in got.select("doc_id", F.coalesce("item_id", F.lit(-1)), "first_word", "last_word", "distance", "item_words").collect()) == [
+        (1, -1, 1, 2, 0, 2), (1, 1, 0, 0, 0, 1), (1, 2, 1, 2, 0, 2), (3, 3, 5, 7, 0, 3), (3, 4, 1, 4, 0, 4)]
+
+
+@pytest.mark.parametrize("length", [5, 25])
+def test_leak_index_grows_with_its_text(length):
+    """The pickled index is some tens of times the text, however many items there are."""
+    rng = np.random.default_rng(1)
+    ratios = []
+    for n in (400, 3200):
+        texts = [" ".join(f"word{x}" for x in rng.integers(0, 10**6, length)) for _ in range(n)]
+        index = decontam.Index(list(range(n)), texts, decontam.DISTANCE, decontam.RECALL)
+        ratios.append(len(pickle.dumps(index)) / sum(map(len, texts)))
+    print(length, ratios)
+    assert ratios[1] < 1.1 * ratios[0] or ratios[1] < 40
