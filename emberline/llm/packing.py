@@ -58,24 +58,30 @@ class Index:
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
         self.weight = idf[term] * count * (K1 + 1) / (count + norm[self.doc])
         del count
-        # The query of a piece: its shared terms with the largest weights.
+        # The query of a piece: its shared terms by falling weight; the heaviest are asked for first.
         order = np.flatnonzero(df[term] > 1).astype(np.int32)
         order = order[np.lexsort((-self.weight[order], self.doc[order]))]
         size = np.bincount(self.doc[order], minlength=n)
         head = np.cumsum(size) - size
-        keep = np.arange(len(order)) - np.repeat(head, size) < QUERY_TERMS
-        self.query = term[order[keep]]
-        self.query_end = np.cumsum(np.minimum(size, QUERY_TERMS))
-        self.query_begin = self.query_end - np.minimum(size, QUERY_TERMS)
+        self.query = term[order]
+        self.query_begin, self.query_end = head, head + size
         self.n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces by falling score, at most ``NEIGHBOURS``; the caller asks again for more."""
-        terms = self.query[self.query_begin[seed]:self.query_end[seed]]
-        at = ragged(self.begin[terms], self.end[terms] - self.begin[terms])
-        score = np.bincount(self.doc[at], self.weight[at], self.n) if len(at) else np.zeros(self.n)
-        score[~unused] = 0
-        hits = np.flatnonzero(score)
+        """Unused pieces by falling score, at most ``NEIGHBOURS``; the caller asks again for more.
+
+        Scores come from the seed's ``QUERY_TERMS`` heaviest terms; where no unused piece has one of them, from the rest.
+        """
+        begin, end = self.query_begin[seed], self.query_end[seed]
+        middle = min(begin + QUERY_TERMS, end)
+        for low, high in ((begin, middle), (middle, end)):
+            terms = self.query[low:high]
+            at = ragged(self.begin[terms], self.end[terms] - self.begin[terms])
+            score = np.bincount(self.doc[at], self.weight[at], self.n) if len(at) else np.zeros(self.n)
+            score[~unused] = 0
+            hits = np.flatnonzero(score)
+            if len(hits):
+                break
         if len(hits) > NEIGHBOURS:
             hits = hits[np.argpartition(-score[hits], NEIGHBOURS)[:NEIGHBOURS]]
         return hits[np.lexsort((hits, -score[hits]))]

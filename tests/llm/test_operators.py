@@ -367,6 +367,37 @@ def test_substrings(spark, odd, parts, monkeypatch):
     assert substring.remove_repeats(odd.limit(0)).count() == 0
 
 
+# --- retrieval for packing ------------------------------------------------------------------------------
+
+
+def test_neighbours_are_those_of_plain_bm25():
+    """Ranking by the heaviest terms, and by the rest once no unused piece has one of those."""
+    rng = np.random.default_rng(6)
+    pieces = [rng.zipf(1.3, rng.integers(1, 90)).clip(0, 400).astype(np.uint32) for _ in range(60)]
+    pieces += [np.arange(1000, 1040, dtype=np.uint32), np.arange(1030, 1041, dtype=np.uint32)]
+    sizes = np.array(list(map(len, pieces)))
+    index = packing.Index(np.concatenate(pieces), sizes)
+    bags = [collections.Counter(p.tolist()) for p in pieces]
+    df = collections.Counter(t for b in bags for t in b)
+
+    def weight(d, t):
+        idf = np.log1p((len(pieces) - df[t] + 0.5) / (df[t] + 0.5))
+        norm = packing.K1 * (1 - packing.B + packing.B * sizes[d] / sizes.mean())
+        return idf * bags[d][t] * (packing.K1 + 1) / (bags[d][t] + norm)
+
+    def scores(terms, unused):
+        return {d: s for d in np.flatnonzero(unused) if (s := sum(weight(d, t) for t in terms if t in bags[d])) > 0}
+
+    for seed in range(len(pieces)):
+        unused = rng.random(len(pieces)) < 0.4
+        terms = sorted((t for t in bags[seed] if df[t] > 1), key=lambda t: (-weight(seed, t), t))
+        want = scores(terms[:packing.QUERY_TERMS], unused) or scores(terms[packing.QUERY_TERMS:], unused)
+        got = index.neighbours(seed, unused).tolist()
+        assert len(got) == min(len(want), packing.NEIGHBOURS) and all(d in want for d in got)
+        ranked = sorted(want.values(), reverse=True)[:len(got)]
+        assert np.allclose([want[d] for d in got], ranked)
+
+
 # --- pipeline ------------------------------------------------------------------------------------------
 
 
