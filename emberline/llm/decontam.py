@@ -33,6 +33,7 @@ SAMPLE = 4
 MIN_WORDS = 5
 BLOCK_BYTES = 1 << 20
 SCHEMA = "doc_id bigint, item_id bigint, first_word bigint, last_word bigint, distance int, item_words int"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
                     ("distance", pa.int32()), ("item_words", pa.int32())])
 
@@ -83,6 +84,10 @@ class Index:
         named = [i * (len(self.vocabulary) + 1) + self.codes(x).astype(np.int64) for i, x in enumerate(self.items)]
         self.counted, counts = np.unique(np.concatenate(named) if named else np.zeros(0, np.int64), return_counts=True)
         self.counts = counts.astype(np.int32)
+        # First look at whether an item has a word: 16 places a pair that occurs, hits are then confirmed by search.
+        self.shift = np.uint64(64 - max(1, int(16 * len(self.counted)).bit_length()))
+        self.paired = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.paired[self._spot(self.counted)] = True
         rng = np.random.default_rng(seed)
         self.walks: list[Walk] = []
         first = []
@@ -122,6 +127,14 @@ class Index:
             out += [(int(text[i]), ids[item[i]], int(place[i] - w.first[text[i]]), n) for i in head]
         return out
 
+    def _spot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.view(np.uint64) * _SPREAD) >> self.shift).view(np.int64)
+
+    def _has(self, pair: np.ndarray) -> np.ndarray:
+        """Positions of pairs (item and word code as one number) that occur."""
+        at = np.flatnonzero(self.paired[self._spot(pair)])
+        return at[_among(pair[at], self.counted)]
+
     def codes(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int32)
         at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
@@ -163,21 +176,21 @@ class Index:
         if not len(h) or not self.walks:
             return
         code = self.codes(h)
-        # Words outside the vocabulary share a bit: no item has them, so only that bit matters.
-        word = self.word[code]
         known = np.flatnonzero(code)
         begins = self.first[code[known]]
         for r, x in enumerate(self.walks):
             start = known[(begins[:, r >> 3] >> (r & 7)) & 1 == 1]
             at, key = start, np.zeros(len(start), np.uint64)
             output = 0
+            # Words outside the vocabulary share their bits: no item has them, so only the bits matter.
+            bits = mixed(self.word ^ x.seed).astype(np.uint8)
             for j in range(x.sampled[-1] + 1):
                 here = code[at]
                 if j in x.sampled:
                     key = _grown(key, here)
                     if output:
                         alive = np.flatnonzero(_among(key, x.begun[output]))
-                        start, at, key = start[alive], at[alive], key[alive]
+                        start, at, key, here = start[alive], at[alive], key[alive], here[alive]
                     keys, item, offset = x.whole[output]
                     if len(keys) and len(key):
                         low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
@@ -187,13 +200,14 @@ class Index:
                     output += 1
                 if not len(at):
                     break
-                at = np.clip(at + x.step * _bit(word[at], x.seed, j), 0, len(h) - 1)
+                at = np.clip(at + x.step * ((bits[here] >> j) & 1).astype(np.int64), 0, len(h) - 1)
 
     def pairs(self, h: np.ndarray) -> np.ndarray:
         """All candidates once, sorted by item and position."""
         before, span = int(self.size.max(initial=0)), len(h) + int(self.size.max(initial=0))
         seen = [item * span + start + before for item, start in self.candidates(h)]
-        item, start = np.divmod(np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64), max(1, span))
+        both = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
+        item, start = np.divmod(both[np.flatnonzero(np.diff(both, prepend=-1))], max(1, span))
         return np.stack([item, start - before], 1)
 
     def plausible(self, h: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -204,24 +218,41 @@ class Index:
         code, width = self.codes(h), len(self.vocabulary) + 1
         kept = [pairs[:0]]
         for at in range(0, len(pairs), 20_000):
-            item, start = pairs[at:at + 20_000].T
-            edits = self.edits[item]
-            low = np.clip(start - edits, 0, len(h))
-            size = np.clip(start + self.size[item] + edits, 0, len(h)) - low
+            part = pairs[at:at + 20_000]
+            item, low, size = self._windows(part, len(h))
+            many = self._hits(item, low, size, code, width) >= self.size[item] - self.edits[item]
+            part, item, low, size = part[many], item[many], low[many], size[many]
             place, pair = ragged(low, size), np.repeat(np.arange(len(item)), size)
-            known = code[place] > 0
-            pair, place = pair[known], place[known]
-            hit = _among(item[pair] * width + code[place], self.counted)
-            pair, place = pair[hit], place[hit]
-            many = np.bincount(pair, minlength=len(item)) >= self.size[item] - edits
-            use = many[pair]
-            held, n = np.unique(pair[use] * width + code[place[use]], return_counts=True)
+            hit = self._has(item[pair] * width + code[place])
+            held, n = np.unique(pair[hit] * width + code[place[hit]], return_counts=True)
             pair, word = held // width, held % width
             n = np.minimum(n, self.counts[np.searchsorted(self.counted, item[pair] * width + word)])
             common = np.bincount(pair, n, minlength=len(item))
-            kept.append(pairs[at:at + 20_000][many & (common >= self.size[item] - edits)])
+            kept.append(part[common >= self.size[item] - self.edits[item]])
         return np.concatenate(kept)
 
+    def _windows(self, pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        item, start = pairs.T
+        edits = self.edits[item]
+        low = np.clip(start - edits, 0, n)
+        return item, low, np.clip(start + self.size[item] + edits, 0, n) - low
+
+    def _hits(self, item: np.ndarray, low: np.ndarray, size: np.ndarray, code: np.ndarray, width: int) -> np.ndarray:
+        """Words of each window that its item has. Windows of one item overlap; each place is looked up once for all of them."""
+        if not len(item):
+            return np.zeros(0, np.int64)
+        high = low + size
+        apart = np.concatenate([[True], (item[1:] != item[:-1]) | (low[1:] > high[:-1])])
+        head, stretch = np.flatnonzero(apart), np.cumsum(apart) - 1
+        begin, length = low[head], high[np.append(head[1:], len(item)) - 1] - low[head]
+        place, owner = ragged(begin, length), np.repeat(item[head], length)
+        known = np.flatnonzero(code[place])
+        hit = np.zeros(len(place) + 1, np.int64)
+        hit[known[self._has(owner[known] * width + code[place[known]])] + 1] = 1
+        running = np.cumsum(hit)
+        base = (np.cumsum(length) - length)[stretch] + low - begin[stretch]
+        return running[base + size] - running[base]
+
 
 def _run_hash(run: np.ndarray) -> int:
     """Hash of a whole run of words, as ``grams`` gives it for that many words."""
