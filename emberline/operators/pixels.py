@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import channels as C
-from ..functions.timeparse import date_range
 
 
 def explode_tile(tiles: DataFrame, values: str, width: int, *, name: str = "v") -> DataFrame:
@@ -125,49 +124,53 @@ def blank_unlabelled(pixels: DataFrame, label: str = "label", pred: str = "pred"
     )
 
 
+_WHOLE = 61
+_FINEST = -60
+
+
+def _level(width: Column) -> Column:
+    """Exponent of the smallest power of two that is no smaller than ``width``; beyond 2^60 one cell holds everything."""
+    return F.when(width > 2.0**60, F.lit(_WHOLE)).when(width <= 2.0**_FINEST, F.lit(_FINEST)).otherwise(F.ceil(F.log2(width))).cast("int")
+
+
+def _cell(value: Column, level: Column) -> Column:
+    return F.when(level == _WHOLE, F.lit(0)).otherwise(F.floor(value / F.pow(F.lit(2.0), level))).cast("long")
+
+
 def clip_to_bounds(
-    pixels: DataFrame, fires: DataFrame, *, cell: tuple[float, float], x: str = "x", y: str = "y", day: str = "day",
+    pixels: DataFrame, fires: DataFrame, *, x: str = "x", y: str = "y", day: str = "day",
     x_bounds: tuple[str, str] = ("x_min", "x_max"), y_bounds: tuple[str, str] = ("y_min", "y_max"),
-    max_broadcast_rows: int = 200_000,
 ) -> DataFrame:
-    """Pixels inside each fire's bounds (inclusive) on the fire's days.
-
-    Both sides are put on a coarse grid of ``cell`` = (width, height) squares per
-    day; a fire lists the few squares its box touches, which turns a range join
-    into an equi-join on (day, square). Squares about as large as a box keep both
-    the listing and the false matches short. Empty boxes never match.
-
-    How many squares the fires list is counted first, by an aggregate over the
-    fire table alone. Up to ``max_broadcast_rows`` they are broadcast and pixels
-    stay where they are; beyond that both sides are shuffled and sorted, hot
-    squares being split by adaptive skew handling. Catalyst itself cannot decide
-    this, since its size estimate ignores the listing.
+    """Pixels inside each fire's bounds (inclusive) on the fire's days, with ``fire_id``.
+
+    Boxes of any size and duration meet pixels on a grid of many levels. Days and either axis have cells of every power of
+    two; a box takes the level at which a cell is just as wide as it is, so it touches two cells an axis at most and
+    is listed eight times at most. A pixel looks up its cell at each level that some box uses; those are counted in one row,
+    a few for boxes of like sizes and never more than the exponents between the smallest and the largest. The range join so becomes an
+    equi-join, in which most pairs of a cell are matches; Spark picks its strategy by size. Empty boxes never match.
     """
-    def square(v: Column, size: float) -> Column:
-        return F.floor(v / size).cast("long")
-
-    def span(low: str, high: str, size: float) -> Column:
-        a, b = square(F.col(low), size), square(F.col(high), size)
-        return F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<bigint>"))
-
-    boxes = (
-        fires.select(
-            "fire_id", *x_bounds, *y_bounds,
-            F.explode(date_range(F.col("start_date"), F.col("end_date"))).alias(day),
-        )
-        .withColumn("__cx", F.explode(span(*x_bounds, cell[0])))
-        .withColumn("__cy", F.explode(span(*y_bounds, cell[1])))
-    )
-    listed = F.size(date_range(F.col("start_date"), F.col("end_date"))) * F.size(span(*x_bounds, cell[0])) * F.size(
-        span(*y_bounds, cell[1])
-    )
-    total = fires.agg(F.coalesce(F.sum(listed), F.lit(0)).alias("n")).first()["n"]
-    boxes = F.broadcast(boxes) if total <= max_broadcast_rows else boxes.hint("merge")
-    placed = pixels.withColumns({"__cx": square(F.col(x), cell[0]), "__cy": square(F.col(y), cell[1])})
-    inside = F.col(x).between(F.col(x_bounds[0]), F.col(x_bounds[1])) & F.col(y).between(
-        F.col(y_bounds[0]), F.col(y_bounds[1])
-    )
-    return placed.join(boxes, [day, "__cx", "__cy"]).where(inside).drop("__cx", "__cy", *x_bounds, *y_bounds)
+    axes = {"d": (F.unix_date("start_date").cast("double"), F.unix_date("end_date").cast("double")),
+            "x": tuple(F.col(c).cast("double") for c in x_bounds), "y": tuple(F.col(c).cast("double") for c in y_bounds)}
+    sound = F.lit(True)
+    for low, high in axes.values():
+        sound = sound & (low <= high) & ~F.isnan(low) & ~F.isnan(high)
+    boxes = fires.where(sound).select(
+        "fire_id", F.col("start_date").alias("__from"), F.col("end_date").alias("__to"),
+        *[c.alias(f"__{a}_{end}") for a, pair in axes.items() if a != "d" for end, c in zip(("low", "high"), pair)],
+        *[_level(high - low).alias(f"__l{a}") for a, (low, high) in axes.items()],
+        *[F.struct(low.alias("a"), high.alias("b")).alias(f"__r{a}") for a, (low, high) in axes.items()])
+    levels = boxes.agg(F.collect_set(F.struct("__ld", "__lx", "__ly")).alias("__levels"))
+    for a in axes:
+        ends = [_cell(F.col(f"__r{a}")[end], F.col(f"__l{a}")) for end in ("a", "b")]
+        boxes = boxes.withColumn(f"__c{a}", F.explode(F.array_distinct(F.array(*ends)))).drop(f"__r{a}")
+    placed = pixels.join(F.broadcast(levels), F.lit(True)).select(*pixels.columns, F.inline("__levels"))
+    for a, value in (("d", F.unix_date(F.col(day))), ("x", F.col(x)), ("y", F.col(y))):
+        placed = placed.withColumn(f"__c{a}", _cell(value.cast("double"), F.col(f"__l{a}")))
+    cells = [f"__{kind}{a}" for a in axes for kind in "lc"]
+    inside = F.col(day).between(F.col("__from"), F.col("__to"))
+    for a, value in (("x", x), ("y", y)):
+        inside = inside & F.col(value).between(F.col(f"__{a}_low"), F.col(f"__{a}_high"))
+    return placed.join(boxes, cells).where(inside).select(*pixels.columns, "fire_id")
 
 
 def variable_ranges(clip: DataFrame, keys: Sequence[str] = (), variables: Sequence[str] = K.CLIP_VARIABLES) -> DataFrame:

@@ -661,7 +661,7 @@ def clip_run(spark, sf_dir):
     pairs = fires.select("fire_id", F.col("start_date").alias("day")).join(files, "day").select("fire_id", "file")
     done = X.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("fire_id"))
     done = pairs.join(done.distinct(), "fire_id", "left_semi")
-    clipped = clip_to_bounds(px, fires, cell=(12.0, 9.0))
+    clipped = clip_to_bounds(px, fires)
     return align.clip_outcomes(align.clip_status(pairs, clipped, done, ["fire_id", "file"]))
 
 

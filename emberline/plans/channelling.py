@@ -435,5 +435,5 @@ def bbox_clip(spark, sf_dir):
     px = X.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")
     )
-    out = P.clip_to_bounds(px, fires, cell=(5.0, 9000.0))
+    out = P.clip_to_bounds(px, fires)
     return out.select("fire_id", "l_orderkey", "l_linenumber", F.col("day").cast("string").alias("day"))

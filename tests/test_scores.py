@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import random
 
@@ -135,19 +136,19 @@ def test_batch_scoring(spark):
     assert M.score_batches(df, predict).first().prob == 0.5
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_clip_both_ways(spark, limit):
-    import datetime as dt
-
-    day = dt.date(2021, 1, 1)
-    fires = spark.createDataFrame(
-        [("a", day, day + dt.timedelta(days=1), 0.0, 4.0, -2.0, 3.0), ("none", day, day, 4.0, 1.0, 0.0, 1.0)],
-        "fire_id string, start_date date, end_date date, x_min double, x_max double, y_min double, y_max double")
-    rows = [(day + dt.timedelta(days=d), float(x), float(y)) for d in range(3) for x in range(-1, 7) for y in range(-4, 5)]
-    px = spark.createDataFrame(rows, "day date, x double, y double")
-    out = P.clip_to_bounds(px, fires, cell=(1.5, 2.0), max_broadcast_rows=limit)
-    want = {(d, x, y) for d, x, y in rows if d < day + dt.timedelta(days=2) and 0 <= x <= 4 and -2 <= y <= 3}
-    got = [(r.day, r.x, r.y) for r in out.collect()]
+def test_boxes_of_every_size(spark):
+    day, rng = dt.date(2021, 1, 1), random.Random(7)
+    boxes = [("none", day, day, 4.0, 1.0, 0.0, 1.0), ("point", day, day, 2.0, 2.0, 3.0, 3.0), ("all", day, day + dt.timedelta(days=900), -1e30, float("inf"), -1e9, 1e9),
+             ("nan", day, day, float("nan"), 9.0, 0.0, 9.0), ("backwards", day, day - dt.timedelta(days=1), 0.0, 9.0, 0.0, 9.0), ("null", day, None, 0.0, 9.0, 0.0, 9.0)]
+    for i in range(60):
+        size, x, y = 2.0 ** rng.uniform(-6, 6), rng.uniform(-9, 9), rng.uniform(-9, 9)
+        start = day + dt.timedelta(days=rng.randrange(5))
+        boxes.append((f"b{i}", start, start + dt.timedelta(days=rng.choice([0, 1, 6, 40])), x, x + size, y, y + size * rng.choice([0.1, 1, 8])))
+    fires = spark.createDataFrame(boxes, "fire_id string, start_date date, end_date date, x_min double, x_max double, y_min double, y_max double")
+    rows = [(day + dt.timedelta(days=d), float(x), float(y) / 2) for d in range(0, 9) for x in range(-9, 10) for y in range(-18, 19)]
+    rows += [(None, 0.0, 0.0), (day, None, 1.0)]
+    out = P.clip_to_bounds(spark.createDataFrame(rows, "day date, x double, y double"), fires)
+    want = {(f, d, x, y) for f, a, b, x0, x1, y0, y1 in boxes for d, x, y in rows if None not in (b, d, x) and a <= d <= b and x0 <= x <= x1 and y0 <= y <= y1}
+    got = [(r.fire_id, r.day, r.x, r.y) for r in out.collect()]
     assert set(got) == want and len(got) == len(want)
-    plan = out._jdf.queryExecution().toString()
-    assert ("BroadcastHashJoin" in plan) == (limit > 0)
+    assert P.clip_to_bounds(spark.createDataFrame(rows, "day date, x double, y double"), fires.limit(0)).count() == 0
