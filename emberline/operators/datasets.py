@@ -212,3 +212,30 @@ def active_fire_test(
     padded = W.pad_blocks(labelled, ["fire_id", "row", "col"], list(blank), block, blank=blank)
     return W.block_windows(padded, ts, interval, block).select(
         "fire_id", "block", "window_idx", "start_idx", "step", "row", "col", "x", "af")
+
+
+def paired_growth_samples(images: DataFrame, goes: DataFrame, labels: DataFrame | None = None, *, channels: int = K.PRED_CHANNELS) -> DataFrame:
+    """Image and GOES side of each step in one row: images' columns with clean ``x``, squashed ``bins`` and, if given, ``growth``.
+
+    ``images`` are ``growth_samples``, ``goes`` are ``goes_bin_samples`` of the same windows, ``labels`` are ``growth_labels``.
+    Both sides meet by (fire, window, step), whatever order they were made in. The check that neither side
+    lacks a step is part of the same plan: a row without its counterpart raises when it is read, and so does a
+    pixel's window without a label.
+    """
+    keys = ["fire_id", "window_idx", "step"]
+    steps = goes.select(*keys, F.col("bins").alias("__bins"), F.lit(True).alias("__goes"))
+    both = images.withColumn("__image", F.lit(True)).join(steps, keys, "full_outer")
+    place = F.concat_ws(" ", F.col("fire_id"), F.lit("window"), F.col("window_idx").cast("string"), F.lit("step"), F.col("step").cast("string"))
+
+    def missing(what: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"no {what} for fire "), place)).cast("boolean")
+
+    checked = F.when(F.col("__image").isNull(), missing("image")).when(F.col("__goes").isNull(), missing("GOES bins")).otherwise(True)
+    squashed = F.transform("__bins", lambda b: F.transform(b, lambda v: C.squash(v.cast("double")).cast("float")))
+    clean = F.array(*[v.cast("float") for v in C.elements(C.clean_vector(F.col("x"), channels), channels)])
+    out = both.where(checked).select(*[c for c in images.columns if c != "x"], clean.alias("x"), squashed.alias("bins"))
+    if labels is None:
+        return out
+    targets = labels.select(*W.PIXEL, "window_idx", F.col("growth").alias("__growth"))
+    labelled = out.join(targets, [*W.PIXEL, "window_idx"], "left")
+    return labelled.withColumn("growth", F.coalesce("__growth", F.when(F.lit(True), missing("label")).cast("int"))).drop("__growth")

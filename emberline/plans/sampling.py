@@ -127,6 +127,34 @@ def goes_bin_samples(spark, sf_dir):
     )
 
 
+@query(f"""
+WITH {X.MEASURES},
+b AS (SELECT fire_id, CAST(ts AS DATE) AS day, (hour(ts) * 60 + minute(ts)) // 360 AS bin, max(hot) FILTER (kind = 'mask') AS ac, max(frp) FILTER (kind = 'frp') AS fx FROM measures GROUP BY ALL),
+tiles AS (SELECT fire_id, ts, value, code, row_number() OVER (PARTITION BY fire_id ORDER BY ts, file_name) - 1 AS frame, count(*) OVER (PARTITION BY fire_id) AS n_frames
+          FROM scenes WHERE source = 'viirs_day'), {_windows("drop")},
+hot AS (SELECT fire_id, frame, code > 60 AS h, count(*) FILTER (code > 60) OVER (PARTITION BY fire_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tiles)
+SELECT win.fire_id, CAST(w AS INTEGER) AS window_idx, CAST(j AS INTEGER) AS step, CAST(k AS INTEGER) AS bin, round(tiles.value, 3) AS band,
+  round(ln(1 + greatest(coalesce(ac, 0.0), 0)), 4) AS active_pixels, round(ln(1 + greatest(coalesce(fx, 0.0), 0)), 4) AS frp_max, CAST(hot.h AND hot.before = 0 AS INTEGER) AS growth
+FROM win CROSS JOIN range(0, {TS}) AS g(j) CROSS JOIN range(0, 4) AS h(k) JOIN tiles ON tiles.fire_id = win.fire_id AND tiles.frame = s + j
+JOIN hot ON hot.fire_id = win.fire_id AND hot.frame = s + {TS}
+LEFT JOIN b ON b.fire_id = win.fire_id AND b.day = CAST(tiles.ts AS DATE) AND b.bin = k
+""")
+def paired_growth_samples(spark, sf_dir):
+    """Growth windows with image step, GOES bins and target in one row; each day scene is one pixel."""
+    from ..operators.scenes import frame_index
+
+    day = X.scenes(spark, sf_dir, "viirs_day").select("fire_id", "ts", "file_name", "value", "code")
+    stack = frame_index(day).select(
+        "fire_id", "frame", "n_frames", F.lit(0).alias("row"), F.lit(0).alias("col"),
+        F.array_repeat(F.col("value").cast("float"), K.PRED_CHANNELS).alias("x"), (F.col("code") > 60).cast("double").alias("af"), F.lit(0.0).alias("perimeter"))
+    bins = align.subdaily_rollup(X.measures(spark, sf_dir), 360)
+    goes = D.goes_bin_samples(day.select("fire_id", "ts", "file_name"), bins, TS, IT, 360)
+    out = D.paired_growth_samples(D.growth_samples(stack, TS, IT), goes, D.growth_labels(stack, TS, IT))
+    return out.select("fire_id", "window_idx", "step", F.get("x", F.lit(0)).alias("band"), "growth", F.posexplode("bins").alias("bin", "f")).select(
+        "fire_id", "window_idx", "step", "bin", F.round(F.col("band").cast("double"), 3).alias("band"),
+        F.round(F.col("f")[0].cast("double"), 4).alias("active_pixels"), F.round(F.col("f")[3].cast("double"), 4).alias("frp_max"), "growth")
+
+
 # --- frames that cannot be used ------------------------------------------------------------
 
 # Every seventh vector stands for a scene with an incomplete night file.

@@ -176,3 +176,17 @@ def test_active_fire_test_blocks(spark):
     assert len(got) == 5 * 3 * 4 and {(r.row, r.col) for r in got} == {(1, 1)}
     with pytest.raises(ValueError):
         D.active_fire_test(manifest, day, day.limit(0), th, 11, 4)
+
+
+def test_pairing_raises_on_a_missing_side(spark):
+    keys = "fire_id string, window_idx int, step int"
+    images = spark.createDataFrame([("a", 0, 0, 1, 1, [float("nan"), 2.0]), ("a", 0, 1, 1, 1, [1.0, float("inf")])], f"{keys}, row int, col int, x array<float>")
+    goes = spark.createDataFrame([("a", 0, 1, [[0.0, -3.0]]), ("a", 0, 0, [[1.0, 0.0]])], f"{keys}, bins array<array<float>>")
+    got = {r.step: r for r in D.paired_growth_samples(images, goes, channels=2).collect()}
+    assert list(got[0].x) == [0.0, 2.0] and list(got[1].x) == [1.0, 0.0]
+    assert got[0].bins == [[pytest.approx(np.log(2)), 0.0]] and got[1].bins == [[0.0, 0.0]]
+    labels = spark.createDataFrame([("a", 1, 1, 0, 1)], "fire_id string, row int, col int, window_idx int, growth int")
+    assert [r.growth for r in D.paired_growth_samples(images, goes, labels, channels=2).collect()] == [1, 1]
+    for i, g, l in ((images.where("step = 0"), goes, None), (images, goes.where("step = 0"), None), (images, goes, labels.where("false"))):
+        with pytest.raises(Exception, match="no (image|GOES bins|label) for fire a"):
+            D.paired_growth_samples(i, g, l, channels=2).collect()
