@@ -357,6 +357,22 @@ def page_fires(spark, sf_dir):
     return S.page_fires(X.fires(spark, sf_dir).select("fire_id"), start=5, limit=20)
 
 
+@query(f"""
+WITH {X.FIRES} SELECT fire_id FROM fires ORDER BY fire_id LIMIT 1000000000 OFFSET 7
+""")
+def page_fires_open(spark, sf_dir):
+    """All fires from the eighth on in id order: a start flag without a limit."""
+    return S.page_fires(X.fires(spark, sf_dir).select("fire_id"), start=7)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 1234")
+def row_by_position(spark, sf_dir):
+    """One row by its position, as boxes are picked by index."""
+    from ..sources.tables import nth_row
+
+    return nth_row(X.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1234)
+
+
 _DAY_NIGHT = f"""
 WITH {X.TILES},
 day AS (SELECT fire_id, frame, embedding[1:8] AS bands FROM tiles),
