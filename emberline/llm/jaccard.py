@@ -1,15 +1,18 @@
-"""Near-duplicate join on word n-gram Jaccard similarity, by MinHash banding.
-
-Each text has a hash a tree (band), over as many minima as ``prefix_length`` gives: the longest
-prefix at which texts at the threshold meet in some tree with the target recall. The length is one number,
-so this is no forest of several prefix lengths. Texts that share a prefix are linked to the first of them; the linked sets are then compared exactly, tile by tile, on the
-shingles of their words.
+"""Near-duplicate join on word n-gram Jaccard similarity, by a MinHash LSH forest.
+
+A text is a leaf in every tree: its path are ``DEPTH`` labels, each the minimum of a hash over its shingles. The leaves of all
+trees are one table sorted by (tree, path), so a node of a trie is a run of neighbours with a common prefix. Matching starts at full
+depth, and prefixes are shortened by one label a level. A text leaves the ascent at the longest prefix with which a partner is met in some tree
+with the target recall, whatever its hashes: ``stop_lengths`` works that out from the least similarity at the threshold or above that a text of so
+many shingles can have with any other at all. Two texts are candidates if they share a prefix of the longer of their two lengths in some tree.
+Runs are linked to their first leaf; the linked sets are then compared exactly, tile by tile, on the shingles of their words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,9 @@ THRESHOLD = 0.8
 TREES, DEPTH = 24, 8
 RECALL = 0.999
 TILE_DOCS, TILE_BYTES = 256, 4 << 20
-_SIGNED = "did bigint, key binary, n_words bigint, n_bytes bigint, prefixes array<bigint>"
+LABEL_BYTES = 2
+_SIGNED = "did bigint, key binary, n_words bigint, n_bytes bigint, stop int, signature binary"
+_LINKED = "a bigint, b bigint, border binary"
 _VERIFIED = "comp bigint, tiled boolean, node bigint, root bigint, links bigint"
 
 
@@ -38,6 +43,26 @@ def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL, trees: i
     return length
 
 
+def least_similarity(n: int, threshold: Fraction) -> Fraction:
+    """The smallest Jaccard similarity, at the threshold or above, that a set of ``n`` can have with any set.
+
+    The union of the two has ``n + extra`` members; at least ``ceil(threshold * union)`` must be common, at most n.
+    """
+    unions = range(n, floor(n / threshold) + 1)
+    return min(Fraction(ceil(threshold * u), u) for u in unions)
+
+
+def stop_lengths(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
+    """Prefix length at which a text of n shingles leaves the ascent; the last entry holds for all larger n.
+
+    From the size on at which some union is a multiple of the threshold's denominator, the least similarity is the threshold itself.
+    """
+    share = Fraction(threshold).limit_denominator(10**6)
+    always = min(4096, ceil(share.denominator / (1 / share - 1)) + 1) if share < 1 else 1
+    least = [float(least_similarity(n, share)) for n in range(1, always)]
+    return np.array([depth, *(prefix_length(x, recall, trees, depth) for x in least), prefix_length(threshold, recall, trees, depth)], np.int32)
+
+
 def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashed word n-grams of all texts and the offsets of each text; a shorter text is one shingle, an empty one has none."""
     all_grams = grams(w.hashes, n)
@@ -55,25 +80,93 @@ def _factors(n: int) -> np.ndarray:
     return np.random.default_rng(5).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], n: int, trees: int, length: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], n: int, trees: int, depth: int, stops: np.ndarray) -> Iterator[pa.RecordBatch]:
     forget()
-    factor = _factors(trees * length).reshape(trees, length)
+    factor = _factors(trees * depth).reshape(trees, depth)
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             data, offsets = utf8(part.column("text"))
             w = words(data, offsets, LETTERS_DIGITS)
             sh, ends = shingles(w, n)
-            full = np.flatnonzero(np.diff(ends))
-            out = np.zeros((part.num_rows, trees), np.uint64)
+            size = np.diff(ends)
+            full = np.flatnonzero(size)
+            labels = np.zeros((part.num_rows, trees, depth), ">u2")
             for t in range(trees if len(full) else 0):
-                path = np.full(len(full), np.uint64(t + 1))
-                for k in range(length):
-                    path = mixed(path * np.uint64(0x100000001B3) + np.minimum.reduceat(sh * factor[t, k], ends[:-1][full]))
-                out[full, t] = path
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * trees), pa.array(out.view(np.int64).ravel()))
+                for k in range(depth):
+                    labels[full, t, k] = mixed(np.minimum.reduceat(sh * factor[t, k], ends[:-1][full])) >> np.uint64(48)
+            for d in np.flatnonzero((size > 1) & (size < len(stops) - 1)).tolist():
+                size[d] = len(np.unique(sh[ends[d]:ends[d + 1]]))
+            stop = stops[np.minimum(size, len(stops) - 1)]
+            width = trees * depth * LABEL_BYTES
+            signature = pa.Array.from_buffers(pa.binary(width), part.num_rows, [None, pa.py_buffer(labels.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [part.column("did"), part.column("key"), pa.array(w.counts, pa.int64()), pa.array(np.diff(offsets), pa.int64()), lists],
-                ["did", "key", "n_words", "n_bytes", "prefixes"])
+                [part.column("did"), part.column("key"), pa.array(w.counts, pa.int64()), pa.array(np.diff(offsets), pa.int64()),
+                 pa.array(stop, pa.int32()), signature],
+                ["did", "key", "n_words", "n_bytes", "stop", "signature"])
+
+
+def _climb(batches: Iterator[pa.RecordBatch], levels: list[int], depth: int) -> Iterator[pa.RecordBatch]:
+    """Edges of the candidates in one stretch of the sorted leaves (tree, path, node, stop), a run being linked to its first leaf.
+
+    At a level only texts that have not left yet take part. A pair that goes on to a shorter level is linked there, so each level links
+    those of which one leaves at it. The first and last leaf of the stretch at each level are named with their prefix, since their runs may reach on.
+    """
+    width = depth * LABEL_BYTES
+    heads: dict[int, tuple[np.ndarray, int, int]] = {}
+    lasts: dict[int, tuple[np.ndarray, int]] = {}
+    borders: list[tuple[int, bytes]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path = batch.column("path").cast(pa.binary(width))
+        path = np.frombuffer(path.buffers()[1], np.uint8, batch.num_rows * width, path.offset * width).reshape(-1, width)
+        path = np.concatenate([batch.column("tree").to_numpy()[:, None].astype(np.uint8), path], 1)
+        node, stop = batch.column("node").to_numpy(), batch.column("stop").to_numpy()
+        found = []
+        for level in levels:
+            at = np.flatnonzero(stop <= level)
+            if not len(at):
+                continue
+            prefix, ids, ends = path[at, :1 + level * LABEL_BYTES], node[at], stop[at]
+            if level in heads:
+                first, head, head_stop = heads[level]
+                prefix, ids, ends = np.concatenate([first[None], prefix]), np.append(head, ids), np.append(head_stop, ends)
+            else:
+                borders.append((int(ids[0]), bytes([level]) + prefix[0].tobytes()))
+            new = np.concatenate([[True], (prefix[1:] != prefix[:-1]).any(1)])
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            use = ~new & (np.maximum(ends, ends[head]) == level)
+            found.append((ids[use], ids[head[use]]))
+            heads[level] = prefix[-1].copy(), int(ids[head[-1]]), int(ends[head[-1]])
+            lasts[level] = prefix[-1].copy(), int(ids[-1])
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            yield _edges(a, b, pa.nulls(len(a), pa.binary()))
+    borders += [(last, bytes([level]) + prefix.tobytes()) for level, (prefix, last) in lasts.items()]
+    nodes = np.array([x[0] for x in borders], np.int64)
+    yield _edges(nodes, nodes, pa.array([x[1] for x in borders], pa.binary()))
+
+
+def _edges(a: np.ndarray, b: np.ndarray, border: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), border], ["a", "b", "border"])
+
+
+def candidates(nodes: DataFrame, trees: int, depth: int, stops: np.ndarray) -> DataFrame:
+    """a, b: edges that connect all texts which are candidates of each other; ``nodes`` has node, stop and signature.
+
+    The leaves are dealt by ranges of (tree, path, node), so a prefix that a third of all texts share spreads over tasks;
+    runs that cross from one range to the next are joined by the prefixes at the ranges' ends, a few rows a range.
+    """
+    levels = sorted({int(x) for x in stops}, reverse=True)
+    width = depth * LABEL_BYTES
+    leaves = nodes.select("node", "stop", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    leaves = leaves.select("tree", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("path"), "node", "stop")
+    forest = leaves.repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node")
+    found = written(forest.mapInArrow(lambda it: _climb(it, levels, depth), _LINKED), "forest")
+    inside = found.where("border is null").select("a", "b")
+    ends = found.where("border is not null").select("a", "border")
+    heads = ends.groupBy("border").agg(F.min("a").alias("b"))
+    return inside.union(ends.join(heads, "border").select("a", "b")).where("a <> b")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray | None, threshold: float) -> np.ndarray:
@@ -196,20 +289,18 @@ def _named(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[Da
     """Signatures of all rows, and a row for each text with words: key, node, first_id, copies, links, root (one for each class)."""
     spark = docs.sparkSession
     ship(spark)
-    length = prefix_length(threshold, recall)
+    stops = stop_lengths(threshold, recall, TREES, DEPTH)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("did"), F.lower("text").alias("text"))
     rows = rows.withColumn("key", text_key(F.col("text")))
-    signed = written(rows.mapInArrow(lambda it: _sign(it, n, TREES, length), _SIGNED), "signatures")
+    signed = written(rows.mapInArrow(lambda it: _sign(it, n, TREES, DEPTH, stops), _SIGNED), "signatures")
 
     texts = signed.where("n_words > 0").groupBy("key").agg(
-        F.min("did").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n_bytes").alias("n_bytes"), F.first("prefixes").alias("prefixes"))
+        F.min("did").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n_bytes").alias("n_bytes"), F.first("stop").alias("stop"),
+        F.first("signature").alias("signature"))
     nodes = written(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    paths = nodes.select("node", F.explode("prefixes").alias("path"))
-    shared = paths.groupBy("path").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = paths.join(shared, "path").select(F.col("node").alias("a"), "b").where("a <> b")
-    comps = written(components(edges).select("node", F.col("root").alias("comp")), "candidates")
+    comps = written(components(candidates(nodes, TREES, DEPTH, stops)).select("node", F.col("root").alias("comp")), "candidates")
 
-    members = comps.join(nodes.drop("prefixes"), "node")
+    members = comps.join(nodes.drop("signature", "stop"), "node")
     tiles = members.groupBy("comp").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / TILE_DOCS, F.sum("n_bytes") / TILE_BYTES)).cast("int").alias("tiles"))
     placed = members.join(tiles, "comp").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))

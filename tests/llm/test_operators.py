@@ -272,7 +272,8 @@ def brute_classes(rows):
 
 
 def test_near_classes(spark, odd, monkeypatch):
-    for rows in (text_rows(documents(spark)), [r for r in ODD if r[0] != 11]):
+    long = [(20, ODD[-2][1]), (21, ODD[-2][1].replace("long77 ", "") + " more"), (22, ODD[-2][1][:500_000])]
+    for rows in (text_rows(documents(spark)), ODD + long):
         df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("comp", F.lit(1))
         got = collections.Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_classes(df).collect())
         assert got == brute_classes(rows)
