@@ -1,10 +1,11 @@
 """Main text of web pages, by role of elements and by differencing with the page of nearest URL.
 
-Pages of a host are sorted by URL path. Each is compared with that neighbour in this order
-whose path has more in common with its own: their text lines are aligned by a longest common
-subsequence, and lines both have are template and go. Where a page marks its article, that is
-taken as it is, and lines outside it go; lines in it are kept even if the neighbour has them, since copies of an article share
-every line. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by element, class or id.
+Pages of a host are sorted by URL path. Of the pages next to it in this order that are not its copies, each is compared with the one
+whose path has more in common with its own: their unmarked lines are aligned by a longest common
+subsequence, and lines both have are template and go. Lines in a marked article are kept even if the neighbour has them, since
+copies of an article share every line; an article that holds at least half of what is left is taken alone, and a smaller one (a teaser) in
+place among the lines around it. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
+known by element, class, id or role, on elements of any kind.
 """
 
 from __future__ import annotations
@@ -28,20 +29,33 @@ ROLES = frozenset("""ad ads advert adverts advertisement advertising sponsor spo
 popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments
 respond disqus share sharing social related widget toolbar login search""".split())
 COMMENTS = frozenset("comment comments respond disqus".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ITEMS = frozenset("li dt dd".split())
+TITLED = frozenset("a h1 h2 h3 h4 h5 h6 dt".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
 _SPACE = re.compile(r"\s+")
 RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 
-def lines(page: str) -> tuple[list[str], list[str]]:
-    """(lines of the marked article, other lines that no role rules out), in page order."""
-    inside: list[str] = []
-    outside: list[str] = []
+def _roles(attributes: str, inner: bool, titled: bool) -> set[str]:
+    """Words of class, id and role.
+
+    Of paragraphs, list items and inline elements (``inner``) only whole names count, and the ids of headings and anchors
+    (``titled``) not at all, since these are made from the text.
+    """
+    found = [(x[0].lower(), "".join(x[1:]).lower()) for x in _NAMED.findall(attributes)]
+    values = " ".join(v for k, v in found if not (titled and k == "id"))
+    return set(values.split() if inner else re.split(r"[^a-z]+", values))
+
+
+def lines(page: str) -> list[tuple[bool, str]]:
+    """(whether in a marked article, line) of all lines that no role rules out, in page order."""
+    out: list[tuple[bool, str]] = []
     stack: list[tuple[str, bool, bool]] = []
     text: list[str] = []
     dropped = marked = 0
@@ -49,10 +63,20 @@ def lines(page: str) -> tuple[list[str], list[str]]:
     def flush() -> None:
         if text:
             line = _SPACE.sub(" ", "".join(text)).strip()
-            if line and not dropped:
-                (inside if marked else outside).append(line)
+            if line:
+                out.append((marked > 0, line))
             text.clear()
 
+    def close(to: int) -> None:
+        nonlocal dropped, marked
+        for _, drop, main in stack[to:]:
+            dropped, marked = dropped - drop, marked - main
+        del stack[to:]
+
+    def inner() -> int:
+        """Where the entries above the last sectioning element begin."""
+        return next((i + 1 for i in range(len(stack) - 1, -1, -1) if stack[i][0] in OPEN), 0)
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at and not dropped:
@@ -65,26 +89,30 @@ def lines(page: str) -> tuple[list[str], list[str]]:
             text.append(" ")
         if name in BLOCKS:
             flush()
-        if name not in OPEN:
-            continue
         if m[2]:
-            if any(s[0] == name for s in stack):
-                while True:
-                    top = stack.pop()
-                    dropped, marked = dropped - top[1], marked - top[2]
-                    if top[0] == name:
-                        break
-        elif not m[4].endswith("/"):
-            drop, main = name in DROPPED or name == "header" and not marked, name in MAIN
-            if m[4] and name not in ("html", "body"):
-                roles = set(re.split(r"[^a-z]+", " ".join("".join(x[1:]) for x in _NAMED.findall(m[4])).lower()))
-                drop = drop or bool(roles & (COMMENTS if main else ROLES)) or bool(_HIDDEN.search(m[4]))
+            to = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if to is not None and (name in OPEN or to >= inner()):
+                close(to)
+            elif to is None and name in BLOCKS and name not in OPEN:
+                # The end of a block that needed no entry ends the inline elements left open in it.
+                close(next((i for i in range(inner(), len(stack)) if stack[i][0] not in BLOCKS), len(stack)))
+            continue
+        if name in BLOCKS and stack:
+            # A block ends an open paragraph, an item the item before it.
+            close(next((i for i in range(inner(), len(stack)) if stack[i][0] == "p" or name in ITEMS and stack[i][0] in ITEMS), len(stack)))
+        if name in VOID or m[4].endswith("/"):
+            continue
+        main = name in MAIN
+        drop = name in DROPPED or name == "header" and not marked
+        if m[4] and name not in ("html", "body"):
+            drop = drop or bool(_roles(m[4], name not in OPEN, name in TITLED) & (COMMENTS if main else ROLES)) or bool(_HIDDEN.search(m[4]))
+        if drop or name in OPEN or any(s[0] == name for s in stack):
             stack.append((name, drop, main))
             dropped, marked = dropped + drop, marked + main
     if at < len(page) and not dropped:
         text.append(html.unescape(page[at:]))
     flush()
-    return inside, outside
+    return out
 
 
 def common(a: list[str], b: list[str]) -> set[int]:
@@ -133,45 +161,62 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
+def unmarked(page: tuple) -> list[str]:
+    return [line for inside, line in page[2] if not inside]
+
+
 def main_text(page: tuple, before: tuple | None, after: tuple | None) -> str:
-    """Text of a page (host, path, inside, outside), given its neighbours in URL order."""
-    inside, outside = page[2], page[3]
-    if inside:
-        return "\n\n".join(inside)
+    """Text of a page (host, path, lines), given the nearest pages in URL order that are not its copies."""
+    left = [line for _, line in page[2]]
+    outside = [i for i, (inside, _) in enumerate(page[2]) if not inside]
     near = [x for x in (before, after) if x is not None and x[0] == page[0]]
     if outside and near:
         other = max(near, key=lambda x: _alike(x[1], page[1]))
-        gone = common(outside, other[3])
-        outside = [x for i, x in enumerate(outside) if i not in gone]
-    return "\n\n".join(outside)
+        gone = common([left[i] for i in outside], unmarked(other))
+        outside = [at for i, at in enumerate(outside) if i not in gone]
+    article = [line for inside, line in page[2] if inside]
+    if article and sum(map(len, article)) >= sum(len(left[i]) for i in outside):
+        return "\n\n".join(article)
+    keep = set(outside)
+    return "\n\n".join(line for i, (inside, line) in enumerate(page[2]) if inside or i in keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    before = page = None
-
-    def row(after: tuple | None) -> tuple:
-        text = main_text(page[1:], before and before[1:], after and after[1:])
-        return (*page[0], text, len(text))
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Pages come in URL order. A run of copies (same host, same lines) is held as its lines once and an id, URL and path a page."""
+    before = lines_held = None
+    run: list[tuple] = []
+    rows: list[tuple] = []
+
+    def settle(after: tuple | None) -> int:
+        texts: dict[tuple, str] = {}
+        for page_id, url, host, path in run:
+            sides = [x is not None and x[0] == host and _alike(x[1], path) for x in (before, after)]
+            nearer = (sides[0] is not False, sides[1] is not False, sides[0] >= sides[1])
+            if nearer not in texts:
+                texts[nearer] = main_text((host, path, lines_held), before, after)
+            rows.append((page_id, url, texts[nearer], len(texts[nearer])))
+        return sum(r[3] for r in rows)
+
+    def batch_of() -> pa.RecordBatch:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "url", "text", "n_chars"])
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "url", "text", "n_chars"])
+        rows.clear()
+        return out
 
     for batch in batches:
-        rows, size = [], 0
         for page_id, url, host, path, raw in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "path", "html"))):
-            after = ((page_id, url), host or "", path or "", *lines(raw or ""))
-            if page is not None:
-                rows.append(row(after))
-                size += rows[-1][3]
-            before, page = page, after
-            if size > 4 << 20:
-                yield batch_of(rows)
-                rows, size = [], 0
+            host, path, found = host or "", path or "", lines(raw or "")
+            if run and (run[-1][2] != host or lines_held != found):
+                if settle((host, path, found)) > 4 << 20:
+                    yield batch_of()
+                before, run = (*run[-1][2:], lines_held), []
+            run.append((page_id, url, host, path))
+            lines_held = found
         if rows:
-            yield batch_of(rows)
-    if page is not None:
-        yield batch_of([row(None)])
+            yield batch_of()
+    if run:
+        settle(None)
+        yield batch_of()
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -179,8 +224,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Input: page_id, url, html (other columns are ignored). Null or empty html gives an empty text; null urls are one host.
     Blocks are joined by two line feeds; white space in a block becomes one space. Pages are dealt by ranges of (host, path, page_id), so
-    a host of any size spreads over tasks, and stream through them with one page before and one after in memory. The
-    first and last page of a range have one neighbour.
+    a host of any size spreads over tasks, and stream through them with one page before, one after and the ids of a run of copies in
+    memory. Copies are no neighbours of each other. Of two neighbours equally near the earlier is taken. The first and last
+    page of a range have one neighbour, which can change texts only where lines outside an article are left.
     """
     ship(pages.sparkSession)
     url = F.col("url")

@@ -96,7 +96,22 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@_query()
+@_query(r"""
+WITH RECURSIVE worded AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-`{-\x7F]+') AS w FROM documents),
+shingle AS MATERIALIZED (
+  SELECT DISTINCT r, list_slice(w, i, i + 4) AS s FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM worded WHERE len(w) > 0)),
+numbered AS MATERIALIZED (SELECT r, dense_rank() OVER (ORDER BY s) AS s FROM shingle),
+size AS MATERIALIZED (SELECT r, count(*) AS n FROM numbered GROUP BY r),
+link AS MATERIALIZED (
+  SELECT c.a, c.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS common FROM numbered x JOIN numbered y ON x.s = y.s AND x.r <> y.r GROUP BY ALL) c
+  JOIN size m ON c.a = m.r JOIN size n ON c.b = n.r WHERE 5 * c.common >= 4 * (m.n + n.n - c.common)),
+reach AS (SELECT r, r AS other FROM worded UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.other = link.a),
+class AS (SELECT reach.r, min(w.doc_id) AS class_id FROM reach JOIN worded w ON reach.other = w.r GROUP BY reach.r),
+linked AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT w.doc_id::BIGINT AS doc_id, c.class_id::BIGINT AS class_id, coalesce(l.n, 0)::BIGINT AS n_links
+FROM worded w JOIN class c ON w.r = c.r LEFT JOIN linked l ON w.r = l.r
+""")
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_classes(table(spark, sf_dir, "documents"))
 
