@@ -1,20 +1,20 @@
-"""Substring deduplication by prefix-partitioned suffix trees.
+"""Substring deduplication by fingerprints of suffixes, partitioned by variable-length prefixes.
 
 A suffix is the words of a document from some place on. Suffixes whose first 13 words
-are also found in a document with a smaller doc_id lose those words. Only tree nodes
-at least 13 words deep with two documents below matter, so the work goes in rounds over a
-file copy of the texts, a task a file, and between rounds only hashes travel:
+are also found in a document with a smaller doc_id lose those words. Of the suffix tree only nodes
+13 words deep with two documents below matter here, so no tree is built: 128-bit fingerprints of the first 13 words stand for
+these nodes. The work goes in rounds over a file copy of the texts, a task a file, and between rounds only hashes travel:
 
 1. seeds: of every 13 words one 5-word seed is drawn (that with the least hash), so equal
    windows draw equal seeds; a file sends each distinct seed once. Seeds met in one row
    only start no repeat, and all suffixes behind them are dropped.
 2. prefixes: the live suffixes are counted by their first 1, 2, 4 and 8 words. A prefix that
-   holds more suffixes than a group may have is lengthened.
-3. subtrees: suffixes go to groups by that variable-length prefix; a group sorts them, which is its subtree's
-   leaf order, and cuts it at depth 13: a run of equal depth-13 paths is a deep internal
-   node. A file sends each path once, with its smallest doc_id, so a passage in every
+   holds more suffixes than a group may have, a fixed number, is lengthened.
+   Files know such prefixes by a bit map of fixed size; one that only shares its bit is lengthened too, in all files alike.
+3. groups: suffixes go to groups by that variable-length prefix; a group sorts the fingerprints, and a run of
+   equal ones is a node. A file sends each once, with its smallest doc_id, so a passage in every
    document is one entry a file, not one a document.
-4. removal: a file learns which of its paths lie under a node with a smaller doc_id, and
+4. removal: a file learns which of its suffixes lie under a node with a smaller doc_id, and
    merges the covered words to maximal repeats.
 """
 
@@ -36,8 +36,8 @@ from .tokens import forget
 DEPTH = 13
 SEED = 5
 GROUP_SUFFIXES = 2_000_000
-HEAVY_PREFIXES = 100_000
 PREFIXES = (1, 2, 4, 8)
+HEAVY_BITS = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 _SECOND = np.uint64(0xA0761D6478BD642F)
 _PARTS = "part int, file int, body binary"
@@ -205,7 +205,7 @@ def _send_paths(uri: str, file: int, seeds: np.ndarray, heavy: np.ndarray, n_par
         live = _Live(w, seeds)
         group = live.prefix(PREFIXES[0])
         for shorter, longer in zip(PREFIXES, (*PREFIXES[1:], DEPTH)):
-            group = np.where(_member(live.prefix(shorter), heavy) & (group == live.prefix(shorter)),
+            group = np.where(heavy[live.prefix(shorter) % np.uint64(HEAVY_BITS)] & (group == live.prefix(shorter)),
                              live.path[:, 0] if longer == DEPTH else live.prefix(longer), group)
         found.append((live.path, ids[w.text_of()[live.at]], group))
     # Each column is joined and its pieces are let go before the next one is.
@@ -227,7 +227,7 @@ def _smallest(path: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _beaten_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per file, the paths that a smaller doc_id of another file has too: leaves below a deep node of the subtree."""
+    """Per file, the paths that a smaller doc_id of another file has too."""
     for part, files, bodies in _runs_of(batches):
         cols = [_split(b, 3) for b in bodies]
         one, two, doc = (np.concatenate(c) for c in zip(*cols))
@@ -370,23 +370,24 @@ def remove_repeats(docs: DataFrame, payload: str | None = None) -> DataFrame:
 
     live = by_part(files.mapInArrow(seeds, _PARTS), _shared_seeds, "seeds")
 
-    rows = live.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"] // 8
-    limit = max(GROUP_SUFFIXES, rows * DEPTH // HEAVY_PREFIXES)
-
     def prefixes(it):
         for _, uri, (own,) in _each_file(it, 1):
-            yield from _count_prefixes(uri, _seeds_of(own), max(1, limit / n_files))
+            yield from _count_prefixes(uri, _seeds_of(own), max(1, GROUP_SUFFIXES / n_files))
 
+    # Files leave out what is below their share of the limit, so a prefix of twice the limit is found for certain.
     counted = _with_bodies(files, n_files, live).mapInArrow(prefixes, "prefix bigint, n bigint")
-    # At most a heavy prefix for every ``limit`` suffixes and length, and limit grows with the input: a bounded list.
-    heavy = counted.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("prefix").toArrow()["prefix"]
-    heavy = np.unique(heavy.to_numpy().astype(np.int64).view(np.uint64))
+    heavy = counted.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP_SUFFIXES)
+    bits = np.zeros(HEAVY_BITS, bool)
+    # Distinct bit numbers, no more than HEAVY_BITS whatever the input.
+    bits[heavy.select(F.col("prefix").bitwiseAND(HEAVY_BITS - 1).alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
+    heavy = np.packbits(bits)
 
     def paths(it):
+        long = np.unpackbits(heavy).view(bool)
         for file, uri, (own,) in _each_file(it, 1):
             known = _seeds_of(own)
             own.clear()
-            yield from _send_paths(uri, file, known, heavy, n_parts)
+            yield from _send_paths(uri, file, known, long, n_parts)
 
     beaten = by_part(_with_bodies(files, n_files, live).mapInArrow(paths, _PARTS), _beaten_paths, "beaten")
 
