@@ -90,7 +90,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(manifest)
 
 
-@_query()
+@_query(r"""
+WITH payload AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+named AS (SELECT page_id, octet_length(p)::BIGINT AS n, sha1(p) AS h, max(page_id) OVER (PARTITION BY p) AS top FROM payload),
+quintets AS (
+  SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, (5 * i + 1)::INT, 5))::BIGINT) AS five FROM named)
+SELECT page_id::BIGINT AS page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((five[(k // 4 + 1)::INT] >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END::BIGINT AS refers_to
+FROM quintets
+""")
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -138,7 +149,24 @@ def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(table(spark, sf_dir, "pages"))
 
 
-@_query()
+@_query(r"""
+WITH worded AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (
+  SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS win
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM worded WHERE len(w) >= 13)),
+firsts AS (SELECT win, min(doc_id) AS first_id FROM windows GROUP BY win),
+lost AS MATERIALIZED (
+  SELECT r, i FROM windows JOIN firsts USING (win) WHERE first_id < doc_id OR (doc_id IS NULL AND first_id IS NOT NULL)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS k FROM lost),
+split AS (SELECT r, k, word FROM (SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM worded)),
+kept AS (
+  SELECT split.r, array_to_string(list(word ORDER BY split.k), ' ') AS text FROM split
+  LEFT JOIN gone ON split.r = gone.r AND split.k = gone.k WHERE gone.r IS NULL GROUP BY split.r),
+counted AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM worded LEFT JOIN kept USING (r) LEFT JOIN counted USING (r)
+""")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
