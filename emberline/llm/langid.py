@@ -166,6 +166,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and ambiguous; only ``text`` is looked at.
 
     ``und`` with score 0 where text is null, empty or has no letter, and for every text if nothing could be learnt.
+    Of languages equally near the first in sort order is taken, and the text is ambiguous.
     Columns of the same names are replaced.
     """
     ship(docs.sparkSession)
