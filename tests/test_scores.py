@@ -152,3 +152,24 @@ def test_boxes_of_every_size(spark):
     got = [(r.fire_id, r.day, r.x, r.y) for r in out.collect()]
     assert set(got) == want and len(got) == len(want)
     assert P.clip_to_bounds(spark.createDataFrame(rows, "day date, x double, y double"), fires.limit(0)).count() == 0
+
+
+_BOX = "fire_id string, start_date date, end_date date, x_min double, x_max double, y_min double, y_max double"
+
+
+def test_boxes_without_extent_keep_cells_of_their_own(spark):
+    day = dt.date(2021, 1, 1)
+    boxes = [(f"b{i}", day + dt.timedelta(days=i), day + dt.timedelta(days=i), 500.0 + i, 500.0 + i, 0.0, 1.0) for i in range(50)]
+    fires = spark.createDataFrame(boxes, _BOX)
+    cells = P.list_cells(P.size_cells(fires)).select("__cd", "__cx").distinct()
+    assert cells.select("__cd").distinct().count() == cells.select("__cx").distinct().count() == 50
+    px = spark.createDataFrame([(b[1], b[3], 0.5) for b in boxes], "day date, x double, y double")
+    assert P.clip_to_bounds(px, fires).count() == 50
+
+
+def test_pixel_in_the_middle_cell_of_a_rounded_width(spark):
+    day, far = dt.date(2021, 1, 1), 2.0**60
+    boxes = [("a", day, day, -1e-300, 1.0, 0.0, 1.0), ("far", day, day, far, far, far, far + 1024), ("half", day, day, 0.0, math.nextafter(8, 9), 0.0, 0.0)]
+    px = [(day, 0.5, 0.5), (day, far, far + 512), (day, 8.0, 0.0), (day, 5.0, 0.0)]
+    out = P.clip_to_bounds(spark.createDataFrame(px, "day date, x double, y double"), spark.createDataFrame(boxes, _BOX))
+    assert sorted((r.fire_id, r.x) for r in out.collect()) == [("a", 0.5), ("far", far), ("half", 5.0), ("half", 8.0)]
