@@ -248,8 +248,8 @@ def clip_outcomes(results: DataFrame, keys: Sequence[str] = ("fire_id",)) -> Dat
 def clip_status(pairs: DataFrame, clipped: DataFrame, done: DataFrame, keys: Sequence[str], overwrite: bool = False) -> DataFrame:
     """Status of every (fire, file) pair: exists, saved, or empty when the clip holds no pixel.
 
-    ``clipped`` holds the pixels inside the boxes; its pairs are counted before
-    the join, so a large clip is one row there. A pair with no pixel is empty
+    ``clipped`` holds the pixels inside the boxes, or each pair that has one (``pixels.clipped_keys``);
+    its pairs are counted before the join, so a large clip is one row there. A pair with no pixel is empty
     whether or not an output exists, for the clip is looked at first.
     """
     found = clipped.groupBy(*keys).agg(F.lit(True).alias("__found"))

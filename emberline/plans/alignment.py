@@ -663,7 +663,7 @@ FROM (SELECT p.fire_id, (p.fire_id, p.file) IN (SELECT (fire_id, file) FROM hit)
 """)
 def clip_run(spark, sf_dir):
     """A whole clip run: each fire's day of files clipped to its box, outputs already there skipped, outcomes counted."""
-    from ..operators.pixels import clip_to_bounds
+    from ..operators.pixels import clipped_keys
 
     k, lo = F.col("key"), (F.col("key") % 45).cast("double") * 2
     day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 28).cast("int"))
@@ -677,7 +677,7 @@ def clip_run(spark, sf_dir):
     pairs = fires.select("fire_id", F.col("start_date").alias("day")).join(files, "day").select("fire_id", "file")
     done = X.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("fire_id"))
     done = pairs.join(done.distinct(), "fire_id", "left_semi")
-    clipped = clip_to_bounds(px, fires)
+    clipped = clipped_keys(px, fires, ["file"])
     return align.clip_outcomes(align.clip_status(pairs, clipped, done, ["fire_id", "file"]))
 
 

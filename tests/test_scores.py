@@ -173,3 +173,17 @@ def test_pixel_in_the_middle_cell_of_a_rounded_width(spark):
     px = [(day, 0.5, 0.5), (day, far, far + 512), (day, 8.0, 0.0), (day, 5.0, 0.0)]
     out = P.clip_to_bounds(spark.createDataFrame(px, "day date, x double, y double"), spark.createDataFrame(boxes, _BOX))
     assert sorted((r.fire_id, r.x) for r in out.collect()) == [("a", 0.5), ("far", far), ("half", 5.0), ("half", 8.0)]
+
+
+def test_clipped_keys_clip_equal_boxes_once(spark, monkeypatch):
+    day = dt.date(2021, 1, 1)
+    boxes = [(f"f{i}", day, day, float(i % 2) * 10, float(i % 2) * 10 + 3, -0.0 if i % 4 else 0.0, 2.0) for i in range(40)]
+    boxes += [("f0", day, day, 20.0, 21.0, 0.0, 2.0), ("f41", day, None, 0.0, 3.0, 0.0, 2.0)]
+    px = [("one", day, 1.0, 1.0), ("one", day, 2.0, 2.0), ("two", day, 13.0, 0.0), ("two", day, 9.0, 0.0), ("three", day, 20.5, 1.0)]
+    seen, clip = [], P.clip_to_bounds
+    monkeypatch.setattr(P, "clip_to_bounds", lambda pixels, fires, **k: seen.append(fires.count()) or clip(pixels, fires, **k))
+    fires = spark.createDataFrame(boxes, _BOX)
+    out = P.clipped_keys(spark.createDataFrame(px, "file string, day date, x double, y double"), fires, ["file"])
+    got = sorted((r.fire_id, r.file) for r in out.collect())
+    assert got == sorted([(f"f{i}", "two" if i % 2 else "one") for i in range(40)] + [("f0", "three")])
+    assert seen == [4]
