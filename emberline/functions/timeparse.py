@@ -6,6 +6,8 @@ File names carry UTC stamps without a zone, so everything stays
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ _DIRECTIVES = {
     "S": r"(6[01]|[0-5]\d|\d)",
     "j": r"(36[0-6]|3[0-5]\d|[12]\d\d|0[1-9]\d|00[1-9]|[1-9]\d|0[1-9]|[1-9])",
 }
+_WIDTHS = {"Y": 4, "m": 2, "d": 2, "H": 2, "M": 2, "S": 2, "j": 3}
 # --- fixed values: stamps looked for in a file stem --------------------------
 _STAMP_T = (r"(?<!\d)(20\d{6}T\d{6})(?!\d)", "%Y%m%dT%H%M%S")
 _STAMP_14 = (r"(?<!\d)(20\d{12})(?!\d)", "%Y%m%d%H%M%S")
@@ -32,38 +35,54 @@ _DAY_SUFFIX = "_VIIRS_Day"
 POLICIES = ("daily", "subdaily", "earliest", "default")
 
 
-def parse_stamp(text: Column, fmt: str) -> Column:
-    """``text`` read with strptime-style directives; NULL unless the whole text matches."""
-    pattern, groups = "^", []
-    i = 0
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often and under whatever conditions ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def parse_stamp(text: Column, fmt: str, *, fixed: bool = False) -> Column:
+    """``text`` read with strptime-style directives; NULL unless the whole text matches.
+
+    ``fixed`` says that the text is as long as its directives can be: parts then lie at known places.
+    """
+    pattern, groups, places = "^", [], []
+    i = place = 0
     while i < len(fmt):
         if fmt[i] == "%":
             groups.append(fmt[i + 1])
+            places.append(place)
             pattern += _DIRECTIVES[fmt[i + 1]]
+            place += _WIDTHS[fmt[i + 1]]
             i += 2
         else:
             pattern += "\\" + fmt[i] if not fmt[i].isalnum() else fmt[i]
+            place += 1
             i += 1
 
-    def part(directive: str, default: int) -> Column:
-        if directive not in groups:
-            return F.lit(default)
-        return F.regexp_extract(text, pattern, groups.index(directive) + 1).try_cast("int")
+    def read(text: Column) -> Column:
+        def part(directive: str, default: int) -> Column:
+            if directive not in groups:
+                return F.lit(default)
+            at = groups.index(directive)
+            digits = F.substring(text, places[at] + 1, _WIDTHS[directive]) if fixed else F.regexp_extract(text, pattern, at + 1)
+            return digits.try_cast("int")
+
+        seconds = part("S", 0)
+        whole = (F.length(text) > 0) & (F.regexp_extract(text, pattern, 0) == text) & (seconds < 60)
+        if "j" in groups:
+            # Day of year counts on from 1 January, so day 366 may enter the next year.
+            day = F.date_add(F.make_date(part("Y", 1970), F.lit(1), F.lit(1)), part("j", 1) - 1)
+            year, month, dom = F.year(day), F.month(day), F.dayofmonth(day)
+        else:
+            year, month, dom = part("Y", 1970), part("m", 1), part("d", 1)
+        stamp = F.try_make_timestamp_ntz(year, month, dom, part("H", 0), part("M", 0), seconds.cast("decimal(16,6)"))
+        return F.when(whole, stamp)
 
-    seconds = part("S", 0)
-    whole = (F.regexp_extract(text, pattern, 0) == text) & (seconds < 60) & (F.length(text) > 0)
-    if "j" in groups:
-        # Day of year counts on from 1 January, so day 366 may enter the next year.
-        day = F.date_add(F.make_date(part("Y", 1970), F.lit(1), F.lit(1)), part("j", 1) - 1)
-        year, month, dom = F.year(day), F.month(day), F.dayofmonth(day)
-    else:
-        year, month, dom = part("Y", 1970), part("m", 1), part("d", 1)
-    stamp = F.try_make_timestamp_ntz(year, month, dom, part("H", 0), part("M", 0), seconds.cast("decimal(16,6)"))
-    return F.when(whole, stamp)
+    return _once(text, read)
 
 
 def _find(stem: Column, stamp: tuple[str, str]) -> Column:
-    return parse_stamp(F.regexp_extract(stem, stamp[0], 1), stamp[1])
+    return parse_stamp(F.regexp_extract(stem, stamp[0], 1), stamp[1], fixed=True)
 
 
 def stem(name: Column) -> Column:
@@ -80,21 +99,22 @@ def timestamp_from_name(name: Column, policy: str = "default") -> Column:
     earliest  the earliest of every reading that works
     default   subdaily, preceded by the 14-digit day-of-year stamp of raw scenes
     """
-    s = stem(name)
-    dashed = parse_stamp(F.replace(s, F.lit(_DAY_SUFFIX), F.lit("")), "%Y-%m-%d")
     ladder = [_STAMP_14, _STAMP_10, _STAMP_8, _STAMP_DOY]
-    if policy == "daily":
-        return F.coalesce(*[_find(s, p) for p in ladder], dashed)
-    if policy == "subdaily":
-        return F.coalesce(*[_find(s, p) for p in [_STAMP_T, *ladder]], dashed)
-    if policy == "default":
-        return F.coalesce(*[_find(s, p) for p in [_STAMP_DOY_TENTHS, _STAMP_T, *ladder]], dashed)
-    if policy == "earliest":
-        digits = F.regexp_replace(s, "[^0-9T]", "")
-        readings = [_find(s, p) for p in (_STAMP_14, _STAMP_10, _STAMP_8, _STAMP_BARE_DOY, _STAMP_DOY)]
-        readings += [parse_stamp(digits, f) for f in ("%Y%m%dT%H%M%S", "%Y%m%dT%H%M", "%Y%m%d")]
-        return F.least(*readings)
-    raise ValueError(f"unknown policy {policy!r}; expected one of {POLICIES}")
+    first = {"daily": ladder, "subdaily": [_STAMP_T, *ladder], "default": [_STAMP_DOY_TENTHS, _STAMP_T, *ladder]}
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy!r}; expected one of {POLICIES}")
+
+    def read(s: Column) -> Column:
+        if policy != "earliest":
+            dashed = parse_stamp(F.replace(s, F.lit(_DAY_SUFFIX), F.lit("")), "%Y-%m-%d")
+            return F.coalesce(*[_find(s, p) for p in first[policy]], dashed)
+        found = [_find(s, p) for p in (_STAMP_14, _STAMP_10, _STAMP_8, _STAMP_BARE_DOY, _STAMP_DOY)]
+        formats = ("%Y%m%dT%H%M%S", "%Y%m%dT%H%M", "%Y%m%d")
+        # One array, so that the digits are stripped once; NULLs are no readings.
+        loose = _once(F.regexp_replace(s, "[^0-9T]", ""), lambda digits: F.array(*[parse_stamp(digits, f) for f in formats]))
+        return F.array_min(F.concat(F.array(*found), loose))
+
+    return _once(stem(name), read)
 
 
 def clip_stamp(coverage_start: Column, name: Column) -> Column:

@@ -37,6 +37,26 @@ def test_names(spark, name, policy, expected):
     assert _parse(spark, name, policy) == expected
 
 
+@pytest.mark.parametrize("policy", TP.POLICIES)
+def test_name_is_stripped_once(spark, policy):
+    out = spark.createDataFrame([("x_20210705180032.tif",)], "n string").select(TP.timestamp_from_name(F.col("n"), policy).alias("t"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 3
+    assert out.first().t == FULL
+
+
+@pytest.mark.parametrize("name,policy,expected", [
+    ("s2021366000000_x.nc", "daily", dt.datetime(2022, 1, 1)),
+    ("a.b/2021-7-5.tif", "subdaily", MIDNIGHT),
+    ("2021711.tif", "earliest", dt.datetime(2021, 7, 11)),
+    ("x_20210230.tif", "earliest", None),
+    ("x_20210705T180060.tif", "subdaily", MIDNIGHT),
+    (None, "earliest", None),
+])
+def test_odd_names(spark, name, policy, expected):
+    assert _parse(spark, name, policy) == expected
+
+
 def test_unknown_policy():
     with pytest.raises(ValueError):
         TP.timestamp_from_name(F.lit("x"), "other")
