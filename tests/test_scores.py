@@ -175,6 +175,51 @@ def test_pixel_in_the_middle_cell_of_a_rounded_width(spark):
     assert sorted((r.fire_id, r.x) for r in out.collect()) == [("a", 0.5), ("far", far), ("half", 5.0), ("half", 8.0)]
 
 
+def _exchanged(plan):
+    """Rows written by all exchanges below a plan that has run."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _exchanged(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _exchanged(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(_exchanged(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_boxes_and_pixels_are_moved_once_a_block_not_once_a_cell(spark):
+    day, rng = dt.date(2021, 1, 1), random.Random(3)
+    boxes, px = [], []
+    for i in range(500):
+        x, y, start = rng.uniform(0, 500), rng.uniform(0, 900_000), day + dt.timedelta(days=rng.randrange(400))
+        boxes.append((f"b{i}", start, start + dt.timedelta(days=i % 5), x, x + 5, y, y + 9000))
+        px += [(start + dt.timedelta(days=j % 3), x + j, y + 2000 * j) for j in range(4)]
+    out = P.clip_to_bounds(spark.createDataFrame(px, "day date, x double, y double"), spark.createDataFrame(boxes, _BOX))
+    got = sorted((r.fire_id, r.day, r.x, r.y) for r in out.collect())
+    assert got == sorted((f, d, x, y) for f, a, b, x0, x1, y0, y1 in boxes for d, x, y in px if a <= d <= b and x0 <= x <= x1 and y0 <= y <= y1)
+    # One width of blocks: a pixel is moved once; a box once or twice an axis, then in a tile. With a row for each cell it was 9,458 rows.
+    assert _exchanged(out._jdf.queryExecution().executedPlan()) < len(px) + 4 * len(boxes)
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_tiles_of_a_few_boxes_and_blocks_that_share_a_home(spark, monkeypatch, shared):
+    monkeypatch.setattr(P, "_TILE", 3)
+    if shared:
+        monkeypatch.setattr(P, "_home", lambda level: level.cast("long"))
+    day, rng, tiny = dt.date(2021, 1, 1), random.Random(11), 5e-324
+    boxes, big = [], 2.0**53
+    for i in range(80):
+        size, x, y, start = 2.0 ** rng.uniform(-3, 4), rng.uniform(-9, 9), rng.uniform(-9, 9), day + dt.timedelta(days=rng.randrange(30))
+        boxes.append((f"b{i}", start, start + dt.timedelta(days=rng.randrange(12)), x, x + size, y, y + size))
+    boxes += [("edge", day, day, big - 2, big, 0.0, 1.0), ("low", day, day, -big, 2 - big, 0.0, 1.0), ("tiny", day, day, -1.0, tiny, -tiny, 0.0), ("wide", day, day, -70.0, -tiny, -tiny, 99.0)]
+    px = [(day + dt.timedelta(days=d), float(x), float(y)) for d in range(0, 42, 2) for x in range(-9, 10, 2) for y in range(-9, 10, 2)]
+    px += [(day, big - 1, 0.5), (day, 1 - big, 0.5), (day, -tiny, -tiny), (day, -tiny, 0.0), (day, float("nan"), 0.0)]
+    out = P.clip_to_bounds(spark.createDataFrame(px, "day date, x double, y double"), spark.createDataFrame(boxes, _BOX))
+    got = sorted((r.fire_id, r.day, r.x, r.y) for r in out.collect())
+    assert got == sorted((f, d, x, y) for f, a, b, x0, x1, y0, y1 in boxes for d, x, y in px if a <= d <= b and x0 <= x <= x1 and y0 <= y <= y1)
+    tiles = P.tile_boxes(P.size_cells(spark.createDataFrame(boxes, _BOX)), 3)
+    assert tiles.selectExpr("max(size(__all_fire_id))").first()[0] == 3
+
+
 def test_clipped_keys_clip_equal_boxes_once(spark, monkeypatch):
     day = dt.date(2021, 1, 1)
     boxes = [(f"f{i}", day, day, float(i % 2) * 10, float(i % 2) * 10 + 3, -0.0 if i % 4 else 0.0, 2.0) for i in range(40)]
